@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import unit
+from .common import cut, unit
 
 MAX_EPOCHS, SEED = 4.0, 17
+#: Up to so many sources, their epochs are broadcast to the documents; beyond it, Spark chooses the join.
+BROADCAST_SOURCES = 100_000
 
 
 def shares(
@@ -83,10 +85,13 @@ def mix_sources(
     sizes = docs.groupBy(F.col("source").alias("source")).agg(
         F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("double").alias("size")
     )
-    plan = shares(sizes, budget, max_epochs, weights).select(
-        F.col("source").alias("__source"), F.col("epochs").alias("__epochs")
+    plan = cut(
+        shares(sizes, budget, max_epochs, weights).select(
+            F.col("source").alias("__source"), F.col("epochs").alias("__epochs")
+        )
     )
-    # one row a source, checked by Spark's own threshold: beyond it, the join is by shuffle
+    if plan.count() <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
     joined = docs.join(plan, F.col("source").eqNullSafe(F.col("__source")), "left")
     whole = F.floor("__epochs")
     times = (whole + F.when(unit(F.col("doc_id"), seed) < F.col("__epochs") - whole, 1).otherwise(0)).cast("int")
@@ -106,9 +111,9 @@ WITH sizes AS (
   FROM live WINDOW b AS (ORDER BY ratio, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), opened AS (
   SELECT *, first_value(level) OVER (ORDER BY ratio <= level, ratio, source ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS first_level,
-    max(ratio > level) OVER () AS some FROM levels
+    max(ratio > level) OVER () AS unclamped FROM levels
 ), plan AS (
-  SELECT source, round((CASE WHEN NOT some OR ratio <= first_level THEN ratio ELSE first_level END) / size, 9) AS epochs FROM opened
+  SELECT source, round((CASE WHEN NOT unclamped OR ratio <= first_level THEN ratio ELSE first_level END) / size, 9) AS epochs FROM opened
 ), drawn AS (
   SELECT d.doc_id, d.source, floor(epochs) AS whole, epochs - floor(epochs) AS part,
     CAST(('0x' || substr(md5('{SEED}:' || d.doc_id), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u

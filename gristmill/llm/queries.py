@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import decontam, lines, mixing, sharding
 from .common import table
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_consistent_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.consistent_shards(table(spark, sf_dir, "documents", "doc_id", "source", "n_chars"))
 
@@ -19,11 +21,20 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs, numbered=True).drop("text")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return decontam.contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_consistent_sharding": op3_consistent_sharding,
     "op4_source_mixing": op4_source_mixing,
+    "op7_decontamination": op7_decontamination,
 }
 
 ORACLES = {
+    "op2_line_dedup": lines.ORACLE,
     "op4_source_mixing": mixing.ORACLE,
+    "op7_decontamination": decontam.ORACLE,
 }
