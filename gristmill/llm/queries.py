@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lines, mixing, sharding
+from . import decontam, lines, mixing, sharding, toxicity
 from .common import table
 
 
@@ -26,11 +26,18 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    sample = toxicity.training_sample(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity.score_toxicity(docs, toxicity.train(sample))
+
+
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_consistent_sharding": op3_consistent_sharding,
     "op4_source_mixing": op4_source_mixing,
     "op7_decontamination": op7_decontamination,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES = {
