@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lines, mixing, sharding, toxicity
+from . import decontam, jaccard, lines, mixing, sharding, toxicity
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs, numbered=True).drop("text")
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_pairs(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return decontam.contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -36,6 +40,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_consistent_sharding": op3_consistent_sharding,
     "op4_source_mixing": op4_source_mixing,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_decontamination": op7_decontamination,
     "op9_toxicity": op9_toxicity,
 }
@@ -43,5 +48,6 @@ QUERIES = {
 ORACLES = {
     "op2_line_dedup": lines.ORACLE,
     "op4_source_mixing": mixing.ORACLE,
+    "op6_ngram_jaccard_join": jaccard.ORACLE,
     "op7_decontamination": decontam.ORACLE,
 }
