@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, lines, mixing, sharding, toxicity
+from . import decontam, jaccard, lines, mixing, scoring, sharding, toxicity
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     sample = toxicity.training_sample(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
@@ -42,6 +46,7 @@ QUERIES = {
     "op4_source_mixing": op4_source_mixing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_decontamination": op7_decontamination,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_toxicity": op9_toxicity,
 }
 
