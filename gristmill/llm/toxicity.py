@@ -238,16 +238,26 @@ def stems(documents: list[set[str]], clear: Counter, good: int, most: int) -> li
     the one in most words of documents not yet covered, and of the longer ones that contain it and have 0.8 as many, the longest. It must be in at least 1 %
     of the documents, and 3 (2 if there are few), and 20 times as likely in a toxic document as in a clean one.
     """
-    bad, where, doc = len(documents), {}, []
-    for k, words in enumerate(documents):
-        for w in words:
-            if w in clear:
-                continue
-            for x in {w[i : i + n] for n in range(4, LANDMARK_CHARS + 1) for i in range(len(w) - n + 1)}:
-                where.setdefault(x, set()).add(len(doc))
-            doc.append(k)
+    bad = len(documents)
+    own = [(k, w) for k, words in enumerate(documents) for w in sorted(words) if w not in clear]
     least = max(3 if bad >= 30 else 2, math.ceil(0.01 * bad))
-    where = {x: d for x, d in where.items() if len(d) >= least and len({doc[i] for i in d}) >= least}
+    where: dict[str, set[int]] = {}
+    level: dict[str, set[int]] = {}
+    doc = [k for k, _ in own]
+    # a substring is often enough in words only if those one shorter are
+    for n in range(4, LANDMARK_CHARS + 1):
+        counts: Counter = Counter()
+        for _, w in own:
+            counts.update({w[i : i + n] for i in range(len(w) - n + 1) if n == 4 or w[i : i + n - 1] in level and w[i + 1 : i + n] in level})
+        often = {x for x, c in counts.items() if c >= least}
+        level = {}
+        for i, (_, w) in enumerate(own):
+            for x in {w[j : j + n] for j in range(len(w) - n + 1)} & often:
+                level.setdefault(x, set()).add(i)
+        level = {x: d for x, d in level.items() if len({doc[i] for i in d}) >= least}
+        where |= level
+        if not level:
+            break
     found: Counter = Counter()
     for w, n in clear.items():
         for i in range(len(w) - 3):
@@ -326,34 +336,47 @@ def train(texts: Iterable[tuple[str, int]], landmarks: int = LANDMARKS, seed: in
     return Machine(marks, whiten @ v, bias)
 
 
+def _scorer(machine: Machine):
+    """The highest word's score and the number of toxic words of each text; a distinct word is scored once in a partition."""
+    cache: dict[str, float] = {}
+
+    def run(column: pa.Array) -> tuple[list[float], list[int]]:
+        highest, hits, part = [], [], []
+
+        def flush():
+            if len(cache) > CACHE:
+                cache.clear()
+            new = list(set().union(*part) - cache.keys())
+            bare = {w: clean(w) for w in new}
+            distinct = sorted(set(bare.values()))
+            score = dict(zip(distinct, machine.scores(distinct).tolist()))
+            for w in new:
+                cache[w] = score[bare[w]]
+            for words in part:
+                values = [cache[w] for w in words]
+                highest.append(max(values, default=-1.0))
+                hits.append(sum(v > 0 for v in values))
+            part.clear()
+
+        for _, words in word_sets(column):
+            part.append(words)
+            if len(part) == 500:
+                flush()
+        flush()
+        return highest, hits
+
+    return run
+
+
 def _scored(machine: Machine):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
+        score = _scorer(machine)
         for batch in batches:
-            sets = [words for _, words in word_sets(batch.column(1))]
-            for at in range(0, len(sets), 500):
-                part = sets[at : at + 500]
-                if len(cache) > CACHE:
-                    cache.clear()
-                new = list(set().union(*part) - cache.keys())
-                bare = sorted({clean(w) for w in new})
-                score = dict(zip(bare, machine.scores(bare).tolist()))
-                for w in new:
-                    cache[w] = score[clean(w)]
-                highest, hits = [], []
-                for words in part:
-                    values = [cache[w] for w in words]
-                    highest.append(max(values, default=-1.0))
-                    hits.append(sum(v > 0 for v in values))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(at, len(part)),
-                        pa.array(highest, pa.float64()),
-                        pa.array(hits, pa.int32()),
-                        pa.array([h > 0 for h in hits], pa.bool_()),
-                    ],
-                    ["doc_id", "score", "toxic_words", "toxic"],
-                )
+            highest, hits = score(batch.column(1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(highest, pa.float64()), pa.array(hits, pa.int32()), pa.array([h > 0 for h in hits], pa.bool_())],
+                ["doc_id", "score", "toxic_words", "toxic"],
+            )
 
     return run
 
@@ -391,22 +414,12 @@ def score_toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, machine: Machine) -> DataFrame:
     """`docs` without toxic rows; same columns. In one pass: the rows never leave their partition."""
-    names = docs.columns
-    at = [n.lower() for n in names].index("text")
-    run = _scored(machine)
+    at = [n.lower() for n in docs.columns].index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs():
-            for batch in batches:
-                texts = batch.column(at)
-                ids = pa.array(np.arange(len(texts)), pa.int64())
-                flags = [
-                    f
-                    for part in run(iter([pa.RecordBatch.from_arrays([ids, texts], ["doc_id", "text"])]))
-                    for f in part.column(3).to_pylist()
-                ]
-                yield batch.filter(pa.array([not f for f in flags], pa.bool_()))
-
-        yield from pairs()
+        score = _scorer(machine)
+        for batch in batches:
+            _, hits = score(batch.column(at))
+            yield batch.filter(pa.array([not h for h in hits], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
