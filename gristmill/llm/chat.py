@@ -32,7 +32,7 @@ NAMES = {
 _ANY = "|".join(NAMES.values())
 MARKER = rf"(?i)^\s*(?:<\|(?:im_start\|>)?|\[|\*\*|#{{1,4}}\s*)?({_ANY})(?:\|>|\]\s*:?|:\*\*|\*\*\s*:|\s*:)(?:\s+|$)|(?i)^\s*#{{2,4}}\s*({_ANY})\s*$"
 _MARKER = re.compile(MARKER.replace("|(?i)^", "|^"))
-LENGTHS = (0, 40, 160, 400)
+LENGTHS = (0, 20, 40, 80, 120, 160, 200, 250, 300, 400, 600, 1000)
 N_SYMBOLS = 4 * 2 * (len(LENGTHS) + 1) * 2 * 2
 SMOOTH, MARKED, PLAIN = 0.05, 1000.0, 1e-3
 
@@ -93,7 +93,9 @@ class Model:
                     like = (emitted[2 * r].reshape(4, 2, -1).sum((0, 1)) + SMOOTH) / (emitted[2 * r].sum() + SMOOTH)
                     share = MARKED if begins and k == 1 + r else PLAIN
                     view[k] += np.tile(like / like.sum() / 2, 2) * share
-            if not begins:  # only a turn's first line opens a row
+            if begins:  # a turn opens a row, or a marker tells
+                view[0].reshape(2, -1)[0] *= 1e-6
+            else:  # only a turn's first line opens a row
                 view.reshape(4, 2, -1)[:, 1] = 1e-9
         self.emission = np.log(emission / emission.sum(1, keepdims=True))
         turn = follows + SMOOTH * 10
