@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, jaccard, licenses, lines, mixing, scoring, sharding, toxicity
+from . import ann, chat, decontam, jaccard, licenses, lines, mixing, scoring, sharding, toxicity
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs, numbered=True).drop("text")
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_pairs(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_consistent_sharding": op3_consistent_sharding,
     "op4_source_mixing": op4_source_mixing,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_decontamination": op7_decontamination,
     "op8_lm_scoring": op8_lm_scoring,
