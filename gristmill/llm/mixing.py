@@ -56,7 +56,7 @@ def shares(
         # the level of the first source that isn't clamped holds for it and all after it
         .withColumn(
             "open",
-            F.min(F.when(F.col("ratio") > F.col("level"), F.struct("ratio", "level"))).over(everything)["level"],
+            F.min(F.when(F.col("ratio") > F.col("level"), F.struct("ratio", "source", "level"))).over(everything)["level"],
         )
         .withColumn("clamped", F.col("open").isNull() | (F.col("ratio") <= F.col("open")))
     )
