@@ -3,8 +3,9 @@
 The lines of a conversation, in the order of its rows and of the lines in each, are what is observed. A line's symbol
 combines its speaker marker (`User:`, `### Assistant`, `<|system|>`, ...), whether it opens a row, its length class, a question at
 its end, and whether the line before it is blank. The hidden states are a role with `begins a turn` or `goes on`. The
-model's start, transition and emission probabilities are counted over all rows whose role is known, with pseudo-counts: a
-little everywhere, and much for a marker in the state of its role. The likeliest path by Viterbi gives each
+model's start and transition probabilities and those of a line's length, end and predecessor are counted over all rows
+whose role is known, with small pseudo-counts; that a turn begins with a marker of its role or at a row's start, and
+goes on with neither, is given. The likeliest path by Viterbi gives each
 line its role and where turns begin; the marker is cut off, and turns are rendered in one form.
 
 The recovered roles never look at the role column of the conversation itself: it only counts in the statistics.
@@ -34,7 +35,7 @@ MARKER = rf"(?i)^\s*(?:<\|(?:im_start\|>)?|\[|\*\*|#{{1,4}}\s*)?({_ANY})(?:\|>|\
 _MARKER = re.compile(MARKER.replace("|(?i)^", "|^"))
 LENGTHS = (0, 20, 40, 80, 120, 160, 200, 250, 300, 400, 600, 1000)
 N_SYMBOLS = 4 * 2 * (len(LENGTHS) + 1) * 2 * 2
-SMOOTH, MARKED, PLAIN = 0.05, 1000.0, 1e-3
+SMOOTH, NEVER = 0.05, 1e-6
 
 
 def marker_of(line: str) -> tuple[int, int]:
@@ -83,21 +84,17 @@ class Model:
     """Logarithms of the start (states), transition (states, states) and emission (states, symbols) probabilities."""
 
     def __init__(self, emitted: np.ndarray, follows: np.ndarray, starts: np.ndarray):
-        emission = emitted + SMOOTH / 10
+        # what a line says by its marker and its place is given; by its length, end and the line before, counted
+        rest = emitted.reshape(len(STATES), 8, -1).sum(1) + SMOOTH
+        rest /= rest.sum(1, keepdims=True)
+        place = np.full((len(STATES), 4, 2), NEVER)
         for s, (role, begins) in enumerate(STATES):
-            r = ROLES.index(role)
-            view = emission[s].reshape(4, -1)
-            # a marker begins a turn of its role: as lines do, but for the marker
-            for k in range(4):
-                if k:
-                    like = (emitted[2 * r].reshape(4, 2, -1).sum((0, 1)) + SMOOTH) / (emitted[2 * r].sum() + SMOOTH)
-                    share = MARKED if begins and k == 1 + r else PLAIN
-                    view[k] += np.tile(like / like.sum() / 2, 2) * share
-            if begins:  # a turn opens a row, or a marker tells
-                view[0].reshape(2, -1)[0] *= 1e-6
-            else:  # only a turn's first line opens a row
-                view.reshape(4, 2, -1)[:, 1] = 1e-9
-        self.emission = np.log(emission / emission.sum(1, keepdims=True))
+            if begins:
+                own = 1 + ROLES.index(role)
+                place[s, 0, 1], place[s, own, 1], place[s, own, 0] = 0.4, 0.3, 0.3
+            else:
+                place[s, 0, 0] = 1.0
+        self.emission = np.log((place.reshape(len(STATES), 8, 1) * rest[:, None, :]).reshape(len(STATES), -1))
         turn = follows + SMOOTH * 10
         turn = turn / turn.sum(1, keepdims=True)
         go = np.zeros((len(STATES), len(STATES)))
