@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEVEL, LEAST_REDUCTION, MOST_DIFFERENT = 19, 0.15, 0.3
+LEVEL, LEAST_REDUCTION, MOST_DIFFERENT = 19, 0.1, 0.3
 CUE = r"(?i)licen[cs]e|copyright|all rights reserved|public domain|warrant(?:y|ies)|redistribut|permission is hereby|spdx"
 
 #: (licence, wording); words in capitals between brackets stand for any words.
@@ -96,11 +96,18 @@ def _compressors():
 
 
 def ranked(block: str) -> list[tuple[float, int]]:
-    """(share of the compressed size that the template takes away, template), the largest first."""
+    """(share of the compressed size that the template takes away, template), the largest first.
+
+    Templates that take less than LEAST_REDUCTION of the block's size, or of their own where that is less, are left out.
+    """
     alone, given = _compressors()
     data = " ".join(block.lower().split()).encode()
     size = len(alone.compress(data))
-    out = [((size - len(c.compress(data))) / size, k) for k, c in enumerate(given)]
+    out = []
+    for k, c in enumerate(given):
+        less = size - len(c.compress(data))
+        if less >= LEAST_REDUCTION * min(size, len(alone.compress(TEMPLATES[k][1].lower().encode()))):
+            out.append((less / size, k))
     return sorted(out, key=lambda x: (-x[0], x[1]))
 
 
@@ -122,8 +129,6 @@ def identify(block: str) -> list[tuple[str, float, list[str], list[str]]]:
     """(licence, reduction, missing, added) of all licences confirmed in the block, the best wording of each."""
     own, out, seen = words(block), [], set()
     for reduction, k in ranked(block):
-        if reduction < LEAST_REDUCTION:
-            break
         name, text = TEMPLATES[k]
         if name in seen:
             continue
