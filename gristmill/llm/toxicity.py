@@ -8,7 +8,7 @@ the features of a linear machine with squared hinge loss.
 Labels are of documents, so training is by witness: the landmarks are substrings that cover the toxic sentences
 and that clean ones hardly have, and clean words most like them, chosen by pivoted Cholesky. Words with
 such a substring are the positives, as they are and with a character inserted; all words of clean sentences
-are negatives. A sentence scores as its highest word, a document as its highest sentence.
+are negatives. A document is toxic if more of its words score high than clean documents explain.
 
 A word is what stands between white space, lower-case, letters and digits only, so that `i-d.i*o-t` is one; a
 run of three or more single letters (`i d i o t`) is one too. Words of over LONG characters are read in
@@ -32,7 +32,8 @@ from .kernels import slices, token_spans
 DECAY, LONG, LANDMARKS, LANDMARK_CHARS = 0.7, 16, 32, 12
 #: The most documents of either class whose words the machine is trained on.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 1000, 2000
-SHORTEST, CACHE = 3, 1_000_000
+SHORTEST, CACHE, CHANCE = 3, 1_000_000, 10.0
+CUTS, LEAST_SURPRISE, MARGIN, FREE = (-0.5, -0.3, -0.1, 0.1, 0.3, 0.5, 0.65, 0.8, 0.95), 2.0, 0.3, 0.02
 
 
 def codes(words: list[str], width: int) -> np.ndarray:
@@ -136,8 +137,19 @@ def bounded(word: str) -> str:
     return f"^{word}$"
 
 
+def surprise(hits: int, mean: float) -> float:
+    """-log10 of the probability of at least so many hits where `mean` are expected, by Poisson; 0 if that is no excess."""
+    if hits <= mean or mean <= 0:
+        return 0.0
+    log = -mean + hits * math.log(mean) - math.lgamma(hits + 1) - math.log1p(-mean / (hits + 1))
+    return max(0.0, -log / math.log(10))
+
+
 class Machine:
-    """Scores words: above 0 is toxic.
+    """Scores words, and documents by their words: above 0 is toxic.
+
+    A document's surprise is the highest, over CUTS, that so many of its distinct words score above the cut, given the
+    share that do in clean documents; its score is by how much that passes `limit`, the most of held-out clean ones.
 
     A word that lacks a letter of every landmark of positive weight scores -1 at once: gaps and inserted
     characters take no letter away.
@@ -148,6 +160,7 @@ class Machine:
         self.codes = codes(marks, max(map(len, marks), default=1)) if marks else np.zeros((0, 1), np.uint32)
         self.own = np.maximum(self_kernel(self.codes), 1e-12) if marks else np.zeros(0, np.float32)
         self.letters = letters(self.codes[self.alpha > 0]) if marks else np.zeros(0, np.uint32)
+        self.rates, self.limit = [1.0] * len(CUTS), LEAST_SURPRISE
 
     def similarities(self, words: list[str]) -> np.ndarray:
         """Scaled to 1 for equal strings; words of at most LONG characters, with their marks."""
@@ -157,6 +170,19 @@ class Machine:
         own = [self_kernel(codes(words[i : i + 4096], LONG + 2)) for i in range(0, len(words), 4096)]
         return k / np.sqrt(np.maximum(np.concatenate([*own, np.zeros(0)]), 1e-12)[:, None] * self.own)
 
+    def document(self, values: list[float]) -> tuple[float, int]:
+        """(surprise, words above the cut that gives it) of a document with distinct words of such scores."""
+        best, number = 0.0, 0
+        high = [v for v in values if v > CUTS[0]]
+        for cut, rate in zip(CUTS, self.rates):
+            hits = sum(v > cut for v in high)
+            if not hits:
+                break
+            found = surprise(hits, rate * len(values))
+            if found > best:
+                best, number = found, hits
+        return best, number
+
     def near(self, words: list[str]) -> np.ndarray:
         have = letters(codes(words, LONG + 2))
         out = np.zeros(len(words), bool)
@@ -236,11 +262,12 @@ def stems(documents: list[set[str]], clear: Counter, good: int, most: int) -> li
 
     Substrings of 4 to LANDMARK_CHARS characters of marked words that no clean document has; each pick is
     the one in most words of documents not yet covered, and of the longer ones that contain it and have 0.8 as many, the longest. It must be in at least 1 %
-    of the documents, and 3 (2 if there are few), and 20 times as likely in a toxic document as in a clean one.
+    of the documents, in more than chance explains, and 20 times as likely in a toxic document as in a clean one.
     """
     bad = len(documents)
     own = [(k, w) for k, words in enumerate(documents) for w in sorted(words) if w not in clear]
-    least = max(3 if bad >= 30 else 2, math.ceil(0.01 * bad))
+    # so many that, of documents of either class by chance, all are toxic once in e**CHANCE substrings
+    least = max(2, math.ceil(0.01 * bad), math.ceil(CHANCE / math.log((bad + good) / bad)))
     where: dict[str, set[int]] = {}
     level: dict[str, set[int]] = {}
     doc = [k for k, _ in own]
@@ -280,10 +307,14 @@ def train(texts: Iterable[tuple[str, int]], landmarks: int = LANDMARKS, seed: in
     """The machine of labelled texts (text, toxic 0 or 1); one that finds nothing toxic if a class is missing."""
     clear, documents, fine, data = Counter(), [], [], list(texts)
     column = pa.array([t for t, _ in data], pa.large_string())
+    held: list[set[str]] = []  # every fourth clean document, for the rates and the limit
     for k, raw in word_sets(column):
-        words = {p for w in map(clean, raw) if len(w) >= SHORTEST for p in windows(w)}
+        bare = set(map(clean, raw))
+        words = {p for w in bare if len(w) >= SHORTEST for p in windows(w)}
         if data[k][1]:
             documents.append(words)
+        elif len(fine) > 3 * len(held) + 2:
+            held.append(bare)
         else:
             clear.update(words)
             fine.append(words)
@@ -328,16 +359,18 @@ def train(texts: Iterable[tuple[str, int]], landmarks: int = LANDMARKS, seed: in
     c = np.concatenate([c_pos / c_pos.sum(), 4 * np.sqrt(c_neg) / max(np.sqrt(c_neg).sum(), 1)])
     y = np.concatenate([np.ones(len(words)), -np.ones(len(hard))])
     v, bias = _newton(np.vstack([x_pos, x_neg]), y, c)
-    # clean documents stay below 0: the threshold rises above all but one in 1000 of the sample's
-    if hard:
-        score = dict(zip(hard, x_neg @ v + bias))
-        highest = [max((score[w] for w in words if w in score), default=-1.0) for words in fine]
-        bias -= max(0.0, float(np.quantile(highest, 0.999, method="higher")))
-    return Machine(marks, whiten @ v, bias)
+    machine = Machine(marks, whiten @ v, bias)
+    known = sorted(set().union(*held))
+    score = dict(zip(known, machine.scores(known).tolist()))
+    rows = [[score[w] for w in words] for words in held]
+    number = sum(map(len, rows)) + 1
+    machine.rates = [max(FREE, sum(x > cut for r in rows for x in r)) / number for cut in CUTS]
+    machine.limit = max([LEAST_SURPRISE, *(machine.document(r)[0] + MARGIN for r in rows)])
+    return machine
 
 
 def _scorer(machine: Machine):
-    """The highest word's score and the number of toxic words of each text; a distinct word is scored once in a partition."""
+    """The score and the number of toxic words of each text; a distinct word is scored once in a partition."""
     cache: dict[str, float] = {}
 
     def run(column: pa.Array) -> tuple[list[float], list[int]]:
@@ -353,9 +386,9 @@ def _scorer(machine: Machine):
             for w in new:
                 cache[w] = score[bare[w]]
             for words in part:
-                values = [cache[w] for w in words]
-                highest.append(max(values, default=-1.0))
-                hits.append(sum(v > 0 for v in values))
+                found, number = machine.document([cache[w] for w in words])
+                highest.append(found - machine.limit)
+                hits.append(number if found > machine.limit else 0)
             part.clear()
 
         for _, words in word_sets(column):
@@ -402,10 +435,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPL
 
 
 def score_toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
-    """(doc_id, score, toxic_words, toxic) of each row; toxic where a word's score is above 0.
+    """(doc_id, score, toxic_words, toxic) of each row; toxic where the score is above 0.
 
-    toxic_words: how many distinct words are. Null and empty texts, and texts without words, score -1 and
-    aren't toxic; repeated rows each give a row; other columns are ignored; no rows give no rows.
+    toxic_words: how many of its distinct words made it so. Null and empty texts, and texts without words, have the least
+    score and aren't toxic; repeated rows each give a row; other columns are ignored; no rows give no rows.
     """
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
         _scored(machine), "doc_id bigint, score double, toxic_words int, toxic boolean"
