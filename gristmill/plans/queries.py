@@ -118,10 +118,10 @@ def assembled_chunks(spark, sf_dir):
 # grounding
 
 _WORD = "regexp_extract(text, '[A-Za-z]{2,}', 0)"
-#: Each document's first word and where it occurs, overlaps included; over the list of characters, as indexing text is slow.
+#: Each document's first word and where it occurs, overlaps included.
 _SPOTS = f"""
-SELECT doc_id, text, w, list_filter(range(len(c) - length(w) + 1), lambda i: c[i + 1] = w[1] AND array_to_string(c[i + 1 : i + length(w)], '') = w) AS spots
-FROM (SELECT doc_id, text, {_WORD} AS w, string_split(text, '') AS c FROM documents WHERE {_WORD} <> '')"""
+SELECT doc_id, text, w, list_filter(range(length(text) - length(w) + 1), lambda i: text[i + 1 : i + length(w)] = w) AS spots
+FROM (SELECT doc_id, text, {_WORD} AS w FROM documents WHERE {_WORD} <> '')"""
 
 
 @query(f"""
