@@ -58,7 +58,7 @@ WARNINGS = [
     ("^dropped .*proposal|^clamped |normalization failed", "normalization", "proposal-normalization"),
     ("beyond maxChunks", "limit", "content-truncated"),
     ("chunked into", "content", "content-chunking"),
-    ("(?i)js-shell|embedded-state|markdown preparation|extractor-reported|pdfLayout|OCR", "preparation", "content-preparation-warning"),
+    ("(?i)OCR|pdfLayout|js-shell|extractor-reported|embedded-state|markdown preparation", "preparation", "content-preparation-warning"),
 ]
 
 
