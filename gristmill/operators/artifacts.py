@@ -31,20 +31,20 @@ def artifact(text: Column, mode: Column, snapshot_ref: Column, version: str = PR
     identity = F.sha2(binding(digest, mode, F.lit(version), length, snapshot_ref, format), 256)
     return F.struct(
         F.lit(format).alias("format"), F.lit(VERSION).alias("version"), digest.alias("digest"),
-        F.concat(F.lit(f"{format}:sha256:"), identity).alias("ref"), mode.alias("preparation_mode"), F.lit(version).alias("preparation_version"),
+        F.concat(F.lit(f"{format}:v{VERSION}:sha256:"), identity).alias("ref"), mode.alias("preparation_mode"), F.lit(version).alias("preparation_version"),
         length.alias("content_length"), snapshot_ref.alias("source_snapshot_ref"),
     )
 
 
 def parsed_ref(ref: Column, format: str = FORMAT) -> Column:
     """The hash of a well-formed reference, else null."""
-    return F.nullif(F.regexp_extract(ref, rf"^{format}:sha256:([0-9a-f]{{64}})$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(ref, rf"^{format}:v{VERSION}:sha256:([0-9a-f]{{64}})$", 1), F.lit(""))
 
 
 def validated(a: Column, format: str = FORMAT) -> Column:
     """Struct (status: valid, invalid or identity-mismatch; reason), the first test that fails."""
     again = F.concat(
-        F.lit(f"{format}:sha256:"),
+        F.lit(f"{format}:v{VERSION}:sha256:"),
         F.sha2(binding(a["digest"], a["preparation_mode"], a["preparation_version"], a["content_length"], a["source_snapshot_ref"], format), 256),
     )
     reason = (

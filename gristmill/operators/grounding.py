@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.text import occurrences, trimmed, u16_length
 
-RESOLVER = "exact-v1"
+RESOLVER = "exact-occurrence-v1"
 
 
 def indexed_path(path: Column) -> Column:

@@ -234,7 +234,7 @@ def outcome_warning_class(spark, sf_dir):
 # identity
 
 _IDENTITY = """
-SELECT doc_id, sha256(text) AS digest, 'prepared-artifact:sha256:' || sha256('{"format":"prepared-artifact","version":1,"digest":"' || sha256(text) || '","preparationMode":"text","preparationVersion":"1","contentLength":' || length(text) || ',"sourceSnapshotRef":' || CASE WHEN doc_id % 2 = 0 THEN 'null' ELSE '"snapshot:' || source || '"' END || '}') AS ref FROM documents"""
+SELECT doc_id, sha256(text) AS digest, 'prepared-artifact:v1:sha256:' || sha256('{"format":"prepared-artifact","version":1,"digest":"' || sha256(text) || '","preparationMode":"text","preparationVersion":"1","contentLength":' || length(text) || ',"sourceSnapshotRef":' || CASE WHEN doc_id % 2 = 0 THEN 'null' ELSE '"snapshot:' || source || '"' END || '}') AS ref FROM documents"""
 
 
 def _artifacts(spark, sf_dir) -> DataFrame:
@@ -436,3 +436,69 @@ FROM c GROUP BY a"""
 @query(_LEDGER)
 def ledger_totals(spark, sf_dir):
     return ledger.totals(ledger_events(spark, sf_dir))
+
+
+# pages: trees, which SQL has no parser for
+
+
+@query()
+def html_to_markdown(spark, sf_dir):
+    from gristmill.functions import markup
+
+    return _table(spark, sf_dir, "pages").select("page_id", markup.markdown(F.col("html")).alias("markdown"))
+
+
+@query()
+def card_chunks(spark, sf_dir):
+    from gristmill.functions import markup
+
+    rows = _table(spark, sf_dir, "pages").select("page_id", markup.cards(F.col("html"), 400).alias("c"))
+    return rows.select("page_id", "c.card_count", "c.structural", F.size("c.chunks").alias("n_chunks"), F.length("c.full_text").alias("length"))
+
+
+@query()
+def embedded_state(spark, sf_dir):
+    from gristmill.functions import markup
+
+    rows = _table(spark, sf_dir, "pages").select("page_id", markup.state(F.col("html")).alias("s"))
+    return rows.select("page_id", F.size("s.json_ld").alias("json_ld"), "s.next_data", "s.initial_state", F.size("s.warnings").alias("warnings"))
+
+
+@query()
+def same_host_links(spark, sf_dir):
+    from gristmill.functions import markup
+
+    rows = _table(spark, sf_dir, "pages").select("page_id", F.posexplode(markup.links(F.col("html"), F.col("url"))).alias("pos", "link"))
+    return rows.select("page_id", "pos", "link")
+
+
+@query("""
+WITH e AS (SELECT page_id AS page, k AS pos, (page_id * 2 + k) % n AS link FROM pages, range(3) AS r(k), (SELECT count(*) AS n FROM pages)),
+l0 AS (SELECT 's' AS seed_id, 0::BIGINT AS seq, 0 AS depth, 0::BIGINT AS url),
+f1 AS (SELECT link AS url, min(seq * 10 + pos) AS spot FROM l0 JOIN e ON url = page GROUP BY link), l1 AS (SELECT 1 + row_number() OVER (ORDER BY spot) - 1 AS seq, 1 AS depth, url FROM f1 WHERE url NOT IN (SELECT url FROM l0)),
+k1 AS (SELECT seq, depth, url FROM l0 UNION ALL SELECT seq, depth, url FROM l1),
+f2 AS (SELECT link AS url, min(seq * 10 + pos) AS spot FROM l1 JOIN e ON url = page GROUP BY link), l2 AS (SELECT (SELECT max(seq) FROM k1) + row_number() OVER (ORDER BY spot) AS seq, 2 AS depth, url FROM f2 WHERE url NOT IN (SELECT url FROM k1)),
+k2 AS (SELECT * FROM k1 UNION ALL SELECT * FROM l2),
+f3 AS (SELECT link AS url, min(seq * 10 + pos) AS spot FROM l2 JOIN e ON url = page GROUP BY link), l3 AS (SELECT (SELECT max(seq) FROM k2) + row_number() OVER (ORDER BY spot) AS seq, 3 AS depth, url FROM f3 WHERE url NOT IN (SELECT url FROM k2))
+SELECT 's' AS seed_id, seq::BIGINT AS seq, depth, url FROM (SELECT * FROM k2 UNION ALL SELECT * FROM l3) WHERE seq < 12""")
+def crawl_bfs(spark, sf_dir):
+    from gristmill.sources.crawling import breadth_first
+
+    pages = _table(spark, sf_dir, "pages").select("page_id")
+    n = pages.agg(F.count(F.lit(1)).alias("n"))
+    edges = pages.crossJoin(n).withColumn("pos", F.explode(F.array(*map(F.lit, range(3))))).select(F.col("page_id").alias("page"), "pos", ((F.col("page_id") * 2 + F.col("pos")) % F.col("n")).alias("link"))
+    seeds = spark.createDataFrame([("s", 0)], "seed_id string, url bigint")
+    return breadth_first(seeds, edges, 12, 3)
+
+
+@query()
+def grounded_extraction(spark, sf_dir):
+    """Pages, from HTML to kept proposals: a pattern provider under a budget of calls."""
+    from gristmill.operators.dispatch import Options
+    from gristmill.plans.extraction import SCHEMA, extract
+    from gristmill.providers import PatternScan
+
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("run_id"), F.col("url").alias("source_ref"), F.col("html").alias("content"), F.lit("html").alias("content_type"))
+    schema = spark.createDataFrame([("term", "string", None, None, True, "explicit")], SCHEMA)
+    run = extract(pages, schema, PatternScan("term", r"\b[A-Z][a-z]{5,}\b"), Options(max_calls=3), size=1500, overlap=150)
+    return run.kept.select("run_id", "position", "field_path", "value_json", "locator", "confidence", "duplicates")
