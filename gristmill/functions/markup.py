@@ -168,7 +168,8 @@ def _rendered(n: Node, inner: str) -> str:
         if n.parent is not None and n.parent.tag == "ol":
             place = [c for c in n.parent.elements() if c.tag == "li"].index(n)
             mark = f"{place + 1}. "
-        return "\n" + mark + _tight(inner).replace("\n", "\n" + " " * len(mark)) + "\n"
+        held = re.sub(r"\n{2,}(?=- |\d+\. )", "\n", _tight(inner))
+        return "\n" + mark + held.replace("\n", "\n" + " " * len(mark)) + "\n"
     if tag in ("ul", "ol"):
         return f"\n\n{re.sub(chr(10) + '{2,}(?=- |[0-9]+[.] )', chr(10), inner).strip(chr(10))}\n\n"
     if tag == "blockquote":
@@ -177,12 +178,11 @@ def _rendered(n: Node, inner: str) -> str:
         return f" {_tight(inner)} |"
     if tag == "tr":
         return f"\n|{inner.strip(chr(10))}"
-    return f"\n\n{inner}\n\n" if tag in BLOCK else inner
+    return f"\n\n{inner.strip(' ')}\n\n" if tag in BLOCK else inner
 
 
 def collapsed(md: str) -> str:
-    md = re.sub(r"[ \t]+\n", "\n", re.sub(r"\n[ \t]+(?=\S)(?![ \t]*(?:[-0-9]))", "\n", md))
-    return re.sub(r"\n{3,}", "\n\n", md).strip()
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", md)).strip()
 
 
 def html_markdown(html: str, max_chars: int = 5_000_000) -> str:

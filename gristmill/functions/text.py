@@ -48,10 +48,13 @@ def basic_plane(c: Column) -> Column:
 
 
 def u16_slice(c: Column, start: Column, end: Column) -> Column:
-    """The text from one UTF-16 offset to another; half of a pair becomes U+FFFD."""
-    return F.when(basic_plane(c), F.substring(c, start + 1, end - start)).otherwise(
-        F.decode(F.substring(F.encode(c, "UTF-16BE"), start * 2 + 1, (end - start) * 2), "UTF-16BE")
-    )
+    """The text from one UTF-16 offset to another; a character of two units belongs to where its first one is.
+
+    Beyond the basic plane, a noncharacter after each such character makes places of code points those of units.
+    """
+    wide = F.regexp_replace(c, r"([\x{10000}-\x{10FFFF}])", "$1\uffff")
+    cut = F.regexp_replace(F.substring(wide, start + 1, end - start), r"^\x{FFFF}|(?<=[\x{10000}-\x{10FFFF}])\x{FFFF}", "")
+    return F.when(basic_plane(c), F.substring(c, start + 1, end - start)).otherwise(cut)
 
 
 def u16_offset(c: Column, points: Column) -> Column:
@@ -69,13 +72,21 @@ def _ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def _tags_replaced(c: Column, pattern: str, by: str) -> Column:
+    """Every match of a pattern that ends with `>` replaced. Only what is before the last `>` is searched: after it, each `<` would be read to the end in vain."""
+    back = F.locate(">", F.reverse(c))
+    cut = F.when(back > 0, F.length(c) - back + 1).otherwise(0)
+    return F.concat(F.regexp_replace(F.substring(c, F.lit(1), cut), pattern, by), F.substring(c, cut + 1, F.length(c)))
+
+
 def _without_element(c: Column, tag: str) -> Column:
     """Without the element and its content. Linear: lazy matching only runs up to the last closing tag, before which all open ones close."""
     close = f"</{tag}>"
     back = F.locate(close[::-1], F.reverse(_ascii_lower(c)))
     cut = F.when(back > 0, F.length(c) - back + 1).otherwise(0)
     head = F.regexp_replace(F.substring(c, F.lit(1), cut), rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
-    return F.regexp_replace(F.concat(head, F.substring(c, cut + 1, F.length(c))), rf"(?i)<{tag}\b[^>]*/?>", " ")
+    whole = F.concat(head, F.substring(c, cut + 1, F.length(c)))
+    return let(whole, lambda x: _tags_replaced(x, rf"(?i)<{tag}\b[^>]*/?>", " "))
 
 
 def _stripped(c: Column, tag: str) -> Column:
@@ -87,7 +98,7 @@ def html_to_text(c: Column, max_chars: int = MAX_CHARS) -> Column:
     for tag in TEXT_NOISE:
         c = _stripped(c, tag)
     c = F.regexp_replace(F.regexp_replace(c, BLOCK_ENDS, "\n"), r"(?i)<br\s*/?>", "\n")
-    c = decode_entities(F.regexp_replace(c, r"<[^>]+>", " "))
+    c = decode_entities(let(c, lambda x: _tags_replaced(x, r"<[^>]+>", " ")))
     lines = F.transform(F.split(F.regexp_replace(c, r"[ \t]+", " "), "\n", -1), trimmed)
     return F.substring(F.array_join(F.filter(lines, lambda x: x != ""), "\n"), 1, max_chars)
 
@@ -98,7 +109,7 @@ def vtt_to_text(c: Column, max_chars: int = MAX_CHARS) -> Column:
     Cleaned lines between blank ones are a block; what follows a block's first timing line is payload.
     """
     def cleaned(line: Column) -> Column:
-        return trimmed(F.regexp_replace(decode_entities(F.regexp_replace(line, r"<[^>]+>", "")), r"[ \t]+", " "))
+        return trimmed(F.regexp_replace(decode_entities(_tags_replaced(line, r"<[^>]+>", "")), r"[ \t]+", " "))
 
     lines = F.transform(F.split(c, r"\r?\n", -1), cleaned)
     blocks = F.filter(F.split(F.array_join(lines, "\n"), r"\n{2,}", -1), lambda b: F.contains(b, F.lit("-->")))
