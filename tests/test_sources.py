@@ -117,7 +117,7 @@ def test_crawl(spark):
     assert path == [("/", 0), ("/about", 1), ("/gear", 1), ("/contact", 2), ("/gear?variant=green", 2)] and not got["truncated"]
     assert got["pages"][1]["result"]["snapshot"]["source_id"] == "seed%201::https://h.example/about"
     cut = crawling.crawl(session, {"source_id": "s", "url": "https://h.example/"}, max_pages=2)
-    assert len(cut["pages"]) == 2 and cut["truncated"] and "maxPages cap (2) reached; 1 further" in cut["warnings"][-1]
+    assert len(cut["pages"]) == 2 and cut["truncated"] and "maxPages cap (2) reached; 2 further" in cut["warnings"][-1]
     from gristmill.functions.markup import same_host_links
 
     edges = spark.createDataFrame([(u, k, x) for u, h in SITE.items() for k, x in enumerate(same_host_links(h, u))], "page string, pos int, link string")
