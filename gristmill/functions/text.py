@@ -25,7 +25,7 @@ SHELL, SHELL_WITH_STATE = "js-shell-suspected", "js-shell-suspected-embedded-sta
 SCRIPT_BLOCK = r"(?is)<script(?:[^a-z0-9_>][^>]*)?(?:>.*?(?:</script>|\z)|\z)"
 EMPTY_MOUNT = r"""(?i)<div\b[^>]*\bid=["'](?:root|__next|app)["'][^>]*>\s*</div>"""
 #: White space as scripts in pages trim it: Unicode spaces and the byte-order mark.
-_SPACE = r"[\s\x{FEFF}]"
+SPACES = " \t\n\x0b\f\r\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def let(value: Column, body) -> Column:
@@ -34,7 +34,7 @@ def let(value: Column, body) -> Column:
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, rf"(?U)^{_SPACE}+", ""), rf"(?U){_SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def u16_length(c: Column) -> Column:
@@ -63,34 +63,33 @@ def u16_offset(c: Column, points: Column) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
+    """Texts without an ampersand, most lines, take no pass at all."""
+    return let(c, lambda x: F.when(F.contains(x, F.lit("&")), _decoded(x)).otherwise(x))
+
+
+def _decoded(c: Column) -> Column:
     for name, text in ENTITIES:
         c = F.regexp_replace(c, f"(?i){re.escape(name)}", text.replace("\\", "\\\\").replace("$", "\\$"))
     return c
 
 
-def _ascii_lower(c: Column) -> Column:
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def _tags_replaced(c: Column, pattern: str, by: str) -> Column:
     """Every match of a pattern that ends with `>` replaced. Only what is before the last `>` is searched: after it, each `<` would be read to the end in vain."""
-    back = F.locate(">", F.reverse(c))
-    cut = F.when(back > 0, F.length(c) - back + 1).otherwise(0)
-    return F.concat(F.regexp_replace(F.substring(c, F.lit(1), cut), pattern, by), F.substring(c, cut + 1, F.length(c)))
+    tail = F.substring_index(c, ">", -1)
+    return F.concat(F.regexp_replace(F.substring(c, F.lit(1), F.length(c) - F.length(tail)), pattern, by), tail)
 
 
 def _without_element(c: Column, tag: str) -> Column:
     """Without the element and its content. Linear: lazy matching only runs up to the last closing tag, before which all open ones close."""
-    close = f"</{tag}>"
-    back = F.locate(close[::-1], F.reverse(_ascii_lower(c)))
-    cut = F.when(back > 0, F.length(c) - back + 1).otherwise(0)
-    head = F.regexp_replace(F.substring(c, F.lit(1), cut), rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
-    whole = F.concat(head, F.substring(c, cut + 1, F.length(c)))
+    def stripped(head: Column) -> Column:
+        return F.concat(F.regexp_replace(head, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " "), F.substring(c, F.length(head) + 1, F.length(c)))
+
+    whole = let(F.regexp_extract(c, rf"(?is)\A.*</{tag}>", 0), stripped)
     return let(whole, lambda x: _tags_replaced(x, rf"(?i)<{tag}\b[^>]*/?>", " "))
 
 
 def _stripped(c: Column, tag: str) -> Column:
-    return let(c, lambda x: _without_element(x, tag))
+    return let(c, lambda x: F.when(x.rlike(f"(?i)<{tag}"), _without_element(x, tag)).otherwise(x))
 
 
 def html_to_text(c: Column, max_chars: int = MAX_CHARS) -> Column:
@@ -183,12 +182,15 @@ def occurrences(text: Column, excerpt: Column) -> Column:
     starts = F.when(F.startswith(text, excerpt), F.concat(F.array(F.lit(0)), starts)).otherwise(starts)
     size = u16_length(excerpt)
 
-    def one(p: Column, i: Column) -> Column:
-        at = u16_offset(text, p)
-        return F.struct(i.cast("int").alias("index"), at.alias("start"), (at + size).alias("end"))
+    def spans(plain: Column) -> Column:
+        def one(p: Column, i: Column) -> Column:
+            at = F.when(plain, p.cast("bigint")).otherwise(u16_length(F.substring(text, F.lit(1), p)))
+            return F.struct(i.cast("int").alias("index"), at.alias("start"), (at + size).alias("end"))
+
+        return F.transform(starts, one)
 
     none = F.array().cast("array<struct<index:int,start:bigint,end:bigint>>")
-    return F.when((F.length(excerpt) > 0) & F.contains(text, excerpt), F.transform(starts, one)).otherwise(none)
+    return F.when((F.length(excerpt) > 0) & F.contains(text, excerpt), let(basic_plane(text), spans)).otherwise(none)
 
 
 def nth_occurrence(text: Column, excerpt: Column, n: Column) -> Column:

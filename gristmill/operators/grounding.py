@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.text import occurrences, trimmed, u16_length
 
-RESOLVER = "exact-occurrence-v1"
+RESOLVER, BROADCAST_FIELDS = "exact-occurrence-v1", 10_000
 
 
 def indexed_path(path: Column) -> Column:
@@ -26,7 +26,8 @@ def indexed_path(path: Column) -> Column:
 def matched_paths(proposals: DataFrame, schema: DataFrame) -> DataFrame:
     """`proposals` with field_path resolved against `schema` (path, type, enum_values, inference_type): exactly, else without its indices.
 
-    Adds path_indices (null if the path was exact), known, value_type, enum_values, inference_type. The schema is the caller's field list; Spark broadcasts it by its own size check.
+    Adds path_indices (null if the path was exact), known, value_type, enum_values, inference_type. The schema is the caller's field list, broadcast up to
+    BROADCAST_FIELDS so that proposals aren't shuffled by their few paths; beyond it, Spark chooses the join.
     """
     fields = schema.select(
         F.col("path").alias("f_path"), F.col("type").alias("value_type"), "enum_values", "inference_type"
@@ -34,6 +35,8 @@ def matched_paths(proposals: DataFrame, schema: DataFrame) -> DataFrame:
     bare = proposals.withColumn("field_path", trimmed(F.coalesce("field_path", F.lit("")))).withColumn("__i", indexed_path(F.col("field_path")))
     exact = fields.select(F.col("f_path").alias("e_path"), F.struct("value_type", "enum_values", "inference_type").alias("e"))
     loose = fields.select(F.col("f_path").alias("l_path"), F.struct("value_type", "enum_values", "inference_type").alias("l"))
+    if schema.count() <= BROADCAST_FIELDS:
+        exact, loose = F.broadcast(exact), F.broadcast(loose)
     joined = bare.join(exact, F.col("field_path") == F.col("e_path"), "left").join(loose, F.col("__i.path") == F.col("l_path"), "left")
     use_loose = F.col("e_path").isNull() & F.col("l_path").isNotNull() & (F.size("__i.indices") > 0)
     found = F.when(F.col("e_path").isNotNull(), F.col("e")).when(use_loose, F.col("l"))
@@ -71,7 +74,7 @@ def allocated(visible: Column, hints: Column) -> Column:
 
 
 def normalized(proposals: DataFrame, schema: DataFrame) -> DataFrame:
-    """Each proposal with `drop_reason` (null if kept), `warning`, the grounded span and clamped confidence.
+    """Each proposal, without its texts, with `drop_reason` (null if kept), `warning`, the grounded span and clamped confidence.
 
     `proposals`: run_id, seq (order over all chunks), field_path, value_canon, confidence, excerpt, extractor, occurrence_hint, visible_text,
     visible_start (UTF-16), full_text. A proposal with a confidence that isn't a number is dropped last, after it has taken its occurrence.
@@ -95,25 +98,23 @@ def normalized(proposals: DataFrame, schema: DataFrame) -> DataFrame:
     p = p.withColumn("__all", all_spans).withColumn(
         "__visible", F.filter("__all", lambda o: (o["start"] >= F.col("visible_start")) & (o["end"] <= end))
     )
+    p = p.drop("visible_text", "full_text")  # texts go no further than their scan
     key = ["run_id", "field_path", "path_indices", "value_canon", "excerpt"]
-    live = p.where("drop_reason is null")
-    # occurrences taken so far, in order; the state is a fold, so an identity's proposals meet in one row
+    # occurrences taken so far, in order; the state is a fold, so an identity's proposals meet in one row and leave it again
+    together = p.where("drop_reason is null").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seq", F.struct(*p.columns).alias("row")))).alias("x"))
     folded = (
-        live.groupBy(*key)
-        .agg(F.array_sort(F.collect_list(F.struct("seq", "__visible", "occurrence_hint"))).alias("x"))
-        .select(
-            *[F.col(k).alias(f"__{k}") for k in key],
-            F.explode(
-                F.aggregate(
-                    "x",
-                    F.array().cast("array<struct<seq:bigint,pick:int>>"),
-                    lambda done, r: F.concat(done, F.array(F.struct(r["seq"].cast("bigint").alias("seq"), _pick(done, r).alias("pick")))),
-                )
-            ).alias("r"),
+        together.withColumn(
+            "picks",
+            F.aggregate(
+                "x",
+                F.array().cast("array<struct<pick:int>>"),
+                lambda done, r: F.concat(done, F.array(F.struct(_pick(done, r["row"]).alias("pick")))),
+            ),
         )
-        .select("__run_id", F.col("r.seq").alias("__seq"), F.col("r.pick").alias("__pick"))
+        .select(F.explode(F.arrays_zip("x", "picks")).alias("z"))
+        .select("z.x.row.*", F.col("z.picks.pick").alias("__pick"))
     )
-    j = p.join(folded, F.col("run_id").eqNullSafe(F.col("__run_id")) & (F.col("seq") == F.col("__seq")), "left")
+    j = folded.unionByName(p.where("drop_reason is not null").withColumn("__pick", F.lit(None).cast("int")))
     span = F.get(F.col("__all"), F.col("__pick"))
     bad = F.col("confidence").isNull() | F.isnan("confidence") | (F.abs("confidence") == float("inf"))
     hinted = (F.col("occurrence_hint") >= 1) & (F.col("occurrence_hint") <= F.size("__visible"))
@@ -148,7 +149,7 @@ def normalized(proposals: DataFrame, schema: DataFrame) -> DataFrame:
             ),
         )
         .withColumn("confidence", F.when(here, clamped))
-        .drop("__all", "__visible", "__run_id", "__seq", "__pick", "known")
+        .drop("__all", "__visible", "__pick", "known")
     )
 
 

@@ -82,7 +82,7 @@ def extract(
         "run_id", (F.col("chunk_idx").cast("bigint") * 1_000_000 + F.col("p.item")).alias("seq"), "chunk_idx", "p.field_path", "p.value_json", "p.value_canon", "p.confidence", "p.excerpt", "p.extractor",
         "p.occurrence_hint", "visible_text", F.col("start").alias("visible_start"), "full_text",
     )
-    proposals = grounding.normalized(raw, schema).drop("visible_text", "full_text")
+    proposals = grounding.normalized(raw, schema)
     kept = grounding.deduplicated(proposals.where("drop_reason is null"))
     return Extraction(pre, chunks, got, proposals, kept, _results(pre, chunks, got, proposals, kept, provider.name, wrong))
 
