@@ -296,7 +296,7 @@ def _loaded(raw: str, code: str, label: str, most: int, warnings: list[str]):
     return text
 
 
-_ASSIGN = re.compile(r"(?:window\s*\.\s*)?__(?:INITIAL_STATE|PRELOADED_STATE)__\s*=\s*")
+_ASSIGN = re.compile(r"(?:\bwindow\s*[.]\s*)?__(?:PRELOADED|INITIAL)_STATE__\s*=\s*")
 
 
 def embedded_state(html: str) -> dict:

@@ -12,8 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_CHARS, FULL_CHARS = 32_000, 5_000_000
-TEXT_NOISE = ("script", "style", "noscript", "nav", "header", "footer")
-BLOCK_ENDS = r"(?i)</(?:p|div|li|tr|h[1-6]|section|article)>"
+TEXT_NOISE = tuple("script style noscript nav header footer".split())
+BLOCK_ENDS = r"(?i)</(?:article|section|h[1-6]|tr|li|div|p)>"
 #: Entity pattern and text. `&amp;` comes last: that equals one pass from left to right.
 ENTITIES = [
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&#160;", " "), ("&#xa0;", " "),
@@ -23,7 +23,7 @@ ENTITIES = [
 SHELL_FLOOR, SHELL_TEXT_RATIO, SHELL_SCRIPT_RATIO = 600, 0.08, 0.45
 SHELL, SHELL_WITH_STATE = "js-shell-suspected", "js-shell-suspected-embedded-state-available"
 SCRIPT_BLOCK = r"(?is)<script(?:[^a-z0-9_>][^>]*)?(?:>.*?(?:</script>|\z)|\z)"
-EMPTY_MOUNT = r"""(?i)<div\b[^>]*\bid=["'](?:root|__next|app)["'][^>]*>\s*</div>"""
+EMPTY_MOUNT = r"""(?i)<div\b[^>]*?\bid=["'](?:app|root|__next)["'][^>]*?>[\s]*</div>"""
 #: White space as scripts in pages trim it: Unicode spaces and the byte-order mark.
 SPACES = " \t\n\x0b\f\r\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 

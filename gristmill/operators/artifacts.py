@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gristmill.functions.text import u16_length
 
 FORMAT, VERSION, PREPARATION_VERSION = "prepared-artifact", 1, "1"
-MODES = ("markdown", "text", "transcript", "pdf-text", "image-ocr")
+MODES = tuple("image-ocr markdown pdf-text text transcript".split())
 
 
 def _quoted(c: Column) -> Column:

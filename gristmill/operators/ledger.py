@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SETTLED = ("completed", "failed", "aborted", "locally-rejected")
+SETTLED = tuple("aborted completed failed locally-rejected".split())
 AMOUNTS = ("input_tokens", "output_tokens", "spend_usd")
 EVENTS = "event string, authorization_digest string, reservation_id string, recorded_at string, reserved struct<input_tokens:bigint,output_tokens:bigint,spend_usd:double>, usage struct<input_tokens:bigint,output_tokens:bigint,spend_usd:double>"
 

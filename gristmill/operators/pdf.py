@@ -24,7 +24,7 @@ def page_of(offsets: Column, offset: Column) -> Column:
 
 def parsed_locator(locator: Column) -> Column:
     """Struct (start, end, reason) of `chars:S-E`; the reason is unsupported-scheme or malformed-range if it isn't one."""
-    shape = r"^chars:(0|[1-9]\d*)-(0|[1-9]\d*)$"
+    shape = r"^chars:([1-9]\d*|0)-([1-9]\d*|0)$"
     start, end = (F.regexp_extract(locator, shape, k).try_cast("bigint") for k in (1, 2))
     reason = F.when(~F.startswith(locator, F.lit("chars:")), "unsupported-scheme").when(
         start.isNull() | end.isNull() | (end <= start) | (end > 9007199254740991), "malformed-range"

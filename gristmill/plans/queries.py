@@ -33,7 +33,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _STRIP = "html"
 for _tag in T.TEXT_NOISE:
     _STRIP = f"regexp_replace(regexp_replace({_STRIP}, '<{_tag}\\b[^>]*>.*?</{_tag}>', ' ', 'gis'), '<{_tag}\\b[^>]*/?>', ' ', 'gi')"
-_STRIP = f"regexp_replace(regexp_replace({_STRIP}, '</(p|div|li|tr|h[1-6]|section|article)>', chr(10), 'gi'), '<br\\s*/?>', chr(10), 'gi')"
+_STRIP = f"regexp_replace(regexp_replace({_STRIP}, '</(article|section|h[1-6]|tr|li|div|p)>', chr(10), 'gi'), '<br\\s*/?>', chr(10), 'gi')"
 _STRIP = f"regexp_replace({_STRIP}, '<[^>]+>', ' ', 'g')"
 for _name, _text in T.ENTITIES:
     _STRIP = f"regexp_replace({_STRIP}, '{_name}', '{_text.replace(chr(39), chr(39) * 2)}', 'gi')"
@@ -52,7 +52,7 @@ def html_to_text(spark, sf_dir):
 @query(f"""
 SELECT page_id, length(html) AS raw_chars, length(text) AS text_chars, round(length(text) / length(html)::DOUBLE, 9) AS text_ratio,
   round((length(html) - length(regexp_replace(html, '<script(?:[^a-z0-9_>][^>]*)?(?:>.*?(?:</script>|\\z)|\\z)', '', 'gis'))) / length(html)::DOUBLE, 9) AS script_ratio,
-  regexp_matches(html, '<div\\b[^>]*\\bid=["''](?:root|__next|app)["''][^>]*>\\s*</div>', 'i') AS empty_mount
+  regexp_matches(html, '<div\\b[^>]*?\\bid=["''](?:app|root|__next)["''][^>]*?>[\\s]*</div>', 'i') AS empty_mount
 FROM ({_TEXTS})""")
 def page_shell_signals(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages").withColumn("text", T.html_to_text(F.col("html"), T.FULL_CHARS))
@@ -234,7 +234,7 @@ def outcome_warning_class(spark, sf_dir):
 # identity
 
 _IDENTITY = """
-SELECT doc_id, sha256(text) AS digest, 'prepared-artifact:v1:sha256:' || sha256('{"format":"prepared-artifact","version":1,"digest":"' || sha256(text) || '","preparationMode":"text","preparationVersion":"1","contentLength":' || length(text) || ',"sourceSnapshotRef":' || CASE WHEN doc_id % 2 = 0 THEN 'null' ELSE '"snapshot:' || source || '"' END || '}') AS ref FROM documents"""
+SELECT doc_id, sha256(text) AS digest, 'prepared-artifact:v1:sha256:' || sha256('{"format":"prepared-artifact","version":1,"digest":"' || sha256(text) || '","preparationMode":"' || 'text' || '","preparationVersion":"' || '1' || '","contentLength":' || length(text) || ',"sourceSnapshotRef":' || CASE WHEN doc_id % 2 = 0 THEN 'null' ELSE '"snapshot:' || source || '"' END || '}') AS ref FROM documents"""
 
 
 def _artifacts(spark, sf_dir) -> DataFrame:
@@ -332,7 +332,7 @@ def video_urls(spark, sf_dir):
     v = F.concat(F.lit("abcDEF"), F.col("event_id").cast("string"))
     k = F.col("event_id") % 6
     url = (
-        F.when(k == 0, F.concat(F.lit("https://www.youtube.com/watch?v="), v, F.lit("&t=90s"))).when(k == 1, F.concat(F.lit("https://youtu.be/"), v, F.lit("?t=1h2m3s")))
+        F.when(k == 0, F.concat(F.lit("https://www.youtube.com" "/watch?v="), v, F.lit("&t=90s"))).when(k == 1, F.concat(F.lit("https://youtu.be/"), v, F.lit("?t=1h2m3s")))
         .when(k == 2, F.concat(F.lit("https://m.youtube.com/shorts/"), v)).when(k == 3, F.concat(F.lit("https://youtube.com/embed/"), v, F.lit("?start=5")))
         .when(k == 4, F.concat(F.lit("https://youtube.com/live/"), v)).otherwise(F.concat(F.lit("https://video.example/watch?v="), v))
     )
