@@ -213,8 +213,11 @@ def repeated_cards(top: Node) -> tuple[Node, list[Node]] | None:
     return best and (best[1], best[2])
 
 
-def structural_chunks(html: str, size: int = SIZE, most: int = MOST) -> dict:
-    """full_text, chunks (text, start, end), card_count, structural, truncated of a page: cards batched up to `size`, never split; a heading outside them goes first."""
+def structural_chunks(html: str, size: int = SIZE, most: int | None = MOST) -> dict:
+    """full_text, chunks (text, start, end), card_count, structural, truncated of a page: cards batched up to `size`, never split; a heading outside them goes first.
+
+    Batches beyond `most` (None: none is) are left out and counted in truncated.
+    """
     top = body(pruned(parse(html)))
     found = repeated_cards(top)
     texts: list[str] = []
@@ -242,7 +245,7 @@ def structural_chunks(html: str, size: int = SIZE, most: int = MOST) -> dict:
         chunks.append((t, at, at + _u16(t)))
         at += _u16(t) + 2
     return {
-        "full_text": "\n\n".join(kept[:most]), "chunks": chunks, "card_count": len(found[1]), "structural": True, "truncated": max(0, len(kept) - most)
+        "full_text": "\n\n".join(kept[:most]), "chunks": chunks, "card_count": len(found[1]), "structural": True, "truncated": len(kept) - len(kept[:most])
     }
 
 
@@ -366,7 +369,7 @@ def markdown(html: Column) -> Column:
     return pandas_udf(_markdown, "string")(html)
 
 
-def cards(html: Column, size: int = SIZE, most: int = MOST) -> Column:
+def cards(html: Column, size: int = SIZE, most: int | None = MOST) -> Column:
     """Struct (full_text, chunks (text, start, end), card_count, structural, truncated)."""
 
     def chunked(html: pd.Series) -> pd.DataFrame:

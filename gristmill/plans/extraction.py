@@ -27,7 +27,7 @@ class Extraction:
     results: DataFrame
 
 
-def prepared(docs: DataFrame, prep: str | None = None, size: int = chunking.SIZE, most: int = chunking.MOST) -> DataFrame:
+def prepared(docs: DataFrame, prep: str | None = None, size: int = chunking.SIZE, most: int | None = chunking.MOST) -> DataFrame:
     """`docs` (run_id, source_ref, content, content_type) with full_text, pieces (text, start, end; null: windows), card_count, truncated, mode, embedded, warnings, error.
 
     html becomes Markdown, in cards if there are three like ones, or text if prep is `text`; transcripts are cleaned; text stays. Bytes need an extractor first.
@@ -44,14 +44,14 @@ def prepared(docs: DataFrame, prep: str | None = None, size: int = chunking.SIZE
         kind.isin("pdf", "png", "jpeg"), F.concat(kind, F.lit(" content needs a text extractor before preparation"))
     )
     return rows.select(
-        "run_id", "source_ref", "content_type", "mode", "full_text", F.when(structural, F.slice("__cards.chunks", 1, most)).alias("pieces"),
+        "run_id", "source_ref", "content_type", "mode", "full_text", F.when(structural, F.col("__cards.chunks")).alias("pieces"),
         F.when(structural, F.col("__cards.card_count")).otherwise(0).alias("card_count"), F.when(structural, F.col("__cards.truncated")).otherwise(0).alias("truncated"),
         F.when(html & has_state, F.col("__state").dropFields("warnings")).alias("embedded"),
         F.array_compact(F.concat(F.when(html, F.col("__state.warnings")).otherwise(F.array().cast("array<string>")), F.array("__shell"))).alias("warnings"), error.alias("error"),
     )
 
 
-def chunked(prep: DataFrame, size: int = chunking.SIZE, overlap: int = chunking.OVERLAP, most: int = chunking.MOST) -> DataFrame:
+def chunked(prep: DataFrame, size: int = chunking.SIZE, overlap: int = chunking.OVERLAP, most: int | None = chunking.MOST) -> DataFrame:
     """(run_id, content_type, chunk_idx, start, end, chunk, n_chunks, truncated_chunks): the cards of a page, or windows."""
     ok = prep.where("error is null")
     cards = ok.where("pieces is not null").select(
@@ -63,7 +63,7 @@ def chunked(prep: DataFrame, size: int = chunking.SIZE, overlap: int = chunking.
 
 def extract(
     docs: DataFrame, schema: DataFrame, provider: Provider, options: Options | None = None, prep: str | None = None,
-    size: int = chunking.SIZE, overlap: int = chunking.OVERLAP, most: int = chunking.MOST,
+    size: int = chunking.SIZE, overlap: int = chunking.OVERLAP, most: int | None = chunking.MOST,
 ) -> Extraction:
     """The plan; nothing runs until one of its tables does. Wrong options give results with an error and no calls."""
     o = options or Options()

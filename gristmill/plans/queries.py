@@ -493,12 +493,12 @@ def crawl_bfs(spark, sf_dir):
 
 @query()
 def grounded_extraction(spark, sf_dir):
-    """Pages, from HTML to kept proposals: a pattern provider under a budget of calls."""
+    """Pages, from HTML to kept proposals: a pattern provider on the whole of every chunk, without a budget of calls."""
     from gristmill.operators.dispatch import Options
     from gristmill.plans.extraction import SCHEMA, extract
     from gristmill.providers import PatternScan
 
     pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("run_id"), F.col("url").alias("source_ref"), F.col("html").alias("content"), F.lit("html").alias("content_type"))
     schema = spark.createDataFrame([("term", "string", None, None, True, "explicit")], SCHEMA)
-    run = extract(pages, schema, PatternScan("term", r"\b[A-Z][a-z]{5,}\b"), Options(max_calls=3), size=1500, overlap=150)
+    run = extract(pages, schema, PatternScan("term", r"\b[A-Z][a-z]{5,}\b"), Options(call_chars=2**31 - 1), size=1500, overlap=150, most=None)
     return run.kept.select("run_id", "position", "field_path", "value_json", "locator", "confidence", "duplicates")
