@@ -452,7 +452,7 @@ def html_to_markdown(spark, sf_dir):
 def card_chunks(spark, sf_dir):
     from gristmill.functions import markup
 
-    rows = _table(spark, sf_dir, "pages").select("page_id", markup.cards(F.col("html"), 400).alias("c"))
+    rows = _table(spark, sf_dir, "pages").select("page_id", markup.cards(F.col("html"), 400, most=None).alias("c"))
     return rows.select("page_id", "c.card_count", "c.structural", F.size("c.chunks").alias("n_chunks"), F.length("c.full_text").alias("length"))
 
 

@@ -19,3 +19,9 @@ def test_grounded_extraction_reads_every_chunk(spark, tmp_path):
     sf = pages(spark, tmp_path, [prose, card_page(60, 200, "Closing"), long_card])
     got = QUERIES["grounded_extraction"](spark, sf).collect()
     assert sorted((r["run_id"], r["value_json"]) for r in got) == [(0, '"Closing"'), (0, '"Opening"'), (1, '"Closing"'), (2, '"Closing"')]
+
+
+def test_card_chunks_has_every_batch(spark, tmp_path):
+    sf = pages(spark, tmp_path, [card_page(60, 60)])
+    got = QUERIES["card_chunks"](spark, sf).first()
+    assert (got["card_count"], got["n_chunks"]) == (60, 60) and got["length"] == 60 * 359 + 59 * 2
