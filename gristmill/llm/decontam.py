@@ -5,7 +5,8 @@ number of shingles, to the next power of two; the documents of a partition have
 MinHash sketches of as many bins, so that a bin holds one shingle or so whatever the document's length
 and a short item inside a long document still meets its minima: a shared shingle is the minimum of its bin
 with a probability over 0.6, and an item with 8 shared shingles is missed once in 2000 documents. An item is a
-candidate if one of its shingles is a minimum; candidates are verified by exact containment: the share of
+candidate if one of its shingles is a minimum. Items that need fewer than EXACT shared shingles would be missed
+more often: for these, all shingles of the documents are looked up. Candidates are verified by exact containment: the share of
 the item's distinct shingles that the document has.
 
 Items are sketch keys in an array that every task holds. They are read in blocks of `block` items, and
@@ -14,6 +15,7 @@ each block is one pass over the documents, so no task holds more than one block.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,16 +26,36 @@ from pyspark.sql import functions as F
 from .kernels import U64, gram_sets, ngram_hashes, slices, token_hashes
 
 N, THRESHOLD, BLOCK, FILTER_BITS = 3, 0.6, 100_000, 22
+EXACT = 8
+
+
+class _Keys:
+    """The shingles of the items `numbers`, for finding which items have a value."""
+
+    def __init__(self, sets: list[tuple[int, np.ndarray]], numbers: list[int]):
+        owner = np.repeat(np.array(numbers, np.int64), [len(sets[k][1]) for k in numbers])
+        keys = np.concatenate([np.zeros(0, U64), *(sets[k][1] for k in numbers)])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owner = keys[order], owner[order]
+        self.maybe = np.zeros(1 << FILTER_BITS, bool)
+        self.maybe[(self.keys >> U64(64 - FILTER_BITS)).astype(np.int64)] = True
+
+    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in `values`, item) of each value that an item has."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        hit = np.flatnonzero(self.maybe[(values >> U64(64 - FILTER_BITS)).astype(np.int64)])
+        lo = np.searchsorted(self.keys, values[hit], "left")
+        many = np.searchsorted(self.keys, values[hit], "right") - lo
+        item = self.owner[np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+        return np.repeat(hit, many), item
 
 
 def _matches(sets: list[tuple[int, np.ndarray]], n: int, threshold: float):
     """The function for mapInArrow that finds the items `sets` in a batch of (doc_id, text)."""
-    owner = np.repeat(np.arange(len(sets)), [len(s) for _, s in sets])
-    keys = np.concatenate([s for _, s in sets]) if sets else np.zeros(0, U64)
-    order = np.argsort(keys, kind="stable")
-    keys, owner = keys[order], owner[order]
-    maybe = np.zeros(1 << FILTER_BITS, bool)
-    maybe[(keys >> U64(64 - FILTER_BITS)).astype(np.int64)] = True
+    few = [math.ceil(threshold * len(s)) < EXACT for _, s in sets]
+    long = _Keys(sets, [k for k, x in enumerate(few) if not x])
+    short = _Keys(sets, [k for k, x in enumerate(few) if x])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,14 +71,11 @@ def _matches(sets: list[tuple[int, np.ndarray]], n: int, threshold: float):
                 place = np.where(shift == 64, U64(0), grams >> np.minimum(shift, U64(63))).astype(np.int64)
                 minima = np.full(base[-1], np.iinfo(np.uint64).max, U64)
                 np.minimum.at(minima, np.repeat(base[:-1], count) + place, grams)
-                hit = np.flatnonzero(maybe[(minima >> U64(64 - FILTER_BITS)).astype(np.int64)])
-                lo = np.searchsorted(keys, minima[hit], "left")
-                hi = np.searchsorted(keys, minima[hit], "right")
-                doc = np.searchsorted(base, hit, "right") - 1
-                many = hi - lo
-                doc = np.repeat(doc, many)
-                item = owner[np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-                pairs = np.unique(doc * len(sets) + item)
+                place, item = long.find(minima)
+                doc = np.searchsorted(base, place, "right") - 1
+                place, other = short.find(grams)
+                doc = np.concatenate([doc, np.searchsorted(at, place, "right") - 1])
+                pairs = np.unique(doc * len(sets) + np.concatenate([item, other]))
                 last, have = -1, None
                 for d, k in zip(pairs // max(len(sets), 1), pairs % max(len(sets), 1)):
                     if d != last:

@@ -357,3 +357,17 @@ def test_decontamination_empty(spark):
     assert decontam.contaminated(docs(spark, ODD), items).count() == 0
     assert decontam.decontaminate(docs(spark, ODD), items).count() == len(ODD)
     assert decontam.contaminated(docs(spark, []), spark.createDataFrame([(1, "a b c d")], "item_id bigint, text string")).count() == 0
+
+
+def test_decontamination_finds_short_items(spark):
+    rng = random.Random(11)
+    items = [(k, prose(rng, 3 + k % 8)) for k in range(40)]
+    rows = []
+    for i in range(400):
+        w = items[i % 40][1].split()
+        if len(w) == 5 and i % 80 < 40:
+            w = w[:4]  # two of three shingles
+        rows.append((i, f"{prose(rng, rng.choice([3, 100, 700]))} . {' '.join(w)} . {prose(rng, 40)}", "s"))
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r[0], r[1], round(r[2], 9)) for r in decontam.contaminated(docs(spark, rows), table).collect()}
+    assert got == brute_containment(rows, items) and len(got) >= 400
