@@ -2,8 +2,8 @@
 
 Statistics. One pass over the corpus counts, for every byte, which byte follows its hashed contexts (the last 2,
 3, 4 and 6 bytes). Each task counts into arrays and sends them sparsely, in blocks; blocks are added up by
-key, so what is gathered grows with the corpus, as does the number of context slots (`slot_bits`). A slot's
-counts give one prediction for each of the eight binary decisions that spell a byte: the logarithm of
+key, so what is gathered grows with the corpus, as does the number of context slots (`slot_bits`). The sums are
+written to one file in the shared folder, which the tasks map instead of holding it. A slot's counts give one prediction for each of the eight binary decisions that spell a byte: the logarithm of
 the odds, in a table of 8-bit numbers.
 
 Mixing. A text is coded bit by bit, from its first byte to its last. The tables' predictions are summed with weights;
@@ -11,14 +11,16 @@ the gate that selects the weights is the place of the bit in its byte. After eac
 the gradient of the coding cost. The mixed prediction is refined by averaging it with an adaptive map from
 its own quantised value to what followed in this text. The cost is the sum of -log2 of the probability given to each bit that came.
 
-Texts are read in segments of SEGMENT bytes, each with the bytes before it as its context and with weights and a
-map of its own, so thousands are coded in step by array operations and the result is the same
-however the rows are partitioned.
+A document is one lane from its first byte to its last, so weights and map are carried through all of it. Lanes of
+like length go together, thousands coded in step by array operations, and the result is the same however the
+rows are partitioned. `text_bits` can also code segments with a beginning of their own.
 """
 
 from __future__ import annotations
 
 import math
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import shared_folder
 from .kernels import slices
 
 ORDERS = (2, 3, 4, 6)
 SEGMENT, LANES, PAD = 2048, 4096, 8
-LEAST_BITS, MOST_BITS = 10, 16
+LEAST_BITS, DENSE_BITS = 10, 16  # up to DENSE_BITS a task counts in whole arrays
+HELD = 4_000_000  # counters of an order that a task holds beyond them
+GROUP_BYTES, BUCKET_BYTES, SHORT_CLASS = 64_000_000, 24_000_000, 11
 RATE, MAP_RATE, FIRST_WEIGHT = 0.02, 0.02, 0.35
 SCALE, HALF = 16.0, 0.4  # table units per unit of log odds; what is added to counts
 BLOCK = 1 << 14  # counters in a row of the gathered statistics
@@ -38,8 +43,8 @@ _M = [np.uint32(m) for m in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x1
 
 
 def slot_bits(total_bytes: int) -> int:
-    """The number of context slots of each order grows with the corpus, up to 2**MOST_BITS: 16 MB of counters an order."""
-    return max(LEAST_BITS, min(MOST_BITS, math.ceil(math.log2(max(total_bytes, 1))) - 14))
+    """The number of context slots of each order grows with the corpus, without an end."""
+    return max(LEAST_BITS, math.ceil(math.log2(max(total_bytes, 1))) - 14)
 
 
 def contexts(rows: list[np.ndarray], bits: int) -> list[np.ndarray]:
@@ -54,11 +59,33 @@ def contexts(rows: list[np.ndarray], bits: int) -> list[np.ndarray]:
     return out
 
 
+def _blocks(order: int, keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
+    """Rows (order, block, places, counts) of sorted distinct counters."""
+    block = (keys // BLOCK).astype(np.int64)
+    first = np.flatnonzero(np.diff(block, prepend=-1))
+    place, counts = (keys % BLOCK).astype(np.uint16), counts.astype(np.uint32)
+    return [(order, int(block[a]), place[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(first, np.append(first[1:], len(keys)))]
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+    by = np.argsort(keys, kind="stable")
+    keys, counts = keys[by], counts[by]
+    first = np.flatnonzero(np.diff(keys, prepend=keys[0] + 1)) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
+
+
 def _counted(bits: int):
-    """For mapInArrow: the partition's counts, as rows (order, block, places, counts)."""
+    """For mapInArrow: the partition's counts, as rows (order, block, places, counts); a block may come more than once."""
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["o", "block", "places", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = [np.zeros(256 << bits, np.uint32) for _ in ORDERS]
+        dense = bits <= DENSE_BITS
+        totals = [np.zeros(256 << bits if dense else 0, np.uint32) for _ in ORDERS]
+        held: list[list] = [[] for _ in ORDERS]
         one = np.uint32(1)
         for batch in batches:
             for _, _, buf, offs in slices(batch.column(0), 500_000):
@@ -67,23 +94,21 @@ def _counted(bits: int):
                 at = np.arange(len(buf)) + PAD * np.repeat(np.arange(1, n + 1), lengths)
                 padded[at] = buf
                 before = [padded[at - k] for k in range(1, 7)]
-                for total, slot in zip(totals, contexts(before, bits)):
-                    np.add.at(total, (slot << np.uint32(8)) | buf, one)
+                for order, slot in enumerate(contexts(before, bits)):
+                    if dense:
+                        np.add.at(totals[order], (slot << np.uint32(8)) | buf, one)
+                        continue
+                    held[order].append(np.unique((slot.astype(np.int64) << 8) | buf, return_counts=True))
+                    if sum(len(k) for k, _ in held[order]) > HELD:
+                        held[order] = [_merged(held[order])]
+                        if len(held[order][0][0]) > HELD // 2:
+                            yield batch_of(_blocks(order, *held[order].pop()))
         for order, total in enumerate(totals):
-            blocks = total.reshape(-1, min(BLOCK, len(total)))
-            rows = []
-            for b in np.flatnonzero(blocks.any(1)):
-                place = np.flatnonzero(blocks[b])
-                rows.append((order, int(b), place.astype(np.uint16).tobytes(), blocks[b][place].tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[0] for r in rows], pa.int32()),
-                    pa.array([r[1] for r in rows], pa.int32()),
-                    pa.array([r[2] for r in rows], pa.binary()),
-                    pa.array([r[3] for r in rows], pa.binary()),
-                ],
-                ["o", "block", "places", "counts"],
-            )
+            if dense:
+                keys = np.flatnonzero(total)
+                yield batch_of(_blocks(order, keys, total[keys]))
+            elif held[order]:
+                yield batch_of(_blocks(order, *_merged(held[order])))
 
     return run
 
@@ -99,25 +124,44 @@ def odds(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _added(key, group):
-    """The table entries of one block."""
-    total = np.zeros(BLOCK, np.float64)
-    for places, counts in zip(group.column("places").to_pylist(), group.column("counts").to_pylist()):
-        total[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.uint32)
-    table = odds(total.reshape(-1, 256)).tobytes()
-    return pa.table({"o": [key[0].as_py()], "block": [key[1].as_py()], "entries": [table]}, pa.schema([("o", pa.int32()), ("block", pa.int32()), ("entries", pa.binary())]))
+def _added(path: str, bits: int):
+    """For applyInArrow: writes the table entries of one block to their place in the file."""
 
+    def run(key, group):
+        total = np.zeros(BLOCK, np.float64)
+        for places, counts in zip(group.column("places").to_pylist(), group.column("counts").to_pylist()):
+            total[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.uint32)
+        file = os.open(path, os.O_WRONLY)
+        try:
+            os.pwrite(file, odds(total.reshape(-1, 256)).tobytes(), key[0].as_py() * (256 << bits) + key[1].as_py() * BLOCK)
+        finally:
+            os.close(file)
+        return pa.table({"blocks": pa.array([1], pa.int64())})
 
-def corpus_tables(docs: DataFrame, bits: int) -> np.ndarray:
-    """The entries of all orders' tables, from all texts of `docs`; (orders, 2**bits * 256)."""
+    return run
+
+
+def mapped(path: str, bits: int) -> np.ndarray:
+    return np.asarray(np.memmap(path, np.int8, "r", shape=(len(ORDERS), 256 << bits)))
+
+
+def table_file(docs: DataFrame, bits: int) -> str:
+    """Of a file in the shared folder with the entries of all orders' tables, from all texts of `docs`; all executors have to have the folder mounted."""
+    folder = shared_folder(docs.sparkSession).removeprefix("file:")
+    if "://" in folder:
+        raise ValueError(f"spark.checkpoint.dir must be a mounted folder for the tables of scoring (got {folder})")
+    path = f"/{folder.lstrip('/')}/gristmill-{uuid.uuid4().hex}.tables"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "wb") as f:
+        f.truncate(len(ORDERS) * (256 << bits))  # a block without counts stays 0
     counted = docs.select("text").mapInArrow(_counted(bits), "o int, block int, places binary, counts binary")
-    rows = counted.groupBy("o", "block").applyInArrow(_added, "o int, block int, entries binary").collect()
-    tables = np.zeros((len(ORDERS), 256 << bits), np.int8)
-    for r in rows:
-        at = r["block"] * BLOCK
-        part = np.frombuffer(r["entries"], np.int8)
-        tables[r["o"], at : at + BLOCK] = part[: tables.shape[1] - at]
-    return tables
+    counted.groupBy("o", "block").applyInArrow(_added(path, bits), "blocks bigint").agg(F.sum("blocks")).collect()
+    return path
+
+
+def corpus_tables(docs: DataFrame, bits: int) -> np.ndarray:
+    """The entries of all orders' tables, from all texts of `docs`; (orders, 2**bits * 256), mapped from the shared folder."""
+    return mapped(table_file(docs, bits), bits)
 
 
 def code_segments(segments: list[tuple[bytes, bytes]], tables: np.ndarray, bits: int) -> np.ndarray:
@@ -125,11 +169,10 @@ def code_segments(segments: list[tuple[bytes, bytes]], tables: np.ndarray, bits:
     lanes = len(segments)
     length = np.array([len(s) for _, s in segments], np.int64)
     width = int(length[0])
-    block = np.zeros((lanes, PAD + width), np.uint8)
+    block = np.zeros((PAD + width, lanes), np.uint8)
     for k, (before, s) in enumerate(segments):
-        block[k, PAD - len(before) : PAD] = np.frombuffer(before, np.uint8)
-        block[k, PAD : PAD + len(s)] = np.frombuffer(s, np.uint8)
-    block = np.ascontiguousarray(block.T)
+        block[PAD - len(before) : PAD, k] = np.frombuffer(before, np.uint8)
+        block[PAD : PAD + len(s), k] = np.frombuffer(s, np.uint8)
     flat = tables.reshape(-1)
     many = len(ORDERS)
     start = (np.arange(many, dtype=np.int64) * (256 << bits))[:, None]
@@ -185,21 +228,32 @@ def code_segments(segments: list[tuple[bytes, bytes]], tables: np.ndarray, bits:
     return cost
 
 
-def _segments(text: bytes) -> list[tuple[bytes, bytes]]:
-    return [(text[max(0, a - PAD) : a], text[a : a + SEGMENT]) for a in range(0, len(text), SEGMENT)]
+def _segments(text: bytes, size: int) -> list[tuple[bytes, bytes]]:
+    return [(text[max(0, a - PAD) : a], text[a : a + size]) for a in range(0, len(text), size)]
 
 
-def text_bits(texts: list[bytes], tables: np.ndarray, bits: int) -> np.ndarray:
-    """The cost in bits of each text."""
-    parts = [(k, s) for k, t in enumerate(texts) for s in _segments(t)]
+def text_bits(texts: list[bytes], tables: np.ndarray, bits: int, segment: int | None = SEGMENT) -> np.ndarray:
+    """The cost in bits of each text, in segments with weights and a map of their own; None: each text whole."""
+    parts = [(k, s) for k, t in enumerate(texts) for s in _segments(t, segment or max(len(t), 1))]
     parts.sort(key=lambda x: -len(x[1][1]))
-    out = np.zeros(len(texts))
-    for at in range(0, len(parts), LANES):
-        some = parts[at : at + LANES]
+    out, at = np.zeros(len(texts)), 0
+    while at < len(parts):
+        some = parts[at : at + max(1, min(LANES, GROUP_BYTES // len(parts[at][1][1])))]
         np.add.at(out, [k for k, _ in some], code_segments([s for _, s in some], tables, bits))
+        at += len(some)
     return out
 
 
+def _by_length(docs: DataFrame, sizes: dict[int, int], kind) -> DataFrame:
+    """The rows in partitions of like length (`kind`, of `sizes` bytes in all), the longest first: a lane step costs the same for few lanes as for many."""
+    place, count = F.lit(0), 0
+    for c in sorted(sizes, reverse=True):
+        many = max(1, math.ceil(sizes[c] / min(GROUP_BYTES, max(BUCKET_BYTES, 1024 << c))))
+        place = F.when(kind == c, F.lit(count) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(many)).cast("int")).otherwise(place)
+        count += many
+    return docs.repartitionById(max(count, 1), place.cast("int"))
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, total_bits, bits_per_byte) of each row; the last two rounded to 4 decimals.
 
@@ -207,16 +261,17 @@ def score_documents(docs: DataFrame) -> DataFrame:
     in the statistics as often as they occur, and each gets its row. Other columns are ignored; an empty
     table gives no rows.
     """
-    spark = docs.sparkSession
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    bits = slot_bits(total)
-    shared = spark.sparkContext.broadcast(corpus_tables(docs, bits))  # 2**bits * 256 bytes an order
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    kind = F.greatest(F.lit(SHORT_CLASS), F.ceil(F.log2(F.greatest(size, F.lit(1))))).cast("int")
+    sizes = {r[0]: r[1] for r in docs.groupBy(kind.alias("kind")).agg(F.sum(size)).collect()}  # a row for each power of two
+    bits = slot_bits(sum(sizes.values()))
+    path = table_file(docs, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = shared.value
+        tables = mapped(path, bits)
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            cost = text_bits(texts, tables, bits)
+            cost = text_bits(texts, tables, bits, None)
             size = np.array([len(t) for t in texts], np.int64)
             rate = [round(float(c) / int(s), 4) if s else None for c, s in zip(cost, size)]
             yield pa.RecordBatch.from_arrays(
@@ -224,6 +279,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_bytes", "total_bits", "bits_per_byte"],
             )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return _by_length(rows, sizes, kind).mapInArrow(
         run, "doc_id bigint, n_bytes bigint, total_bits double, bits_per_byte double"
     )

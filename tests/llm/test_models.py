@@ -186,6 +186,36 @@ def test_scoring_orders_texts_and_odd_rows(spark):
     assert scoring.score_documents(docs(spark, [])).count() == 0
 
 
+def test_scoring_carries_weights_through_a_document(spark, monkeypatch):
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(2 * scoring.SEGMENT + 700))
+    table = docs(spark, [(1, text), (2, "other words")])
+    got = {r["doc_id"]: r["total_bits"] for r in scoring.score_documents(table).collect()}
+    bits = scoring.slot_bits(len(text) + 11)
+    tables = scoring.corpus_tables(table, bits)
+    assert abs(scoring.text_bits([text.encode()], tables, bits)[0] / got[1] - 1) > 1e-3  # what segments would give
+    monkeypatch.setattr(scoring, "SEGMENT", len(text))  # no segments in the brute force
+    assert got == pytest.approx({1: brute_bits(text.encode(), tables, bits), 2: brute_bits(b"other words", tables, bits)}, rel=1e-4)
+
+
+def test_slots_grow_without_end(spark):
+    assert [scoring.slot_bits(1 << k) for k in (30, 31, 35)] == [16, 17, 21]
+    rng = np.random.default_rng(9)
+    rows = [(k, "".join(map(chr, rng.integers(97, 101, 4000)))) for k in range(5)]
+    bits = 17
+    tables = scoring.corpus_tables(docs(spark, rows).repartition(2), bits)
+    at = {}
+    for _, t in rows:
+        data = t.encode()
+        for p, byte in enumerate(data):
+            near = [np.array([data[p - k] if p >= k else 0], np.uint8) for k in range(1, 7)]
+            for o, s in enumerate(scoring.contexts(near, bits)):
+                at.setdefault((o, int(s[0])), np.zeros(256))[byte] += 1
+    for (o, s), counts in at.items():
+        assert (tables[o, s * 256 : s * 256 + 256] == scoring.odds(counts[None])[0]).all()
+    assert np.count_nonzero(tables.reshape(len(scoring.ORDERS), -1, 256).any(2)) == len(at)
+
+
 # toxicity
 
 
