@@ -30,7 +30,7 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_pairs(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

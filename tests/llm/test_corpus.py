@@ -251,21 +251,77 @@ def corpus(seed, n=60):
     return rows
 
 
+def brute_classes(rows):
+    """By row, as jaccard_classes has them: (doc_id, class_id, links)."""
+    pairs = brute_pairs([(k, t, None) for k, (_, t, *_) in enumerate(rows)])
+    up, links = list(range(len(rows))), Counter()
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+        up[find(b)] = find(a)
+    ids = defaultdict(list)
+    for k, (i, t, *_) in enumerate(rows):
+        if i is not None and brute_tokens((t or "").lower()):
+            ids[i].append(k)
+    for x in ids.values():
+        for k in x[1:]:
+            up[find(k)] = find(x[0])
+    least = defaultdict(list)
+    for k, (i, *_) in enumerate(rows):
+        least[find(k)].append(i)
+    return Counter((i, min((x for x in least[find(k)] if x is not None), default=None), links[k]) for k, (i, *_) in enumerate(rows))
+
+
+def classes(spark, rows, **kw):
+    return Counter(tuple(r) for r in jaccard.jaccard_classes(docs(spark, rows), **kw).collect())
+
+
 def test_jaccard_against_brute_force(spark):
     rows = corpus(6)
     want = brute_pairs(rows)
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in jaccard.jaccard_pairs(docs(spark, rows)).collect()}
+    pairs, ids = jaccard.jaccard_pairs(docs(spark, rows))
+    text = {r["doc_id"]: r["text_id"] for r in ids.collect()}
+    found = {(r["text_a"], r["text_b"]): r["jaccard"] for r in pairs.collect()}
+    got = {p: 1.0 if text[p[0]] == text[p[1]] else found.get(tuple(sorted((text[p[0]], text[p[1]])))) for p in combinations(sorted(text), 2)}
+    got = {p: v for p, v in got.items() if v is not None}
     assert got.keys() <= want.keys() and all(want[k] == v for k, v in got.items())
     assert len(got) >= 0.98 * len(want) > 50
+    assert all(a < b for a, b in found)
+
+
+def test_jaccard_classes_against_brute_force(spark):
+    rng = random.Random(12)
+    rows = corpus(13, 30) + ODD + [(5000 + k, rng.choice(["p q r s", "P q  r s!", "lone", ""]), "s") for k in range(12)]
+    rows += [(3, rows[0][1], "s"), (7000, rows[0][1], "s"), (7000, rows[1][1], "s"), (None, rows[2][1], "s")]
+    assert classes(spark, rows) == brute_classes(rows)
 
 
 def test_jaccard_cells_in_parts(spark):
     rng = random.Random(7)
     text = prose(rng, 200)
     rows = [(i, near(rng, text, 0.02), "s") for i in range(40)]
-    want = brute_pairs(rows)
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in jaccard.jaccard_pairs(docs(spark, rows), part=7).collect()}
-    assert got == want
+    # a chain of sizes, each similar to its neighbours only
+    words = prose(rng, 900).split()
+    rows += [(100 + k, " ".join(words[: int(30 * 1.3**k)]), "s") for k in range(12)]
+    rows += [(200, text, "s"), (201, text, "s"), (201, text, "s")]
+    want = brute_classes(rows)
+    for part in (7, 3):
+        assert classes(spark, rows, part=part) == want
+
+
+def test_jaccard_hot_row_and_clashing_names(spark):
+    rows = [("a", "one two three four", k) for k in range(60)] + [("b", "one two three four", 0), ("c", "five six seven", 1), (None, None, 2)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, gone int").selectExpr("*", "1 as u", "2 as n", "'x' as _gone", "3 as class_id", "4 as k")
+    got = Counter(tuple(r) for r in jaccard.jaccard_classes(df).collect())
+    assert got == {("a", "a", 60): 60, ("b", "a", 60): 1, ("c", "c", 0): 1, (None, None, 0): 1}
+    kept = jaccard.drop_duplicates(df)
+    assert kept.columns == df.columns and Counter(r["doc_id"] for r in kept.collect()) == {"a": 60, "c": 1, None: 1}
 
 
 def test_tree_leaves_out_nothing():
@@ -291,9 +347,10 @@ def test_tree_leaves_out_nothing():
 
 
 def test_jaccard_odd(spark):
-    assert jaccard.jaccard_pairs(docs(spark, [])).count() == 0
-    got = [tuple(r) for r in jaccard.jaccard_pairs(docs(spark, ODD + [(9, "SS ß", "s"), (10, "ß", "s")])).collect()]
-    assert got == [(4, 10, 1.0)]
+    assert jaccard.jaccard_classes(docs(spark, [])).count() == 0 and jaccard.jaccard_pairs(docs(spark, []))[0].count() == 0
+    rows = ODD + [(9, "SS ß", "s"), (10, "ß", "s")]
+    got = classes(spark, rows)
+    assert got == brute_classes(rows) and got[4, 4, 2] == 2 and got[10, 4, 2] == 1
     kept = jaccard.drop_duplicates(docs(spark, ODD + [(10, "ß", "s")]))
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i, *_ in ODD)
 
