@@ -6,8 +6,12 @@ down it is linked to neighbours that are nearer to it than to one another. A gra
 rows and a matrix of neighbours, -1 where there is none. Insertions and searches go through in batches, all
 queries of a batch a step at a time by array operations.
 
-Every row is a query in every shard: blocks of queries meet the shards' graphs, and the shards' nearest are merged by
-distance. Distances are Euclidean, squared; equal ones go by id.
+Vectors are centred on their common mean before anything else, so that products of 32-bit numbers don't lose the differences. A graph's candidate
+neighbours are found by blocked matrix products over the rows inserted before while these are at most EXACT, by beam search beyond. The beam's best are ranked again by
+differences in 64 bits.
+
+Every query asks every shard: a task holds the graph of one shard and streams blocks of queries past it; the shards' nearest are merged by
+distance. Embeddings of this kind have no clusters by which a query could be sent to few shards (README). Distances are Euclidean, squared; equal ones go by id.
 """
 
 from __future__ import annotations
@@ -22,16 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import kind_of, written
 from .kernels import U64, mix
 
-K, SHARD, BLOCK = 10, 16_384, 4096
-LINKS, BEAM_BUILD, BEAM_SEARCH, EXPAND, EXACT = 16, 64, 96, 4, 256
+K, SHARD, BLOCK, BLOCKS = 10, 16_384, 4096, 64
+LINKS, BEAM_BUILD, BEAM_SEARCH, EXPAND, EXACT = 16, 64, 160, 4, 32_768
 
 
 def _distances(vectors: np.ndarray, norms: np.ndarray, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Squared distances of q (b, d) to vectors[ids] (b, c); infinite where an id is -1."""
-    dot = np.einsum("bd,bcd->bc", q, vectors[ids])
+    dot = np.matmul(vectors[ids], q[:, :, None])[:, :, 0]
     out = (q * q).sum(1)[:, None] + norms[ids] - 2 * dot
     out[ids < 0] = np.inf
     return np.maximum(out, 0)
@@ -94,8 +98,11 @@ class Graph:
         ids = np.full((len(q), 1), self.entry, np.int64)
         for layer in range(len(self.layers) - 1, 0, -1):
             ids = self.beam(q, ids, layer, 8)[0]
-        i, d = self.beam(q, ids, 0, max(width, k))
-        return i[:, :k], d[:, :k]
+        i = self.beam(q, ids, 0, max(width, 2 * k))[0][:, : 2 * k]
+        d = ((q[:, None, :].astype(np.float64) - self.vectors[i]) ** 2).sum(2)
+        d[i < 0] = np.inf
+        order = np.lexsort((i, d), axis=1)[:, :k]
+        return np.take_along_axis(i, order, 1), np.take_along_axis(d, order, 1)
 
     def dumps(self) -> bytes:
         out = io.BytesIO()
@@ -117,7 +124,7 @@ def diverse(vectors: np.ndarray, ids: np.ndarray, dist: np.ndarray, most: int) -
     b, c = ids.shape
     v = vectors[ids]
     norms = (v * v).sum(2)
-    between = norms[:, :, None] + norms[:, None, :] - 2 * np.einsum("bcd,bed->bce", v, v)
+    between = norms[:, :, None] + norms[:, None, :] - 2 * np.matmul(v, v.transpose(0, 2, 1))
     chosen = np.zeros((b, c), bool)
     number = np.zeros(b, np.int64)
     real = ids >= 0
@@ -148,23 +155,27 @@ def build(keys: np.ndarray, vectors: np.ndarray, links: int = LINKS) -> Graph:
         where[members] = np.arange(len(members))
         layers.append((where, np.full((len(members), links * (2 if layer == 0 else 1)), -1, np.int32)))
     graph = Graph(np.ascontiguousarray(vectors, np.float32), layers, int(order[0]))
+    inserted = [order[levels[order] >= layer] for layer in range(top + 1)]  # of each layer, in the order of insertion
+    places = [np.flatnonzero(levels[order] >= layer) for layer in range(top + 1)]
+    moved = [graph.vectors[x] for x in inserted]
     at, size = 1, 1
     while at < n:
         batch = order[at : at + size]
-        q = graph.vectors[batch]
         ids = np.full((len(batch), 1), graph.entry, np.int64)
         for layer in range(top, -1, -1):
-            mine = levels[batch] >= layer
-            if at <= EXACT:  # a small graph is searched whole
-                before = order[:at]
-                before = before[levels[before] >= layer]
-                found = np.broadcast_to(before, (len(batch), len(before)))
-                d = _distances(graph.vectors, graph.norms, q, found)
-                rank = np.argsort(d, axis=1, kind="stable")[:, :BEAM_BUILD]
-                ids, dist = np.take_along_axis(found, rank, 1), np.take_along_axis(d, rank, 1)
-            else:
-                ids, dist = graph.beam(q, ids, layer, BEAM_BUILD if mine.any() else 8)
-            if mine.any():
+            mine = np.flatnonzero(levels[batch] >= layer)
+            before = int(np.searchsorted(places[layer], at))
+            if at <= EXACT:
+                for k in range(0, len(mine), 256):
+                    rows = batch[mine[k : k + 256]]
+                    d = graph.norms[inserted[layer][:before]] - 2 * (graph.vectors[rows] @ moved[layer][:before].T)
+                    rank = np.argpartition(d, BEAM_BUILD, axis=1)[:, :BEAM_BUILD] if before > BEAM_BUILD else np.broadcast_to(np.arange(before), d.shape)
+                    d = np.maximum(np.take_along_axis(d, rank, 1) + graph.norms[rows][:, None], 0)
+                    sort = np.argsort(d, axis=1, kind="stable")
+                    _link(graph, layer, rows, inserted[layer][np.take_along_axis(rank, sort, 1)], np.take_along_axis(d, sort, 1), links)
+                continue
+            ids, dist = graph.beam(graph.vectors[batch], ids, layer, BEAM_BUILD if len(mine) else 8)
+            if len(mine):
                 _link(graph, layer, batch[mine], ids[mine], dist[mine], links)
         at += len(batch)
         size = min(max(1, at // 4), 1024)
@@ -205,84 +216,132 @@ def _valid(dim: int):
     return e.isNotNull() & (F.size(e) == dim) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e18))
 
 
-def _built(table):
-    ids = table.column("vec_id").to_numpy()
-    order = np.argsort(ids, kind="stable")
-    vectors = np.stack(table.column("embedding").to_pylist()).astype(np.float32)[order]
-    graph = build(ids[order].astype(np.int64).view(U64), vectors)
-    return pa.table(
-        {"s": [table.column("s")[0].as_py()], "ids": [ids[order].astype(np.int64).tobytes()], "graph": [graph.dumps()]},
-        pa.schema([("s", pa.int32()), ("ids", pa.binary()), ("graph", pa.binary())]),
-    )
+def _built(centre: np.ndarray):
+    def run(table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        vectors = (np.stack(table.column("embedding").to_numpy()).astype(np.float64) - centre).astype(np.float32)[order]
+        graph = build(ids[order].astype(np.int64).view(U64), vectors)
+        return pa.table(
+            {"s": [table.column("s")[0].as_py()], "ids": [ids[order].astype(np.int64).tobytes()], "data": [graph.dumps()]},
+            pa.schema([("s", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())]),
+        )
+
+    return run
+
+
+def _packed(centre: np.ndarray):
+    def run(table: pa.Table) -> pa.Table:
+        vectors = (np.stack(table.column("embedding").to_numpy()).astype(np.float64) - centre).astype(np.float32)
+        return pa.table(
+            {"b": [table.column("b")[0].as_py()], "ids": [table.column("id").to_numpy().astype(np.int64).tobytes()], "data": [vectors.tobytes()]},
+            pa.schema([("b", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())]),
+        )
+
+    return run
 
 
 def _searched(k: int):
+    """For mapInArrow over partitions sorted by (s, g, b): a graph (b is -1), then the blocks of queries that ask it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = names = None
         for batch in batches:
             for row in range(len(batch)):
-                queries, flat, names, data = (batch.column(c)[row].as_py() for c in range(4))
-                names = np.frombuffer(names, np.int64)
-                graph = Graph.loads(data)
-                q = np.frombuffer(flat, np.float32).reshape(len(queries), -1)
-                asked = np.array(queries, np.int64)
+                b, ids, data = (batch.column(c)[row].as_py() for c in (2, 3, 4))
+                ids = np.frombuffer(ids, np.int64)
+                if b < 0:
+                    graph, names = Graph.loads(data), ids
+                    continue
+                q = np.frombuffer(data, np.float32).reshape(len(ids), -1)
                 out = []
                 for at in range(0, len(q), 512):
                     i, d = graph.search(q[at : at + 512], k + 1)
-                    ids = np.where(i >= 0, names[i], -1)
-                    own = np.repeat(asked[at : at + 512], i.shape[1]).reshape(i.shape)
-                    good = (i >= 0) & (ids != own)
+                    found = np.where(i >= 0, names[i], -1)
+                    own = np.repeat(ids[at : at + 512], i.shape[1]).reshape(i.shape)
+                    good = (i >= 0) & (found != own)
                     good &= np.cumsum(good, 1) <= k
-                    out.append((own[good], ids[good], d[good]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([o[c] for o in out])) for c in range(2)]
-                    + [pa.array(np.concatenate([o[2] for o in out]).astype(np.float64))],
-                    ["vec_id", "neighbor_id", "distance"],
-                )
+                    out.append((own[good], found[good], d[good]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], ["vec_id", "neighbor_id", "distance"])
 
     return run
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total, n = None, 0
     for batch in batches:
-        flat = [np.array(x, np.float32).tobytes() for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flat, pa.binary())], ["queries", "flat"])
+        if len(batch):
+            part = np.stack(batch.column(0).to_numpy(zero_copy_only=False)).astype(np.float64).sum(0)
+            total, n = part if total is None else total + part, n + len(batch)
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64())), pa.array([n], pa.int64())], ["total", "n"])
+
+
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
-def nearest(vectors: DataFrame, k: int = K, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
-    """(vec_id, neighbor_id, distance, rank) of the k nearest other rows of every row, rank from 1.
+def nearest(vectors: DataFrame, k: int = K, shard: int = SHARD, block: int = BLOCK, queries: DataFrame | None = None) -> DataFrame:
+    """(vec_id, neighbor_id, distance, rank) of the k nearest other rows of `vectors` of every query, rank from 1.
 
-    `vectors` (vec_id, embedding, ...); other columns are ignored. The dimension is the commonest size of an array; rows of
+    `vectors` (vec_id, embedding, ...), `queries` alike, all rows of `vectors` if None; other columns are ignored, whatever their names. vec_id is a whole number or of any other type that can be
+    ordered. The dimension is the commonest size of an array; rows of
     another, of null vec_id or embedding, or with a null, NaN or immense component are left out on both sides. Rows that repeat a
-    vec_id count once, with the first vector by its components. Equal vectors are neighbours at distance 0. Of fewer than
+    vec_id count once, with the first vector by its components; a query isn't its own neighbour. Equal vectors are neighbours at distance 0. Of fewer than
     k + 1 rows all others are neighbours. An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    schema = "vec_id bigint, neighbor_id bigint, distance double, rank int"
+    kind = kind_of(vectors, "vec_id")
+    schema = f"vec_id {kind}, neighbor_id {kind}, distance double, rank int"
     sizes = vectors.where("embedding is not null").groupBy(F.size("embedding").alias("d")).count()
     dim = sizes.where("d > 0").orderBy(F.desc("count"), "d").first()
     if dim is None:
         return spark.createDataFrame([], schema)
-    rows = (
-        vectors.where(F.col("vec_id").isNotNull() & _valid(dim["d"]))
-        .groupBy(F.col("vec_id").cast("bigint").alias("vec_id"))
-        .agg(F.min(F.col("embedding").cast("array<float>")).alias("embedding"))
+
+    def once(df):
+        e = F.col("embedding").cast("array<double>")
+        return df.where(F.col("vec_id").isNotNull() & _valid(dim["d"])).groupBy("vec_id").agg(F.min(e).alias("embedding"))
+
+    rows = once(vectors)
+    number = F.col("vec_id").cast("bigint") if kind in _WHOLE else F.monotonically_increasing_id()
+    rows = written(rows.withColumn("id", number))
+    asked = rows if queries is None else once(queries)
+    if queries is not None:
+        # numbered as in `rows`; ids of the queries alone don't occur there, and have negative numbers
+        alone = asked.join(rows.select("vec_id"), "vec_id", "left_anti")
+        asked = asked.join(rows.select("vec_id", "id"), "vec_id") if kind not in _WHOLE else asked.withColumn("id", number)
+        if kind not in _WHOLE:
+            asked = asked.unionByName(alone.withColumn("id", -1 - F.monotonically_increasing_id()))
+        asked = written(asked)
+    sums = rows.select("embedding").mapInArrow(_summed, "total array<double>, n bigint").select(
+        F.posexplode("total").alias("p", "x"), "n"
+    ).groupBy("p").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).orderBy("p").collect()  # a row a dimension
+    if not sums:
+        return spark.createDataFrame([], schema)
+    n, centre = sums[0]["n"], np.array([r["x"] / r["n"] for r in sums])
+    blocks = max(1, math.ceil(asked.count() / block))
+    shards, groups = max(1, math.ceil(n / shard)), max(1, math.ceil(blocks / BLOCKS))
+    graphs = (
+        rows.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("s"))
+        .groupBy("s").applyInArrow(_built(centre), "s int, ids binary, data binary")
+    )
+    packed = (
+        asked.select("id", "embedding", F.pmod(F.xxhash64(F.lit("q"), "id"), F.lit(blocks)).cast("int").alias("b"))
+        .groupBy("b").applyInArrow(_packed(centre), "b int, ids binary, data binary")
     )
-    rows = written(rows)
-    n = rows.count()
-    shards, blocks = max(1, math.ceil(n / shard)), max(1, math.ceil(n / block))
-    sharded = rows.withColumn("s", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    graphs = written(sharded.groupBy("s").applyInArrow(_built, "s int, ids binary, graph binary"))
-    asked = (
-        rows.groupBy(F.pmod(F.xxhash64(F.lit("q"), "vec_id"), F.lit(blocks)).alias("b"))
-        .agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("x"))
-        .select(F.col("x.vec_id").alias("queries"), F.flatten("x.embedding").alias("flat"))
-        .mapInArrow(_packed, "queries array<bigint>, flat binary")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    tasks = graphs.select("s", every(groups).alias("g"), F.lit(-1).alias("b"), "ids", "data").unionByName(
+        packed.select(every(shards).alias("s"), (F.col("b") % groups).alias("g"), "b", "ids", "data")
     )
-    tasks = (
-        asked.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(graphs, "s")
-        .select("queries", "flat", "ids", "graph")
-        .repartition(blocks * shards)
+    found = (
+        tasks.repartition(shards * groups, "s", "g").sortWithinPartitions("s", "g", "b")
+        .mapInArrow(_searched(k), "vec_id bigint, neighbor_id bigint, distance double")
     )
-    found = tasks.mapInArrow(_searched(k), "vec_id bigint, neighbor_id bigint, distance double")
+    if kind in _WHOLE:
+        found = found.select(F.col("vec_id").cast(kind).alias("vec_id"), F.col("neighbor_id").cast(kind).alias("neighbor_id"), "distance")
+    else:
+        names = asked.select(F.col("id").alias("vec_id"), F.col("vec_id").alias("own")).join(found, "vec_id")
+        found = names.join(rows.select(F.col("id").alias("neighbor_id"), F.col("vec_id").alias("other")), "neighbor_id").select(
+            F.col("own").alias("vec_id"), F.col("other").alias("neighbor_id"), "distance"
+        )
     best = W.partitionBy("vec_id").orderBy("distance", "neighbor_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
