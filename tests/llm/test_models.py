@@ -3,6 +3,8 @@
 import itertools
 import random
 import re
+import textwrap
+import time
 from collections import Counter
 
 import numpy as np
@@ -329,13 +331,71 @@ def test_toxicity_on_labels(spark):
 # licences
 
 
+licences_of = licenses.licenses_of
+
+
+def laid_out(text, form):
+    lines = textwrap.wrap(text, 64)
+    return [text, "\n".join(lines), text.upper(), "/*\n * " + "\n * ".join(lines) + "\n */", "# " + "\n# ".join(lines)][form]
+
+
 def test_licenses(spark):
-    texts = [name_text[1] for name_text in licenses.TEMPLATES]
-    rows = [(k, f"Some words. {t} More words follow here.") for k, t in enumerate(texts)]
+    rows = [(5 * k + form, f"Some words. {laid_out(t, form)} More words follow here.") for k, (_, t) in enumerate(licenses.TEMPLATES) for form in range(5)]
     got = licenses.scan_licenses(docs(spark, rows)).collect()
+    text = dict(rows)
     for r in got:
-        assert r["license"] == licenses.TEMPLATES[r["doc_id"]][0] and not r["missing"] and not r["added"]
-    assert {r["doc_id"] for r in got} == set(range(len(texts)))
+        assert r["license"] == licenses.TEMPLATES[r["doc_id"] // 5][0] and not r["missing"] and not r["added"]
+        assert licenses.words(text[r["doc_id"]][r["at"] :])[0] == licenses.WORDS[r["doc_id"] // 5][0]
+    assert Counter(r["doc_id"] for r in got) == Counter(dict(rows).keys())
+
+
+def brute_licences(text):
+    """Every wording against every stretch of the text: no cues, no ranking threshold, no places."""
+    own = licenses.words(text)
+    data = " ".join(text.lower().split()).encode()
+    alone, given, _ = licenses._compressors()
+    found, ranges = [], []
+    for k in sorted(range(len(given)), key=lambda k: (len(given[k].compress(data)), k)):
+        m = len(licenses.WORDS[k])
+        slack = int(licenses.MOST_DIFFERENT * m) + 3
+        for a in range(0, max(1, len(own) - m + slack), max(1, slack // 2)):
+            window = own[a : a + m + slack]
+            missing, added, x, y = licenses.differences(window, licenses.WORDS[k])
+            if licenses.confirmed(missing, added, k) and not any(p < a + y and a + x < q for p, q in ranges):
+                ranges.append((a + x, a + y))
+                found.append(licenses.TEMPLATES[k][0])
+    return Counter(found)
+
+
+def test_licenses_against_brute_force():
+    rng = random.Random(11)
+    plain = "the river ran past old stones while children sang about bread and winter light over hills".split()
+    some, seen = [], set()
+    for k, (name, t) in enumerate(licenses.TEMPLATES):
+        if k % 3 == 0 or len(licenses.WORDS[k]) > 30:
+            w = t.split()
+            for _ in range(len(w) // 25):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randrange(2)] = rng.sample(plain, rng.randrange(2))
+            filler = [" ".join(rng.choice(plain) for _ in range(rng.randrange(1, 40))) for _ in range(2)]
+            some.append(f"{filler[0]}.\n{laid_out(' '.join(w), rng.randrange(5))}\n{filler[1]}")
+            seen.add(name)
+    some += [f"{a}\n\n{b}" for a, b in zip(some[::2], some[1::2])][:8] + ["no licence here, nor a copyright or warranty", "Redistribution of wealth", "public domain"]
+    right = 0
+    for text in some:
+        got, want = Counter(x[1] for x in licences_of(text)), brute_licences(text)
+        assert got.keys() == want.keys(), (text, got, want)
+        right += bool(got)
+    assert right >= 0.85 * (len(some) - 3) and len(seen) > 25
+
+
+def test_licenses_in_long_texts_are_linear():
+    notice = "Released under the MIT License. "
+    began = time.time()
+    assert {x[1] for x in licences_of("warranty " * 60_000)} == set()
+    assert {x[1] for x in licences_of("word copyright word " * 20_000 + notice)} == {"MIT"}
+    assert {x[1] for x in licences_of("the license of the software is the license\n" * 8000 + notice)} == {"MIT"}
+    assert time.time() - began < 60
 
 
 @pytest.mark.parametrize(
@@ -345,13 +405,17 @@ def test_licenses(spark):
         ("Licensed under CC BY 4.0.", {"CC-BY-4.0"}),
         ("Licensed under the GNU General Public License, version 2", {"GPL-2.0"}),
         ("released under the   mit licence", {"MIT"}),
+        ("SPDX-License-Identifier: MIT", {"MIT"}),
+        ("// SPDX-License-Identifier: Apache-2.0", {"Apache-2.0"}),
+        ("/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */", {"MPL-2.0"}),
+        ("covered by a Creative Commons Attribution 4.0 International License", {"CC-BY-4.0"}),
         ("a licensed driver drove home", set()),
         ("Released under the MIT License. All rights reserved.", {"MIT", "All-rights-reserved"}),
         ("", set()),
     ],
 )
 def test_license_wordings(text, names):
-    assert {n for _, b in licenses.blocks(text) for n, *_ in licenses.identify(b)} == names
+    assert {x[1] for x in licences_of(text)} == names
 
 
 def test_licenses_odd(spark):
@@ -359,6 +423,8 @@ def test_licenses_odd(spark):
     got = licenses.scan_licenses(docs(spark, ODD + [(9, long)])).collect()
     assert [(r["doc_id"], r["license"]) for r in got] == [(9, "MIT")] and got[0]["at"] == 500_001
     assert licenses.scan_licenses(docs(spark, [])).count() == 0
+    named = spark.createDataFrame([("a", "SPDX-License-Identifier: ISC", 1, "x"), (None, "Licensed under CC BY 4.0.", 2, "y")] * 2, "doc_id string, text string, license int, missing string")
+    assert sorted((str(r["doc_id"]), r["license"]) for r in licenses.scan_licenses(named).collect()) == [("None", "CC-BY-4.0")] * 2 + [("a", "ISC")] * 2
 
 
 # queries and pipeline
