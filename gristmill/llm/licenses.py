@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import kind_of
 from .license_texts import TEMPLATES
 
-LEVEL, LEAST_REDUCTION, MOST_DIFFERENT, KNOWN = 6, 0.1, 0.3, 50_000
+LEVEL, MOST_DIFFERENT, KNOWN = 6, 0.3, 50_000
 CUE = r"(?i)licen[cs]|copyright|rights\W{1,9}reserved|public\W{1,9}domain|warrant(?:y|ies)|redistribut|permission\W{1,9}(?:is|to)\W|spdx|creative\W{1,9}commons"
 _CUE = re.compile(CUE)
 _WORD = re.compile(r"(?:version|\bv)\.?\s*(\d+(?:\.\d+)*)|(\d)[-\s]clause|\d+(?:\.\d+)+|[^\W_]+")
@@ -117,47 +117,47 @@ def _compressors():
     alone = zstandard.ZstdCompressor(**options)
     data = [" ".join(t.lower().split()).encode() for _, t in TEMPLATES]
     given = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), **options) for d in data]
-    return alone, given, [len(alone.compress(d)) for d in data]
+    return alone, given
 
 
 def ranked(block: str) -> list[tuple[float, int]]:
-    """(share of the compressed size that the wording takes away, wording), the largest first.
-
-    Wordings that take less than LEAST_REDUCTION of the block's size, or of their own where that is less, are left out.
-    """
-    alone, given, own = _compressors()
+    """(share of the compressed size that the wording takes away, wording) of all wordings, the largest first."""
+    alone, given = _compressors()
     data = " ".join(block.lower().split()).encode()
     size = len(alone.compress(data))
-    out = []
-    for k, c in enumerate(given):
-        less = size - len(c.compress(data))
-        if less >= LEAST_REDUCTION * min(size, own[k]):
-            out.append((less / size, k))
+    out = [((size - len(c.compress(data))) / size, k) for k, c in enumerate(given)]
     return sorted(out, key=lambda x: (-x[0], x[1]))
 
 
-@cache
-def _pairs(k: int) -> dict[tuple[str, str], list[int]]:
-    out: dict[tuple[str, str], list[int]] = {}
-    for j, pair in enumerate(zip(WORDS[k], WORDS[k][1:])):
-        out.setdefault(pair, []).append(j)
+def _pairs() -> dict[tuple[str, str], list[tuple[int, int]]]:
+    out: dict[tuple[str, str], list[tuple[int, int]]] = {}
+    for k, t in enumerate(WORDS):
+        for j, pair in enumerate(zip(t, t[1:])):
+            out.setdefault(pair, []).append((k, j))
     return out
 
 
-def places(block: list[str], k: int) -> list[tuple[int, int]]:
-    """Ranges of the block's words where the wording may be: where enough of its pairs of words stand in line."""
-    m, pairs = len(WORDS[k]), _pairs(k)
-    wide, slack = max(3, m // 4), math.ceil(MOST_DIFFERENT * m) + 2
-    votes: Counter = Counter()
+PAIRS = _pairs()
+
+
+def places(block: list[str]) -> dict[int, list[tuple[int, int]]]:
+    """By wording, ranges of the block's words where it may be: where enough of its pairs of words stand in line."""
+    votes: dict[int, Counter] = {}
     for i, pair in enumerate(zip(block, block[1:])):
-        for j in pairs.get(pair, ()):
-            votes[(i - j) // wide] += 1
-    out, used = [], set()
-    for x in sorted(votes, key=lambda x: (-votes[x], x)):
-        if x not in used and votes[x - 1] + votes[x] + votes[x + 1] >= 0.4 * (m - 1):
-            used |= {x - 1, x, x + 1}
-            out.append((max(0, x * wide - slack), min(len(block), x * wide + wide + m + slack)))
-    return sorted(out)
+        for k, j in PAIRS.get(pair, ()):
+            votes.setdefault(k, Counter())[(i - j) // max(3, len(WORDS[k]) // 4)] += 1
+    found = {}
+    for k, seen in votes.items():
+        m = len(WORDS[k])
+        wide, slack = max(3, m // 4), math.ceil(MOST_DIFFERENT * m) + 2
+        out, used = [], set()
+        for x in sorted(seen, key=lambda x: (-seen[x], x)):
+            if x not in used and seen[x - 1] + seen[x] + seen[x + 1] >= 0.4 * (m - 1):
+                used |= {x - 1, x, x + 1}
+                out.append((max(0, x * wide - slack), min(len(block), x * wide + wide + m + slack)))
+        if out:
+            found[k] = sorted(out)
+    return found
 
 
 def differences(block: list[str], template: list[str]) -> tuple[list[str], list[str], int, int]:
@@ -184,10 +184,10 @@ def identify(block: str) -> list[tuple[int, str, float, list[str], list[str]]]:
     A wording inside the range of one that takes more away isn't counted again.
     """
     own, at = tokens(block)
-    out, ranges = [], []
-    for reduction, k in ranked(block):
+    out, ranges, where = [], [], places(own)
+    for reduction, k in ranked(block) if where else ():
         name = TEMPLATES[k][0]
-        for a, b in places(own, k):
+        for a, b in where.get(k, ()):
             missing, added, first, last = differences(own[a:b], WORDS[k])
             first, last = a + first, a + last
             if not confirmed(missing, added, k) or any(x < last and first < y for x, y in ranges):
