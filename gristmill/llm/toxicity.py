@@ -5,14 +5,18 @@ power of the characters they span in both, scaled to 1 for equal strings. Gaps a
 break a match. Words are compared to a few landmarks; the similarities, whitened by the landmarks' own, are
 the features of a linear machine with squared hinge loss.
 
-Labels are of documents, so training is by witness: the landmarks are substrings that cover the toxic sentences
+Labels are of texts, sentences or whole documents, so training is by witness: the landmarks are substrings that cover the toxic texts
 and that clean ones hardly have, and clean words most like them, chosen by pivoted Cholesky. Words with
-such a substring are the positives, as they are and with a character inserted; all words of clean sentences
-are negatives. A document is toxic if more of its words score high than clean documents explain.
+such a substring are the positives, as they are and with a character inserted; all words of clean texts
+are negatives. What is judged is a window of words, in two sizes, WINDOWS: about a sentence or two for plain insults, and pages for many that are
+less plain. Half of a window is in the next one, and the last is as long as the text is left. A window
+is the more surprising, the more of its words score higher than those of clean windows do; a document is judged by its most surprising windows, so that
+length neither hides a toxic sentence nor adds up to one. The limits are taken from held-out clean documents, by a quantile, so that a wrong label among them doesn't move them.
 
 A word is what stands between white space, lower-case, letters and digits only, so that `i-d.i*o-t` is one; a
 run of three or more single letters (`i d i o t`) is one too. Words of over LONG characters are read in
-overlapping windows. Each task scores a distinct word once, prefixes in common together.
+overlapping windows. Each task scores a distinct word once, prefixes in common together. The kernel needs three characters, marks of
+beginning and end included: words of one character have none, and an insult of two inside a longer run without spaces isn't seen.
 """
 
 from __future__ import annotations
@@ -27,13 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, kind_of
 from .kernels import slices, token_spans
 
 DECAY, LONG, LANDMARKS, LANDMARK_CHARS = 0.7, 16, 32, 12
 #: The most documents of either class whose words the machine is trained on.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 1000, 2000
-SHORTEST, CACHE, CHANCE = 3, 1_000_000, 10.0
-CUTS, LEAST_SURPRISE, MARGIN, FREE = (-0.5, -0.3, -0.1, 0.1, 0.3, 0.5, 0.65, 0.8, 0.95), 2.0, 0.3, 0.02
+SHORTEST, RUN, CACHE, CHANCE = 2, 3, 1_000_000, 10.0
+CUTS, LEAST_SURPRISE, FREE = (-0.5, -0.3, -0.1, 0.1, 0.3, 0.5, 0.65, 0.8, 0.95), 2.0, 0.02
+WINDOWS = (64, 512)
+#: A document is toxic if it is TIMES less likely than the least likely QUANTILE of clean ones.
+QUANTILE, TIMES = 0.995, 10.0
 
 
 def codes(words: list[str], width: int) -> np.ndarray:
@@ -146,10 +154,10 @@ def surprise(hits: int, mean: float) -> float:
 
 
 class Machine:
-    """Scores words, and documents by their words: above 0 is toxic.
+    """Scores words, and windows of words by theirs.
 
-    A document's surprise is the highest, over CUTS, that so many of its distinct words score above the cut, given the
-    share that do in clean documents; its score is by how much that passes `limit`, the most of held-out clean ones.
+    A window's surprise is the highest, over CUTS, that so many of its distinct words score above the cut, given the
+    share that do in clean windows (`rates`, by size of window); a document's score is by how much its most surprising windows pass the `limits` of their size.
 
     A word that lacks a letter of every landmark of positive weight scores -1 at once: gaps and inserted
     characters take no letter away.
@@ -160,7 +168,7 @@ class Machine:
         self.codes = codes(marks, max(map(len, marks), default=1)) if marks else np.zeros((0, 1), np.uint32)
         self.own = np.maximum(self_kernel(self.codes), 1e-12) if marks else np.zeros(0, np.float32)
         self.letters = letters(self.codes[self.alpha > 0]) if marks else np.zeros(0, np.uint32)
-        self.rates, self.limit = [1.0] * len(CUTS), LEAST_SURPRISE
+        self.rates, self.limits = [[1.0] * len(CUTS) for _ in WINDOWS], [LEAST_SURPRISE for _ in WINDOWS]
 
     def similarities(self, words: list[str]) -> np.ndarray:
         """Scaled to 1 for equal strings; words of at most LONG characters, with their marks."""
@@ -170,18 +178,36 @@ class Machine:
         own = [self_kernel(codes(words[i : i + 4096], LONG + 2)) for i in range(0, len(words), 4096)]
         return k / np.sqrt(np.maximum(np.concatenate([*own, np.zeros(0)]), 1e-12)[:, None] * self.own)
 
-    def document(self, values: list[float]) -> tuple[float, int]:
-        """(surprise, words above the cut that gives it) of a document with distinct words of such scores."""
-        best, number = 0.0, 0
-        high = [v for v in values if v > CUTS[0]]
-        for cut, rate in zip(CUTS, self.rates):
+    def window(self, high: list[float], number: int, rates: list[float]) -> tuple[float, int]:
+        """(surprise, words above the cut that gives it) of a window of `number` distinct words, those above the lowest cut of scores `high`."""
+        best, most = 0.0, 0
+        for cut, rate in zip(CUTS, rates):
             hits = sum(v > cut for v in high)
             if not hits:
                 break
-            found = surprise(hits, rate * len(values))
+            found = surprise(hits, rate * number)
             if found > best:
-                best, number = found, hits
-        return best, number
+                best, most = found, hits
+        return best, most
+
+    def surprises(self, words: list[str], hot: dict[str, float]) -> list[tuple[float, int]]:
+        """By size of window, (surprise, words above its cut) of the most surprising one of a document; `hot`: the scores of words above the lowest cut.
+
+        For sizes beyond the first, whose evidence is many weak words, the surprise is that of the best of so many windows.
+        """
+        at, out = [i for i, w in enumerate(words) if w in hot], []
+        for size, rates in zip(WINDOWS, self.rates):
+            best = (0.0, 0)
+            for k in sorted({k for i in at for k in window_starts(i, len(words), size)}):
+                part = set(words[k : k + size])
+                best = max(best, self.window([hot[w] for w in part if w in hot], len(part), rates))
+            many = max(1, 2 * len(words) // size) if size > WINDOWS[0] else 1
+            out.append((max(0.0, best[0] - math.log10(many)), best[1]))
+        return out
+
+    def document(self, words: list[str], hot: dict[str, float]) -> tuple[float, int]:
+        """(score, words above the cut of the window that gives it) of a document."""
+        return max((found - limit, number) for (found, number), limit in zip(self.surprises(words, hot), self.limits))
 
     def near(self, words: list[str]) -> np.ndarray:
         have = letters(codes(words, LONG + 2))
@@ -204,8 +230,16 @@ class Machine:
         return out
 
 
-def word_sets(column: pa.Array) -> Iterator[tuple[int, set[str]]]:
-    """(row, raw words and joined runs of single letters) of each text."""
+def window_starts(i: int, n: int, size: int) -> list[int]:
+    """Where the windows of a text of n words begin that have word i."""
+    half = size // 2
+    last = max(0, -(-(n - size) // half))
+    k = i // half
+    return [x * half for x in (k - 1, k) if 0 <= x <= last or x == 0]
+
+
+def word_lists(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(row, raw words in order, joined runs of single letters before the word in which they begin) of each text."""
     for i, j, buf, offs in slices(column):
         starts, ends, _, _ = token_spans(buf, offs)
         raw = buf.tobytes()
@@ -215,20 +249,25 @@ def word_sets(column: pa.Array) -> Iterator[tuple[int, set[str]]]:
         doc = np.searchsorted(offs, starts, "right")
         go = np.concatenate([[0], single.astype(np.int8), [0]])
         edges = np.flatnonzero(np.diff(go))
-        extra: dict[int, list[str]] = {}
+        extra: dict[int, list[tuple[int, str]]] = {}
         for a, b in zip(edges[::2], edges[1::2]):
-            if b - a < SHORTEST:
+            if b - a < RUN:
                 continue
             for d in range(doc[a], doc[b - 1] + 1):
                 x, y = np.searchsorted(doc[a:b], [d, d + 1]) + a
-                if y - x >= SHORTEST:
-                    extra.setdefault(d - 1, []).append(
-                        b"".join(raw[starts[k] : ends[k]] for k in range(x, y)).decode(errors="ignore")
-                    )
+                if y - x >= RUN:
+                    joined = b"".join(raw[starts[k] : ends[k]] for k in range(x, y)).decode(errors="ignore").lower()
+                    extra.setdefault(d - 1, []).append((int(starts[x]), joined))
         for k in range(j - i):
-            words = set(raw[offs[k] : offs[k + 1]].decode(errors="ignore").lower().split())
-            words.update(extra.get(k, ()))
-            yield i + k, words
+            if k not in extra:
+                yield i + k, raw[offs[k] : offs[k + 1]].decode(errors="ignore").lower().split()
+                continue
+            words, at = [], int(offs[k])
+            for start, joined in extra[k]:
+                words += raw[at:start].decode(errors="ignore").lower().split()
+                words.append(joined)
+                at = start
+            yield i + k, words + raw[at : offs[k + 1]].decode(errors="ignore").lower().split()
 
 
 def _varied(word: str, rng: np.random.Generator, times: int) -> list[str]:
@@ -304,13 +343,13 @@ def stems(documents: list[set[str]], clear: Counter, good: int, most: int) -> li
 
 
 def train(texts: Iterable[tuple[str, int]], landmarks: int = LANDMARKS, seed: int = 5) -> Machine:
-    """The machine of labelled texts (text, toxic 0 or 1); one that finds nothing toxic if a class is missing."""
+    """The machine of labelled texts (text, toxic 0 or 1), sentences or documents; one that finds nothing toxic if a class is missing."""
     clear, documents, fine, data = Counter(), [], [], list(texts)
     column = pa.array([t for t, _ in data], pa.large_string())
-    held: list[set[str]] = []  # every fourth clean document, for the rates and the limit
-    for k, raw in word_sets(column):
-        bare = set(map(clean, raw))
-        words = {p for w in bare if len(w) >= SHORTEST for p in windows(w)}
+    held: list[list[str]] = []  # every fourth clean document, for the rates and the limit
+    for k, raw in word_lists(column):
+        bare = [clean(w) for w in raw]
+        words = {p for w in set(bare) if len(w) >= SHORTEST for p in windows(w)}
         if data[k][1]:
             documents.append(words)
         elif len(fine) > 3 * len(held) + 2:
@@ -361,37 +400,42 @@ def train(texts: Iterable[tuple[str, int]], landmarks: int = LANDMARKS, seed: in
     v, bias = _newton(np.vstack([x_pos, x_neg]), y, c)
     machine = Machine(marks, whiten @ v, bias)
     known = sorted(set().union(*held))
-    score = dict(zip(known, machine.scores(known).tolist()))
-    rows = [[score[w] for w in words] for words in held]
-    number = sum(map(len, rows)) + 1
-    machine.rates = [max(FREE, sum(x > cut for r in rows for x in r)) / number for cut in CUTS]
-    machine.limit = max([LEAST_SURPRISE, *(machine.document(r)[0] + MARGIN for r in rows)])
+    hot = {w: x for w, x in zip(known, machine.scores(known).tolist()) if x > CUTS[0]}
+    for s, size in enumerate(WINDOWS):
+        parts = [set(words[k : k + size]) for words in held for k in range(0, max(1, len(words)), size)]
+        number, high = sum(map(len, parts)) + 1, [hot[w] for p in parts for w in p if w in hot]
+        machine.rates[s] = [max(FREE, sum(x > cut for x in high)) / number for cut in CUTS]
+    if held:
+        most = np.array([[x for x, _ in machine.surprises(words, hot)] for words in held])
+        machine.limits = [max(LEAST_SURPRISE, float(np.quantile(x, QUANTILE)) + math.log10(TIMES)) for x in most.T]
     return machine
 
 
 def _scorer(machine: Machine):
     """The score and the number of toxic words of each text; a distinct word is scored once in a partition."""
-    cache: dict[str, float] = {}
+    seen: set[str] = set()
+    hot: dict[str, float] = {}
 
     def run(column: pa.Array) -> tuple[list[float], list[int]]:
         highest, hits, part = [], [], []
 
         def flush():
-            if len(cache) > CACHE:
-                cache.clear()
-            new = list(set().union(*part) - cache.keys())
+            if len(seen) > CACHE:
+                seen.clear()
+                hot.clear()
+            new = list(set().union(*part) - seen)
+            seen.update(new)
             bare = {w: clean(w) for w in new}
             distinct = sorted(set(bare.values()))
-            score = dict(zip(distinct, machine.scores(distinct).tolist()))
-            for w in new:
-                cache[w] = score[bare[w]]
+            value = dict(zip(distinct, machine.scores(distinct).tolist()))
+            hot.update((w, value[x]) for w, x in bare.items() if value[x] > CUTS[0])
             for words in part:
-                found, number = machine.document([cache[w] for w in words])
-                highest.append(found - machine.limit)
-                hits.append(number if found > machine.limit else 0)
+                score, number = machine.document(words, hot)
+                highest.append(score)
+                hits.append(number if score > 0 else 0)
             part.clear()
 
-        for _, words in word_sets(column):
+        for _, words in word_lists(column):
             part.append(words)
             if len(part) == 500:
                 flush()
@@ -415,38 +459,40 @@ def _scored(machine: Machine):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE, clear: int = CLEAN_SAMPLE):
-    """(text, toxic) of at most so many labelled documents of each class, those of lowest hashed doc_id."""
-    order = F.xxhash64("doc_id")
-    ids = labels.where("doc_id is not null and toxic is not null").select("doc_id", "toxic").distinct()
-    one = ids.where("toxic = 1").orderBy(order, "doc_id").limit(toxic)
-    two = ids.where("toxic = 0").orderBy(order, "doc_id").limit(clear)
-    chosen = {r["doc_id"]: r["toxic"] for r in one.union(two).collect()}
-    if not chosen:
-        return []
-    spark = docs.sparkSession
-    few = spark.createDataFrame([(int(k), int(v)) for k, v in chosen.items()], "__id bigint, __toxic int")
+    """(text, toxic) of at most so many labelled documents of each class, those of lowest hashed doc_id.
+
+    Null ids, labels and texts don't count, nor do ids that are labelled both ways; of rows that repeat an id, the least text does. Missing or empty
+    tables give an empty list.
+    """
+    ids = (
+        labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("y"), F.max("toxic").alias("other"))
+        .where("y = other and y in (0, 1)").select(F.col("doc_id").alias("id"), F.col("y").cast("int").alias("y"))
+    )
+    few = [ids.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in ((1, toxic), (0, clear))]
+    few = cut(few[0].union(few[1]))
     rows = (
-        docs.select("doc_id", "text").where("text is not null")
-        .join(F.broadcast(few), F.col("doc_id") == F.col("__id"))  # at most toxic + clear rows
-        .select("doc_id", "text", "__toxic")
-        .collect()
+        docs.where("text is not null").select("doc_id", "text")
+        .join(F.broadcast(few), F.col("doc_id") == F.col("id"))  # at most toxic + clear rows
+        .groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).collect()
     )
-    return [(r["text"], r["__toxic"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
+    return [(r["text"], r["y"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
 
 
 def score_toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
     """(doc_id, score, toxic_words, toxic) of each row; toxic where the score is above 0.
 
-    toxic_words: how many of its distinct words made it so. Null and empty texts, and texts without words, have the least
-    score and aren't toxic; repeated rows each give a row; other columns are ignored; no rows give no rows.
+    toxic_words: how many distinct words of its most surprising window made it so. Null and empty texts, and texts without words, have the least
+    score and aren't toxic; repeated rows each give a row; doc_id is of any type, null too; other columns are ignored, whatever their names; no rows give no rows.
     """
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        _scored(machine), "doc_id bigint, score double, toxic_words int, toxic boolean"
-    )
+    kind = kind_of(docs, "doc_id")
+    return docs.select("doc_id", "text").mapInArrow(_scored(machine), f"doc_id {kind}, score double, toxic_words int, toxic boolean")
 
 
 def drop_toxic(docs: DataFrame, machine: Machine) -> DataFrame:
-    """`docs` without toxic rows; same columns. In one pass: the rows never leave their partition."""
+    """`docs` without toxic rows; same columns, of whatever names. In one pass: the rows never leave their partition.
+
+    Null and empty texts stay, and rows of null doc_id are judged like others; repeated rows go or stay together; an empty table gives an empty table.
+    """
     at = [n.lower() for n in docs.columns].index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
