@@ -9,8 +9,8 @@ candidate if one of its shingles is a minimum. Items that need fewer than EXACT
 more often: for these, all shingles of the documents are looked up. Candidates are verified by exact containment: the share of
 the item's distinct shingles that the document has.
 
-Items are sketch keys in an array that every task holds. They are read in blocks of `block` items, and
-each block is one pass over the documents, so no task holds more than one block.
+Items are sketch keys in an array that every task holds. They are read in blocks of at most `block` items and about SHINGLES shingles, which are broadcast; with more
+than one, each is a pass over the documents, so no task holds more than one block.
 """
 
 from __future__ import annotations
@@ -23,18 +23,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, kind_of
 from .kernels import U64, gram_sets, ngram_hashes, slices, token_hashes
 
-N, THRESHOLD, BLOCK, FILTER_BITS = 3, 0.6, 100_000, 22
+N, THRESHOLD, BLOCK, SHINGLES, FILTER_BITS = 3, 0.6, 100_000, 4_000_000, 22
 EXACT = 8
 
 
 class _Keys:
     """The shingles of the items `numbers`, for finding which items have a value."""
 
-    def __init__(self, sets: list[tuple[int, np.ndarray]], numbers: list[int]):
-        owner = np.repeat(np.array(numbers, np.int64), [len(sets[k][1]) for k in numbers])
-        keys = np.concatenate([np.zeros(0, U64), *(sets[k][1] for k in numbers)])
+    def __init__(self, sets: list[np.ndarray], numbers: list[int]):
+        owner = np.repeat(np.array(numbers, np.int64), [len(sets[k]) for k in numbers])
+        keys = np.concatenate([np.zeros(0, U64), *(sets[k] for k in numbers)])
         order = np.argsort(keys, kind="stable")
         self.keys, self.owner = keys[order], owner[order]
         self.maybe = np.zeros(1 << FILTER_BITS, bool)
@@ -51,15 +52,16 @@ class _Keys:
         return np.repeat(hit, many), item
 
 
-def _matches(sets: list[tuple[int, np.ndarray]], n: int, threshold: float):
-    """The function for mapInArrow that finds the items `sets` in a batch of (doc_id, text)."""
-    few = [math.ceil(threshold * len(s)) < EXACT for _, s in sets]
-    long = _Keys(sets, [k for k, x in enumerate(few) if not x])
-    short = _Keys(sets, [k for k, x in enumerate(few) if x])
+def _matches(shared, n: int, threshold: float):
+    """The function for mapInArrow that finds the items of a broadcast (ids, sets) in a batch of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, sets = shared.value
+        few = [math.ceil(threshold * len(s)) < EXACT for s in sets]
+        long = _Keys(sets, [k for k, x in enumerate(few) if not x])
+        short = _Keys(sets, [k for k, x in enumerate(few) if x])
         for batch in batches:
-            ids, found = batch.column(0), []
+            docs, found, shares = [], [], []
             for i, j, buf, offs in slices(batch.column(1)):
                 grams, at = ngram_hashes(*token_hashes(buf, offs), n)
                 count = np.diff(at)
@@ -80,56 +82,70 @@ def _matches(sets: list[tuple[int, np.ndarray]], n: int, threshold: float):
                 for d, k in zip(pairs // max(len(sets), 1), pairs % max(len(sets), 1)):
                     if d != last:
                         last, have = d, grams[at[d] : at[d + 1]]
-                    item_id, want = sets[k]
-                    share = float(np.isin(want, have).sum()) / len(want)
+                    share = float(np.isin(sets[k], have).sum()) / len(sets[k])
                     if share >= threshold:
-                        found.append((ids[i + int(d)].as_py(), item_id, share))
+                        docs.append(i + int(d))
+                        found.append(int(k))
+                        shares.append(share)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([x[0] for x in found], pa.int64()),
-                    pa.array([x[1] for x in found], pa.int64()),
-                    pa.array([x[2] for x in found], pa.float64()),
-                ],
+                [batch.column(0).take(pa.array(docs, pa.int64())), items.take(pa.array(found, pa.int64())), pa.array(shares, pa.float64())],
                 ["doc_id", "item_id", "containment"],
             )
 
     return run
 
 
+def _item_blocks(items: DataFrame, n: int, block: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """(ids, sets) of the items with shingles, in blocks; one empty block if there are none."""
+    kind = items.schema["item_id"].dataType
+    ids, sets, size, number = [], [], 0, 0
+
+    def made():
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        return pa.array(ids, to_arrow_type(kind)), list(sets)
+
+    for row in items.select("item_id", F.lower("text")).toLocalIterator():
+        for _, s in gram_sets(pa.array([row[1]], pa.large_string()), n):
+            if len(s):
+                ids.append(row[0])
+                sets.append(s)
+                size += len(s)
+        if len(ids) == block or size >= SHINGLES:
+            yield made()
+            ids, sets, size, number = [], [], 0, number + 1
+    if ids or not number:
+        yield made()
+
+
 def contaminated(
     docs: DataFrame, items: DataFrame, n: int = N, threshold: float = THRESHOLD, block: int = BLOCK
 ) -> DataFrame:
     """(doc_id, item_id, containment) of all documents that hold at least `threshold` of an item's shingles.
 
-    `docs` (doc_id, text, ...) and `items` (item_id, text, ...); other columns are ignored. Null and empty
+    `docs` (doc_id, text, ...) and `items` (item_id, text, ...); ids of any type; other columns are ignored, whatever their names. Null and empty
     texts have no shingles and match nothing; a text of fewer than n tokens has one shingle, all of it. Texts
-    are read whole. Repeated documents and repeated items each give their own rows. Empty tables give no rows.
+    are read whole. Repeated documents and repeated items each give their own rows, those of null ids too. Empty tables give no rows.
     """
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower("text").alias("text"))
-    out, number = None, 0
-    rows = items.select(F.col("item_id").cast("bigint"), F.lower("text")).toLocalIterator()
-    while True:
-        part = []
-        for row in rows:
-            part.append(row)
-            if len(part) == block:
-                break
-        if not part and number:
-            break
-        number += 1
-        column = pa.array([r[1] for r in part], pa.large_string())
-        sets = [(part[k][0], s) for k, s in gram_sets(column, n) if len(s)]
-        found = texts.mapInArrow(_matches(sets, n, threshold), "doc_id bigint, item_id bigint, containment double")
+    texts = docs.select("doc_id", F.lower("text").alias("text"))
+    schema = f"doc_id {kind_of(docs, 'doc_id')}, item_id {kind_of(items, 'item_id')}, containment double"
+    out = None
+    for made in _item_blocks(items, n, block):
+        shared = docs.sparkSession.sparkContext.broadcast(made)  # at most `block` items and about SHINGLES shingles of 8 bytes
+        found = texts.mapInArrow(_matches(shared, n, threshold), schema)
         out = found if out is None else out.unionByName(found)
-        if len(part) < block:
-            break
     return out
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` without the documents that hold an item; same columns, nulls and empty texts stay (a null doc_id too)."""
-    bad = contaminated(docs, items, n, threshold).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("__bad"), "left_anti")
+    """`docs` without the documents that hold an item; same columns, of whatever names.
+
+    Null and empty texts stay, as do rows of null doc_id; rows that repeat a doc_id go if one of them holds an item. An empty
+    table gives an empty table, an empty table of items all documents.
+    """
+    (bad,) = fresh(docs, "bad")
+    ids = contaminated(docs, items, n, threshold).select(F.col("doc_id").alias(bad)).distinct()
+    return docs.join(ids, docs["doc_id"] == ids[bad], "left_anti")
 
 
 _GRAMS = f"""

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 WINDOW = 3
 
@@ -87,23 +87,20 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Later occurrences inside one text count too. Texts of fewer than three lines, null texts (they stay
     null) and empty ones stay as they are; windows of only white space are never covered. A text whose
     lines are all covered becomes empty; no row goes. Equal rows (same doc_id and text) are one document
-    and get the same result; a null doc_id comes before all others. The order of rows doesn't matter.
+    and get the same result; a null doc_id comes before all others. The order of rows doesn't matter. doc_id is of any type that can be
+    ordered; other columns go along, whatever their names. An empty table gives an empty table.
     """
-    ranges = covered_ranges(docs, window).select(
-        F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.col("kept").alias("__kept"),
-        F.col("done").alias("__done"), F.col("removed").alias("__removed"),
-    )
+    own, t, kept, done, removed = fresh(docs, "id", "t", "kept", "done", "removed")
+    ranges = covered_ranges(docs, window).toDF(own, t, kept, done, removed)
     names = [c for c in docs.columns if c.lower() != "lines_removed"]
-    joined = docs.join(
-        ranges, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__t")), "left"
-    )
+    joined = docs.join(ranges, F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(t)), "left")
     lines = _lines(F.col("text"))
-    slices = F.flatten(F.transform("__kept", lambda s: F.slice(lines, s["from"] + 1, s["to"] - s["from"])))
-    tail = F.slice(lines, F.col("__done") + 1, F.size(lines))
-    text = F.when(F.col("__done").isNull(), F.col("text")).otherwise(F.array_join(F.concat(slices, tail), "\n"))
+    slices = F.flatten(F.transform(kept, lambda s: F.slice(lines, s["from"] + 1, s["to"] - s["from"])))
+    tail = F.slice(lines, F.col(done) + 1, F.size(lines))
+    text = F.when(F.col(done).isNull(), F.col("text")).otherwise(F.array_join(F.concat(slices, tail), "\n"))
     return joined.select(
         *(text.alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in names),
-        F.coalesce("__removed", F.lit(0)).alias("lines_removed"),
+        F.coalesce(removed, F.lit(0)).alias("lines_removed"),
     )
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, unit
+from .common import cut, fresh, unit
 
 MAX_EPOCHS, SEED = 4.0, 17
 #: Up to so many sources, their epochs are broadcast to the documents; beyond it, Spark chooses the join.
@@ -85,20 +85,17 @@ def mix_sources(
     sizes = docs.groupBy(F.col("source").alias("source")).agg(
         F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("double").alias("size")
     )
-    plan = cut(
-        shares(sizes, budget, max_epochs, weights).select(
-            F.col("source").alias("__source"), F.col("epochs").alias("__epochs")
-        )
-    )
+    own, epochs, rounds, k = fresh(docs, "own", "epochs", "rounds", "k")
+    plan = cut(shares(sizes, budget, max_epochs, weights).select(F.col("source").alias(own), F.col("epochs").alias(epochs)))
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
-    joined = docs.join(plan, F.col("source").eqNullSafe(F.col("__source")), "left")
-    whole = F.floor("__epochs")
-    times = (whole + F.when(unit(F.col("doc_id"), seed) < F.col("__epochs") - whole, 1).otherwise(0)).cast("int")
-    repeated = joined.withColumn("__times", times).where("`__times` > 0")
+    joined = docs.join(plan, F.col("source").eqNullSafe(F.col(own)), "left")
+    whole = F.floor(epochs)
+    times = (whole + F.when(unit(F.col("doc_id"), seed) < F.col(epochs) - whole, 1).otherwise(0)).cast("int")
+    repeated = joined.withColumn(rounds, times).where(F.col(rounds) > 0)
     kept = [F.col(f"`{c}`") for c in docs.columns if not numbered or c.lower() != "copy"]
-    each = repeated.withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)))
-    return each.select(*kept, *([F.col("__k").cast("bigint").alias("copy")] if numbered else []))
+    each = repeated.withColumn(k, F.explode(F.sequence(F.lit(0), F.col(rounds) - 1)))
+    return each.select(*kept, *([F.col(k).cast("bigint").alias("copy")] if numbered else []))
 
 
 ORACLE = f"""

@@ -20,7 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHARDS, VIRTUAL_NODES, SLACK, GRID_BITS = 64, 128, 0.05, 18
+from .common import fresh
+
+SHARDS, VIRTUAL_NODES, SLACK, GRID_BITS, MOST_BITS = 64, 128, 0.05, 18, 20
 
 
 def ring(shards: int, virtual_nodes: int, grid_bits: int) -> list[tuple[int, int]]:
@@ -70,18 +72,20 @@ def consistent_shards(
     Every row gets a shard; no shard has more than ceil((1 + slack) * rows / shards) rows. Equal keys,
     repeated rows and null keys (one key) share a position and so a shard; only if the repeats of one
     position exceed every shard's room does its shard, the emptiest, exceed the bound. Text isn't read:
-    null, empty and very long texts make no difference. An empty table gives an empty table.
+    null, empty and very long texts make no difference. An empty table gives an empty table. The key is of any type that can be hashed; other
+    columns go along, whatever their names. `grid_bits` is at most MOST_BITS, as the ring's positions are held by the driver and broadcast.
     """
+    if not 1 <= grid_bits <= MOST_BITS:
+        raise ValueError(f"grid_bits must be from 1 to {MOST_BITS} (got {grid_bits})")
     cell = F.shiftrightunsigned(F.xxhash64(F.col(f"`{key}`")), 64 - grid_bits).cast("int")
     counts = docs.select(cell.alias("c")).groupBy("c").count().collect()
     placed = place({r["c"]: r["count"] for r in counts}, shards, virtual_nodes, slack, grid_bits)
     spark = docs.sparkSession
-    where = spark.createDataFrame(
-        [(int(c), int(s)) for c, s in placed.items()], "`__cell` int, `__shard` int"
-    )
     kept = [c for c in docs.columns if c.lower() != "shard"]
+    at, own = fresh(docs, "cell", "shard")
+    where = spark.createDataFrame([(int(c), int(s)) for c, s in placed.items()], f"{at} int, {own} int")
     return (
-        docs.select(*(F.col(f"`{c}`") for c in kept), cell.alias("__cell"))
-        .join(F.broadcast(where), "__cell", "left")  # at most 2**grid_bits pairs of ints, 2 MB
-        .select(*(F.col(f"`{c}`") for c in kept), F.col("__shard").alias("shard"))
+        docs.select(*(F.col(f"`{c}`") for c in kept), cell.alias(at))
+        .join(F.broadcast(where), at, "left")  # at most 2**grid_bits pairs of ints, 8 MB
+        .select(*(F.col(f"`{c}`") for c in kept), F.col(own).alias("shard"))
     )

@@ -428,3 +428,44 @@ def test_decontamination_finds_short_items(spark):
     table = spark.createDataFrame(items, "item_id bigint, text string")
     got = {(r[0], r[1], round(r[2], 9)) for r in decontam.contaminated(docs(spark, rows), table).collect()}
     assert got == brute_containment(rows, items) and len(got) >= 400
+
+
+# names and types
+
+
+CLASHING = "doc_id string, text string, source string, __id int, id int, _id int, t int, kept int, done int, removed int, __cell int, cell int, __shard int, shard int, own int, epochs int, rounds int, k int, __k int, __gone int, gone int, __bad int, bad int, u int, n int, copy int, lines_removed int"
+
+
+def clashing(spark, rows):
+    return spark.createDataFrame([(*r, *range(24)) for r in rows], CLASHING)
+
+
+NAMED = [("a", "x y z\n1\n2\n3", "s"), ("b", "1\n2\n3\nq w e", None), ("c", None, "s"), (None, "", "t"), (None, None, None), ("a", "x y z\n1\n2\n3", "s"), ("d", "1 2 3 4 five six", "s")]
+
+
+def others(df):
+    return [c for c in df.columns if c not in ("lines_removed", "shard", "copy")]
+
+
+def test_names_and_text_ids_in_filters(spark):
+    df = clashing(spark, NAMED)
+    items = spark.createDataFrame([("i", "five six", 1), (None, "q w e", 2), ("n", None, 3)], "item_id string, text string, doc_id int")
+    got = lines.dedup_lines(df)
+    assert others(got) == others(df) and got.count() == 7
+    assert [r["text"] for r in got.where("doc_id = 'b'").collect()] == ["q w e"]
+    got = sharding.consistent_shards(df, shards=3)
+    assert others(got) == others(df) and got.count() == 7 and got.where("`__shard` is null").count() == 0
+    got = mixing.mix_sources(df, numbered=True)
+    assert others(got) == others(df) and {r["copy"] for r in got.select("copy").collect()} >= {0}
+    assert mixing.mix_sources(df).columns == df.columns
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(df.union(clashing(spark, [("e", "Five SIX", "s"), (None, "q w e", "s")])), items).collect()} == {("e", "i"), ("b", None), (None, None)}
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(df, spark.createDataFrame([(7, "3 q w e"), (8, "nothing at all here")], "item_id int, text string")).collect()} == {("b", 7)}
+    kept = decontam.decontaminate(df, spark.createDataFrame([(7, "3 q w e")], "item_id int, text string"))
+    assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["None", "None", "a", "a", "c", "d"]
+    for empty in (lines.dedup_lines(df.limit(0)), sharding.consistent_shards(df.limit(0)), mixing.mix_sources(df.limit(0)), decontam.decontaminate(df.limit(0), items)):
+        assert empty.count() == 0 and others(empty) == others(df)
+
+
+def test_sharding_bounds_its_grid(spark):
+    with pytest.raises(ValueError):
+        sharding.consistent_shards(docs(spark, ODD), grid_bits=25)
