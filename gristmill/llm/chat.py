@@ -2,10 +2,9 @@
 
 The lines of a conversation, in the order of its rows and of the lines in each, are what is observed. A line's symbol
 combines its speaker marker (`User:`, `### Assistant`, `<|system|>`, ...), whether it opens a row, its length class, a question at
-its end, and whether the line before it is blank. The hidden states are a role with `begins a turn` or `goes on`. The
-model's start and transition probabilities and those of a line's length, end and predecessor are counted over all rows
-whose role is known, with small pseudo-counts; that a turn begins with a marker of its role or at a row's start, and
-goes on with neither, is given. The likeliest path by Viterbi gives each
+its end, and whether the line before it is blank. The hidden states are a role with `begins a turn` or `goes on`. All
+probabilities are counted over the rows whose role is known, with small pseudo-counts. As a conversation may come as a row a message, as one text with
+markers, or as one without, the lines are counted in all three forms, the latter two with their rows joined. The likeliest path by Viterbi gives each
 line its role and where turns begin; the marker is cut off, and turns are rendered in one form.
 
 The recovered roles never look at the role column of the conversation itself: it only counts in the statistics.
@@ -22,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import kind_of
+
 ROLES = ("system", "user", "assistant")
 STATES = [(r, b) for r in ROLES for b in (True, False)]
 #: The words that mark a speaker, by role; `other` names nobody known.
@@ -35,7 +36,7 @@ MARKER = rf"(?i)^\s*(?:<\|(?:im_start\|>)?|\[|\*\*|#{{1,4}}\s*)?({_ANY})(?:\|>|\
 _MARKER = re.compile(MARKER.replace("|(?i)^", "|^"))
 LENGTHS = (0, 20, 40, 80, 120, 160, 200, 250, 300, 400, 600, 1000)
 N_SYMBOLS = 4 * 2 * (len(LENGTHS) + 1) * 2 * 2
-SMOOTH, NEVER = 0.05, 1e-6
+SMOOTH = 0.05
 
 
 def marker_of(line: str) -> tuple[int, int]:
@@ -84,16 +85,23 @@ class Model:
     """Logarithms of the start (states), transition (states, states) and emission (states, symbols) probabilities."""
 
     def __init__(self, emitted: np.ndarray, follows: np.ndarray, starts: np.ndarray):
-        # what a line says by its marker and its place is given; by its length, end and the line before, counted
         rest = emitted.reshape(len(STATES), 8, -1).sum(1) + SMOOTH
         rest /= rest.sum(1, keepdims=True)
-        place = np.full((len(STATES), 4, 2), NEVER)
+        place = np.zeros((len(STATES), 4, 2))
         for s, (role, begins) in enumerate(STATES):
+            rows = emitted[s].reshape(4, 2, -1).sum(2)
+            joined, marked = rows, rows
             if begins:
-                own = 1 + ROLES.index(role)
-                place[s, 0, 1], place[s, own, 1], place[s, own, 0] = 0.4, 0.3, 0.3
-            else:
-                place[s, 0, 0] = 1.0
+                # of rows that are joined, the first of a conversation alone opens one
+                r = ROLES.index(role)
+                first = min(1.0, starts[r] / max(rows.sum(), 1))
+                opens = np.array([1 - first, first])
+                joined = rows.sum(1)[:, None] * opens
+                marked = np.zeros((4, 2))
+                marked[1 + r] = rows.sum() * opens
+            place[s] = rows + joined + marked
+        place += SMOOTH
+        place /= place.sum((1, 2), keepdims=True)
         self.emission = np.log((place.reshape(len(STATES), 8, 1) * rest[:, None, :]).reshape(len(STATES), -1))
         turn = follows + SMOOTH * 10
         turn = turn / turn.sum(1, keepdims=True)
@@ -193,16 +201,13 @@ def render(parsed: list[tuple[str, str]]) -> str:
     return "".join(f"<|{role}|>\n{escape(text)}\n<|end|>\n" for role, text in parsed)
 
 
-_SCHEMA = "conv_id bigint, n_turns int, roles array<string>, rendered string"
-
-
 def _parse(model: Model):
-    def solve(groups: list[tuple[int | None, list[str | None]]]) -> pa.RecordBatch:
+    def solve(groups: list[tuple[object, list[str | None]]], kind: pa.DataType) -> pa.RecordBatch:
         paths = viterbi(model, [[s for t in rows for s in row_symbols(t)] for _, rows in groups])
         parsed = [turns(rows, path) for (_, rows), path in zip(groups, paths)]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([g[0] for g in groups], pa.int64()),
+                pa.array([g[0] for g in groups], kind),
                 pa.array([len(p) for p in parsed], pa.int32()),
                 pa.array([[r for r, _ in p] for p in parsed], pa.list_(pa.string())),
                 pa.array([render(p) for p in parsed], pa.string()),
@@ -211,19 +216,21 @@ def _parse(model: Model):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: list[tuple[int | None, list[str | None]]] = []
+        groups: list[tuple[object, list[str | None]]] = []
+        kind = None
         held = 0
         for batch in batches:
+            kind = batch.column(0).type
             for conv, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not groups or groups[-1][0] != conv:
                     if held > 4_000_000:
-                        yield solve(groups)
+                        yield solve(groups, kind)
                         groups, held = [], 0
                     groups.append((conv, []))
                 groups[-1][1].append(text)
                 held += len(text or "")
         if groups:
-            yield solve(groups)
+            yield solve(groups, kind)
 
     return run
 
@@ -234,11 +241,10 @@ def format_chats(conversations: DataFrame, model: Model | None = None) -> DataFr
     `conversations` (conv_id, turn, role, text, ...): a row is a message or a transcript of several, with or without markers. Rows go by
     turn, those of null turn first, ties by text; repeated rows stay. A null text is an empty line; null conv_ids are one
     conversation. Unknown and null roles don't count in the model, and with no known role markers and the smoothing
-    decide. `<|` in a text is broken up, so that rendering can be read back. Other columns are ignored; an empty table
-    gives no rows.
+    decide. `<|` in a text is broken up, so that rendering can be read back. conv_id is of any type that can be ordered; other columns are ignored, whatever
+    their names; an empty table gives no rows.
     """
     model = model or train(conversations)
-    lines = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), "turn", "text")
-    return (
-        lines.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "text").select("conv_id", "text").mapInArrow(_parse(model), _SCHEMA)
-    )
+    lines = conversations.select("conv_id", "turn", "text")
+    schema = f"conv_id {kind_of(conversations, 'conv_id')}, n_turns int, roles array<string>, rendered string"
+    return lines.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "text").select("conv_id", "text").mapInArrow(_parse(model), schema)

@@ -70,6 +70,42 @@ def test_chat_recovers_roles(spark):
     assert sum(a == b for k in true for a, b in zip(got[k], true[k])) >= 0.93 * sum(map(len, true.values()))
 
 
+@pytest.mark.parametrize("form, roles, precision, recall", [("rows", 0.96, 0.98, 0.99), ("marked", 0.99, 0.98, 0.99), ("joined", 0.68, 0.7, 0.25)])
+def test_chat_roles_and_bounds_by_form(spark, form, roles, precision, recall):
+    """Lines of a row a message, of one text with markers, and of one without: these texts are random, so that only lengths and turns tell there."""
+    table = spark.read.parquet("/root/testdata/sf0.1/conversations.parquet")
+    model, by = chat.train(table), {}
+    for r in table.orderBy("conv_id", "turn").collect():
+        by.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
+    sequences, true = [], []
+    for rows in by.values():
+        if form == "rows":
+            texts = [t for _, t in rows]
+        else:
+            texts = ["\n".join(f"{r.title()}: {t}" if form == "marked" else t for r, t in rows)]
+        sequences.append([s for t in texts for s in chat.row_symbols(t)])
+        true.append([(r, k == 0) for r, t in rows for k, _ in enumerate(t.split("\n"))])
+    found = [(chat.STATES[int(s)], b) for path, t in zip(chat.viterbi(model, sequences), true) for s, b in zip(path, t)]
+    both = sum(a[1] and b[1] for a, b in found)
+    assert sum(a[0] == b[0] for a, b in found) >= roles * len(found)
+    assert both >= precision * sum(a[1] for a, _ in found) and both >= recall * sum(b[1] for _, b in found)
+
+
+def test_chat_counts_its_emissions():
+    rng = np.random.default_rng(2)
+    emitted = rng.integers(1, 50, (len(chat.STATES), chat.N_SYMBOLS)).astype(float)
+    model = chat.Model(emitted, np.ones((3, 3)), np.ones(3))
+    again = chat.Model(emitted * 1000, np.ones((3, 3)), np.ones(3) * 1000)
+    assert np.exp(model.emission).sum(1) == pytest.approx(np.ones(len(chat.STATES)))
+    assert np.abs(np.exp(model.emission) - np.exp(again.emission)).max() < 0.01
+
+
+def test_chat_names_and_text_ids(spark):
+    rows = [("a", 0, "user", "hi", 1, 2), ("a", 1, "assistant", "yes " * 200, 1, 2), (None, None, None, None, 1, 2), ("b", 0, "user", "", 1, 2)]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string, rendered int, n_turns int"))
+    assert {r["conv_id"]: r["n_turns"] for r in got.collect()} == {"a": 2, "b": 1, None: 1} and got.columns == ["conv_id", "n_turns", "roles", "rendered"]
+
+
 def test_chat_reads_transcripts_and_renders(spark):
     model = chat.train(spark.read.parquet(f"{SF}/conversations.parquet"))
     text = "System: Be kind.\nUser: hello <|end|>\nhow are you?\nAssistant: Fine.\n\nAnd you?\nHuman: bye\nAI: ok"
