@@ -120,11 +120,14 @@ def _escaped(text: str) -> str:
 def to_markdown(node: Node) -> str:
     """ATX headings, dashes for lists, fenced code, links and images; blocks apart by a blank line. Post-order over an explicit stack."""
     done: dict[int, str] = {}
+    places: dict[int, int] = {}
     stack: list[tuple[Node, bool]] = [(node, False)]
     while stack:
         n, ready = stack.pop()
         if not ready:
             stack.append((n, True))
+            if n.tag == "ol":
+                places |= {id(c): k + 1 for k, c in enumerate(c for c in n.elements() if c.tag == "li")}
             stack += [(c, False) for c in n.elements()]
             continue
         if n.tag == "pre":
@@ -136,7 +139,7 @@ def to_markdown(node: Node) -> str:
                 parts.append(_escaped(re.sub(r"[ \t\r\n]+", " ", c)))
             else:
                 parts.append(done.pop(id(c), ""))
-        done[id(n)] = _rendered(n, "".join(parts))
+        done[id(n)] = _rendered(n, "".join(parts), places.pop(id(n), None))
     return done[id(node)]
 
 
@@ -144,7 +147,7 @@ def _tight(text: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]*\n[ \t]*", "\n", text)).strip()
 
 
-def _rendered(n: Node, inner: str) -> str:
+def _rendered(n: Node, inner: str, place: int | None = None) -> str:
     tag = n.tag
     if re.fullmatch(r"h[1-6]", tag):
         one = " ".join(inner.split())
@@ -164,10 +167,7 @@ def _rendered(n: Node, inner: str) -> str:
     if tag == "code":
         return f"`{n.text()}`" if n.text() else ""
     if tag == "li":
-        mark = "- "
-        if n.parent is not None and n.parent.tag == "ol":
-            place = [c for c in n.parent.elements() if c.tag == "li"].index(n)
-            mark = f"{place + 1}. "
+        mark = f"{place}. " if place else "- "
         held = re.sub(r"\n{2,}(?=- |\d+\. )", "\n", _tight(inner))
         return "\n" + mark + held.replace("\n", "\n" + " " * len(mark)) + "\n"
     if tag in ("ul", "ol"):
@@ -218,7 +218,12 @@ def structural_chunks(html: str, size: int = SIZE, most: int | None = MOST) -> d
 
     Batches beyond `most` (None: none is) are left out and counted in truncated.
     """
-    top = body(pruned(parse(html)))
+    return chunks_of(parse(html), size, most)
+
+
+def chunks_of(root: Node, size: int = SIZE, most: int | None = MOST) -> dict:
+    """`structural_chunks` of a tree, which is pruned."""
+    top = body(pruned(root))
     found = repeated_cards(top)
     texts: list[str] = []
     if found:
@@ -239,7 +244,7 @@ def structural_chunks(html: str, size: int = SIZE, most: int | None = MOST) -> d
             texts[0] = f"{collapsed(to_markdown(head))}\n\n{texts[0]}".strip()
     kept = [t for t in texts if t]
     if not kept:
-        return {"full_text": html_markdown(html), "chunks": [], "card_count": 0, "structural": False, "truncated": 0}
+        return {"full_text": collapsed(to_markdown(top))[:5_000_000], "chunks": [], "card_count": 0, "structural": False, "truncated": 0}
     chunks, at = [], 0
     for t in kept[:most]:
         chunks.append((t, at, at + _u16(t)))
@@ -285,7 +290,7 @@ def balanced_json(source: str, at: int) -> str | None:
 
 def _loaded(raw: str, code: str, label: str, most: int, warnings: list[str]):
     if len(raw) > RAW_CHARS:
-        warnings.append(f"embedded-state-size-capped: {label} of {len(raw)} chars is over {RAW_CHARS}")
+        warnings.append(f"embedded-state-size-capped: skipped an oversized {label} ({len(raw)} chars > {RAW_CHARS})")
         return None
     try:
         value = json.loads(raw, parse_constant=lambda x: (_ for _ in ()).throw(ValueError(x)))
@@ -294,17 +299,21 @@ def _loaded(raw: str, code: str, label: str, most: int, warnings: list[str]):
         return None
     text = json.dumps(value, ensure_ascii=False, separators=(",", ":"))
     if len(text) > most:
-        warnings.append(f"embedded-state-size-capped: {label} is over {most} chars")
+        warnings.append(f"embedded-state-size-capped: {label} exceeded {most} chars")
         return None
     return text
 
 
-_ASSIGN = re.compile(r"(?:\bwindow\s*[.]\s*)?__(?:PRELOADED|INITIAL)_STATE__\s*=\s*")
+_ASSIGN = re.compile(r"(?:\bwindow\s*\.\s*)?__(?:INITIAL|PRELOADED)_STATE__\s*=\s*")
 
 
 def embedded_state(html: str) -> dict:
     """json_ld (JSON texts), next_data, initial_state, warnings of a page's scripts."""
-    scripts = [n for n in parse(html).walk() if n.tag == "script"]
+    return state_of(parse(html))
+
+
+def state_of(root: Node) -> dict:
+    scripts = [n for n in root.walk() if n.tag == "script"]
     warnings: list[str] = []
     kept, total = [], 0
     for n in scripts:
@@ -312,13 +321,13 @@ def embedded_state(html: str) -> dict:
         if (n.attrs.get("type") or "").strip().lower() != "application/ld+json" or not raw:
             continue
         if len(kept) >= JSONLD_BLOCKS:
-            warnings.append(f"embedded-state-size-capped: JSON-LD blocks after the first {JSONLD_BLOCKS}")
+            warnings.append(f"embedded-state-size-capped: dropped JSON-LD blocks beyond {JSONLD_BLOCKS}")
             break
         text = _loaded(raw, "embedded-jsonld-parse-failed", "JSON-LD block", JSONLD_CHARS, warnings)
         if text is None:
             continue
         if total + len(text) > JSONLD_CHARS:  # a smaller one may still fit
-            warnings.append(f"embedded-state-size-capped: JSON-LD in all is over {JSONLD_CHARS} chars")
+            warnings.append(f"embedded-state-size-capped: JSON-LD total exceeded {JSONLD_CHARS} chars")
             continue
         total += len(text)
         kept.append(text)
@@ -388,3 +397,26 @@ def state(html: Column) -> Column:
 
 def links(html: Column, url: Column) -> Column:
     return pandas_udf(_links, "array<string>")(html, url)
+
+
+def page(html: Column, size: int = SIZE, most: int | None = MOST) -> Column:
+    """Struct (cards, state, problem) of pages, parsed once: what `cards` and `state` give; a page that can't be converted has the problem instead of cards."""
+
+    def both(html: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in html:
+            root, problem, found = parse(x or ""), None, None
+            held = state_of(root)
+            try:
+                found = chunks_of(root, size, most)
+                found["chunks"] = [{"text": t, "start": s, "end": e} for t, s, e in found["chunks"]]
+            except Exception as e:  # the caller falls back to plain text
+                problem = str(e)
+            rows.append((found, held, problem))
+        return pd.DataFrame(rows, columns=["cards", "state", "problem"])
+
+    return pandas_udf(
+        both,
+        "cards struct<full_text:string,chunks:array<struct<text:string,start:bigint,end:bigint>>,card_count:int,structural:boolean,truncated:int>, "
+        "state struct<json_ld:array<string>,next_data:string,initial_state:string,warnings:array<string>>, problem string",
+    )(html)

@@ -153,8 +153,8 @@ def shell_signals(html: Column, text: Column, has_state: Column) -> Column:
     )
     warning = F.when(
         suspected,
-        F.when(has_state, F.concat(F.lit(f"{SHELL_WITH_STATE}: "), detail, F.lit("; the embedded state can be read without a browser"))).otherwise(
-            F.concat(F.lit(f"{SHELL}: "), detail, F.lit("; the page likely needs rendering before extraction"))
+        F.when(has_state, F.concat(F.lit(f"{SHELL_WITH_STATE}: "), detail, F.lit("; embedded state was harvested, so this page is extractable WITHOUT a browser render"))).otherwise(
+            F.concat(F.lit(f"{SHELL}: "), detail, F.lit("; page likely requires JavaScript rendering upstream before extraction"))
         ),
     )
     return F.struct(

@@ -98,8 +98,8 @@ def snapshot_file(fetched_at: Column, body_hash: Column) -> Column:
 def render_policy(policy: Column, legacy: Column) -> Column:
     """Struct (policy, error): `policy` never/always/on-shell-warning, `legacy` a deprecated flag that must not contradict it."""
     old = F.when(legacy, "always").when(~legacy, "never")
-    error = F.when(~policy.isin("never", "always", "on-shell-warning"), F.concat(F.lit("unknown renderPolicy "), policy)).when(
-        policy.isNotNull() & old.isNotNull() & (policy != old), F.lit("render contradicts renderPolicy")
+    error = F.when(~policy.isin("never", "always", "on-shell-warning"), F.concat(F.lit("unsupported renderPolicy: "), policy)).when(
+        policy.isNotNull() & old.isNotNull() & (policy != old), F.concat(F.lit("render ("), legacy.cast("string"), F.lit(") conflicts with renderPolicy ("), policy, F.lit(")"))
     )
     return F.struct(F.when(error.isNull(), F.coalesce(policy, old, F.lit("never"))).alias("policy"), error.alias("error"))
 
@@ -129,9 +129,47 @@ def video_url(url: Column) -> Column:
     return F.when(F.length(found) > 0, F.struct(found.alias("video_id"), timestamp_seconds(at).alias("start_seconds")))
 
 
+#: Names of parameters that hold credentials: the whole name, or a part of it between hyphens and underscores.
+CREDENTIAL_KEY = r"(?i)(?:^|[-_])(?:token|secret|password|passwd|api[-_]?key|authorization|signature|credential)(?:$|[-_])"
+AUTHORIZATION = r"(?i)authorization\s*[:=]|bearer\s+[a-z0-9._~-]+"
+_URL = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+
+
+def references_authorization(ref: str, depth: int = 0) -> bool:
+    """Whether a reference carries authorization: an authorization or bearer text, user information, a parameter with the name of a credential, or one whose value is such a reference;
+    values are URLs up to two deep, and deeper ones count as carrying it."""
+    import re
+    from urllib.parse import parse_qsl, urlsplit
+
+    if depth > 2 or re.search(AUTHORIZATION, ref):
+        return True
+    if not re.match(_URL, ref):
+        return False
+    try:
+        u = urlsplit(ref)
+        if u.username or u.password:
+            return True
+    except ValueError:
+        return False
+    return any(re.search(CREDENTIAL_KEY, k) or references_authorization(v, depth + 1) for k, v in parse_qsl(u.query, keep_blank_values=True))
+
+
 def holds_credentials(ref: Column) -> Column:
-    """Whether a reference carries authorization: user information, credential-shaped query keys, bearer tokens; also URL-encoded inside."""
-    shape = r"(?i)(?:^|[\s:?&])(?:authorization\s*[:=]|bearer\s)|://[^/?#\s]*@|[?&#](?:[a-z0-9_-]*(?:token|secret|password|signature|api[_-]?key|access[_-]?key)|auth|sig|key)="
-    once = F.coalesce(F.try_url_decode(ref), ref)
-    twice = F.coalesce(F.try_url_decode(once), once)
-    return ref.rlike(shape) | once.rlike(shape) | twice.rlike(shape)
+    """`references_authorization` as an expression, its recursion unrolled."""
+
+    def decoded(c: Column) -> Column:
+        return F.coalesce(F.try_url_decode(c), c)
+
+    def carries(c: Column, depth: int) -> Column:
+        if depth > 2:
+            return F.lit(True)
+        query = F.regexp_extract(c, r"^[^?#]*\?([^#]*)", 1)
+        pairs = F.filter(F.split(query, "&"), lambda p: p != "")
+        bad = F.exists(
+            pairs,
+            lambda p: decoded(F.substring_index(p, "=", 1)).rlike(CREDENTIAL_KEY)
+            | carries(F.when(F.contains(p, F.lit("=")), decoded(F.substring(p, F.length(F.substring_index(p, "=", 1)) + 2, F.length(p)))).otherwise(""), depth + 1),
+        )
+        return c.rlike(AUTHORIZATION) | (c.rlike(_URL) & (c.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#@]+@") | bad))
+
+    return carries(ref, 0)

@@ -21,6 +21,12 @@ def windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     return F.when(length > 0, spans).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
 
 
+def window_count(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
+    """How many windows a text has, without making them."""
+    length = u16_length(text)
+    return F.when(length > 0, F.ceil(F.greatest(length - size, F.lit(0)) / max(1, size - overlap)) + 1).otherwise(0).cast("int")
+
+
 def window_chunks(
     docs: DataFrame, text: str = "text", size: int = SIZE, overlap: int = OVERLAP, most: int | None = MOST
 ) -> DataFrame:

@@ -11,7 +11,8 @@ ceilings are checked; its calls count from then on, its tokens when it is done.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -22,6 +23,8 @@ from pyspark.sql import DataFrame
 from gristmill.functions.canonical import stable
 
 CALL_CHARS = 32_000
+
+
 class Provider(Protocol):
     name: str
 
@@ -36,6 +39,8 @@ class Options:
     batch: int = 1
     call_chars: int = CALL_CHARS
     hints: dict[str, str] = field(default_factory=dict)
+    guidance: str | None = None
+    examples: list[dict] = field(default_factory=list)
 
     def error(self) -> str | None:
         """What is wrong with the options, as a result's error; the first that is."""
@@ -49,6 +54,17 @@ class Options:
         return None
 
 
+def u16_head(text: str, n: int) -> str:
+    """The first n UTF-16 units of a text; a character that would be split is left out."""
+    if len(text) <= n and (text.isascii() or len(text) * 2 <= n):
+        return text
+    return text.encode("utf-16-le", "surrogatepass")[: 2 * n].decode("utf-16-le", "ignore")
+
+
+def u16_size(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-16-le", "surrogatepass")) // 2
+
+
 def _outcomes(provider: Provider, requests: list[dict]) -> list[dict | Exception]:
     try:
         if len(requests) > 1 and hasattr(provider, "extract_batch"):
@@ -86,7 +102,8 @@ def run_waves(provider: Provider, chunks: list[dict], content_type: str, schema:
             at = wave[-1][-1] + 1
         calls += len(wave)
         asked = [
-            [{"content": chunks[i]["chunk"][: o.call_chars], "content_type": content_type, "schema": schema, "hints": o.hints} for i in group] for group in wave
+            [{"content": u16_head(chunks[i]["chunk"], o.call_chars), "content_type": content_type, "schema": schema, "hints": o.hints, "guidance": o.guidance, "examples": o.examples} for i in group]
+            for group in wave
         ]
         if len(wave) == 1:
             answers = [_outcomes(provider, asked[0])]
@@ -104,12 +121,13 @@ def run_waves(provider: Provider, chunks: list[dict], content_type: str, schema:
 def _items(raw) -> list[dict]:
     rows = []
     for k, x in enumerate(raw if isinstance(raw, list) else []):
-        x = x if isinstance(x, dict) else {}
+        is_object = isinstance(x, dict)
+        x = x if is_object else {}
         confidence = x.get("confidence")
         hint = x.get("occurrence_hint")
         rows.append(
             {
-                "item": k, "field_path": x.get("field_path") if isinstance(x.get("field_path"), str) else None, "value_json": json.dumps(x.get("value"), ensure_ascii=False),
+                "item": k, "is_object": is_object, "field_path": x.get("field_path") if isinstance(x.get("field_path"), str) else None, "value_json": json.dumps(x.get("value"), ensure_ascii=False),
                 "value_canon": stable(x.get("value")), "confidence": float(confidence) if isinstance(confidence, (int, float)) and not isinstance(confidence, bool) else None,
                 "excerpt": x.get("excerpt") if isinstance(x.get("excerpt"), str) else None, "extractor": x.get("extractor") if isinstance(x.get("extractor"), str) else None,
                 "occurrence_hint": hint if isinstance(hint, int) and not isinstance(hint, bool) and abs(hint) < 2**31 else None,
@@ -118,15 +136,19 @@ def _items(raw) -> list[dict]:
     return rows
 
 
-def dispatched(chunks: DataFrame, provider: Provider, schema: list[dict], options: Options | None = None) -> DataFrame:
-    """One row per chunk that was sent, with its outcome and the run's totals, of `chunks` (run_id, chunk_idx, start, chunk, content_type)."""
+def dispatched(chunks: DataFrame, provider: Provider, schema: list[dict], options: Options | None = None, cancelled: Callable[[], bool] = lambda: False) -> DataFrame:
+    """One row per chunk that was sent, with its outcome and the run's totals, of `chunks` (run_id, chunk_idx, start, chunk, content_type).
+
+    run_id is of any type that can be ordered. `cancelled` is asked before every wave, in the tasks; it has to be a callable that they can hold. Reading the result calls the provider: write
+    it before it is read twice.
+    """
     o = options or Options()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[dict] = []
 
         def solve(rows: list[dict]) -> pd.DataFrame:
-            got, calls, tokens, stop = run_waves(provider, rows, rows[0]["content_type"], schema, o)
+            got, calls, tokens, stop = run_waves(provider, rows, rows[0]["content_type"], schema, o, cancelled)
             out = []
             for i, r in enumerate(rows):
                 x = got.get(i)
@@ -134,17 +156,21 @@ def dispatched(chunks: DataFrame, provider: Provider, schema: list[dict], option
                     continue
                 bad = isinstance(x, Exception)
                 warnings = [] if bad else list(x.get("warnings") or [])
-                if not bad and not isinstance(x.get("proposals"), list):
-                    warnings.append("provider returned no proposals array")
+                late = not bad and not isinstance(x.get("proposals"), list)
+                used = None if bad else x.get("tokens")
                 out.append(
                     {
                         "run_id": r["run_id"], "chunk_idx": r["chunk_idx"], "n_chunks": len(rows), "ok": not bad, "model": None if bad else x.get("model"), "response": None if bad else x.get("response"),
-                        "tokens": None if bad else x.get("tokens"), "error": str(x) if bad else None, "status": getattr(x, "status", None) if bad else None, "code": getattr(x, "code", None) if bad else None,
-                        "warnings": warnings, "proposals": [] if bad else _items(x.get("proposals")), "visible_text": r["chunk"][: o.call_chars], "start": r["start"],
-                        "provider_calls": calls, "stop_reason": stop[0] if stop else None, "remaining": stop[1] if stop else 0, "tokens_used": tokens,
+                        "tokens": int(used) if isinstance(used, (int, float)) and not isinstance(used, bool) else None, "error": str(x) if bad else None, "status": getattr(x, "status", None) if bad else None,
+                        "code": getattr(x, "code", None) if bad else None, "retryable": getattr(x, "retryable", None) if bad else None, "warnings": warnings,
+                        "no_list": late, "proposals": [] if bad else _items(x.get("proposals")), "start": r["start"],
+                        "end": r["start"] + u16_size(u16_head(r["chunk"], o.call_chars)), "provider_calls": calls, "stop_reason": stop[0] if stop else None, "remaining": stop[1] if stop else 0, "tokens_used": tokens,
                     }
                 )
-            return pd.DataFrame(out)
+            if not out:  # stopped before the first call: the totals still need a row
+                r = rows[0]
+                out.append({"run_id": r["run_id"], "chunk_idx": None, "n_chunks": len(rows), "ok": None, "provider_calls": calls, "stop_reason": stop[0] if stop else None, "remaining": stop[1] if stop else 0, "tokens_used": tokens})
+            return pd.DataFrame({n: pd.Series([x.get(n) for x in out], dtype=object) for n in names})
 
         for part in parts:
             for r in part.to_dict("records"):
@@ -155,12 +181,14 @@ def dispatched(chunks: DataFrame, provider: Provider, schema: list[dict], option
         if held:
             yield solve(held)
 
+    schema_text = _SCHEMA.format(kind=chunks.schema["run_id"].dataType.simpleString())
+    names = [x.split(" ")[0] for x in re.split(r", (?![^<]*>)", schema_text)]
     ordered = chunks.select("run_id", "chunk_idx", "start", "chunk", "content_type").repartition("run_id").sortWithinPartitions("run_id", "chunk_idx")
-    return ordered.mapInPandas(run, _SCHEMA)
+    return ordered.mapInPandas(run, schema_text)
 
 
-_PROPOSAL = "struct<item:int,field_path:string,value_json:string,value_canon:string,confidence:double,excerpt:string,extractor:string,occurrence_hint:int>"
+_PROPOSAL = "struct<item:int,is_object:boolean,field_path:string,value_json:string,value_canon:string,confidence:double,excerpt:string,extractor:string,occurrence_hint:int>"
 _SCHEMA = (
-    "run_id bigint, chunk_idx int, n_chunks int, ok boolean, model string, response string, tokens bigint, error string, status int, code string, "
-    f"warnings array<string>, proposals array<{_PROPOSAL}>, visible_text string, start bigint, provider_calls bigint, stop_reason string, remaining int, tokens_used bigint"
+    "run_id {kind}, chunk_idx int, n_chunks int, ok boolean, model string, response string, tokens bigint, error string, status int, code string, retryable boolean, "
+    f"warnings array<string>, no_list boolean, proposals array<{_PROPOSAL}>, start bigint, end bigint, provider_calls bigint, stop_reason string, remaining int, tokens_used bigint"
 )

@@ -23,11 +23,11 @@ def indexed_path(path: Column) -> Column:
     )
 
 
-def matched_paths(proposals: DataFrame, schema: DataFrame) -> DataFrame:
+def matched_paths(proposals: DataFrame, schema: DataFrame, number: int | None = None) -> DataFrame:
     """`proposals` with field_path resolved against `schema` (path, type, enum_values, inference_type): exactly, else without its indices.
 
     Adds path_indices (null if the path was exact), known, value_type, enum_values, inference_type. The schema is the caller's field list, broadcast up to
-    BROADCAST_FIELDS so that proposals aren't shuffled by their few paths; beyond it, Spark chooses the join.
+    BROADCAST_FIELDS so that proposals aren't shuffled by their few paths; beyond it, Spark chooses the join. Without `number`, the list is counted.
     """
     fields = schema.select(
         F.col("path").alias("f_path"), F.col("type").alias("value_type"), "enum_values", "inference_type"
@@ -35,7 +35,7 @@ def matched_paths(proposals: DataFrame, schema: DataFrame) -> DataFrame:
     bare = proposals.withColumn("field_path", trimmed(F.coalesce("field_path", F.lit("")))).withColumn("__i", indexed_path(F.col("field_path")))
     exact = fields.select(F.col("f_path").alias("e_path"), F.struct("value_type", "enum_values", "inference_type").alias("e"))
     loose = fields.select(F.col("f_path").alias("l_path"), F.struct("value_type", "enum_values", "inference_type").alias("l"))
-    if schema.count() <= BROADCAST_FIELDS:
+    if (schema.count() if number is None else number) <= BROADCAST_FIELDS:
         exact, loose = F.broadcast(exact), F.broadcast(loose)
     joined = bare.join(exact, F.col("field_path") == F.col("e_path"), "left").join(loose, F.col("__i.path") == F.col("l_path"), "left")
     use_loose = F.col("e_path").isNull() & F.col("l_path").isNotNull() & (F.size("__i.indices") > 0)
@@ -49,81 +49,66 @@ def matched_paths(proposals: DataFrame, schema: DataFrame) -> DataFrame:
     )
 
 
-def allocated(visible: Column, hints: Column) -> Column:
-    """For the ordered hints (null: none) of one identity, the index into `visible` that each gets.
+def spans_of(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """(run_id, excerpt, all_spans) of the distinct (run_id, excerpt) in `wanted`: a text is searched once for each of its excerpts."""
+    once = wanted.select("run_id", "excerpt").distinct()
+    return once.join(texts.select("run_id", "full_text"), "run_id").select("run_id", "excerpt", occurrences(F.col("full_text"), F.col("excerpt")).alias("all_spans"))
 
-    A hint from 1 to the number of visible occurrences selects it. Else the first that isn't taken yet, and when all are, the last.
-    """
-    return F.aggregate(
-        hints,
-        F.array().cast("array<int>"),
-        lambda used, h: F.concat(
-            used,
-            F.array(
-                F.when((h >= 1) & (h <= F.size(visible)), h - 1)
-                .otherwise(
-                    F.coalesce(
-                        F.get(F.filter(F.sequence(F.lit(0), F.size(visible) - 1), lambda k: ~F.array_contains(used, k)), F.lit(0)),
-                        F.size(visible) - 1,
-                    )
-                )
-                .cast("int")
-            ),
-        ),
-    )
 
+def normalized(proposals: DataFrame, texts: DataFrame, schema: DataFrame, fields: int | None = None) -> DataFrame:
+    """Each proposal with `drop_reason` (null if kept), `warning`, the grounded span and clamped confidence.
 
-def normalized(proposals: DataFrame, schema: DataFrame) -> DataFrame:
-    """Each proposal, without its texts, with `drop_reason` (null if kept), `warning`, the grounded span and clamped confidence.
-
-    `proposals`: run_id, seq (order over all chunks), field_path, value_canon, confidence, excerpt, extractor, occurrence_hint, visible_text,
-    visible_start (UTF-16), full_text. A proposal with a confidence that isn't a number is dropped last, after it has taken its occurrence.
+    `proposals`: run_id, seq (order over all chunks), field_path, value_canon, confidence, excerpt, extractor, occurrence_hint, visible_start and visible_end (UTF-16, of
+    what the provider saw; null: of all), maybe is_object (false: the item was none). `texts` (run_id, full_text), a row a run. A proposal with a confidence that isn't a number
+    is dropped last, after it has taken its occurrence. `fields`: the number of rows of `schema` if the caller knows it.
 
     Occurrences are taken in the order of seq by proposals of the same run, path, indices, value and excerpt. Matching is against the
     occurrences that lie whole in the visible text; across overlapping windows the same occurrence keeps its index.
     """
-    p = matched_paths(proposals, schema).withColumns(
+    if "is_object" not in proposals.columns:
+        proposals = proposals.withColumn("is_object", F.lit(True))
+    p = matched_paths(proposals, schema, fields).withColumns(
         {"extractor": trimmed(F.coalesce("extractor", F.lit(""))), "excerpt": trimmed(F.coalesce("excerpt", F.lit("")))}
     )
     first = (
-        F.when(F.col("field_path") == "", "missing-field-path")
+        F.when(~F.col("is_object"), "not-an-object")
+        .when(F.col("field_path") == "", "missing-field-path")
         .when(~F.col("known"), "unknown-field-path")
         .when(F.col("extractor") == "", "missing-extractor")
         .when(F.col("excerpt") == "", "missing-excerpt")
-        .when(~F.contains("visible_text", "excerpt"), "excerpt-not-found")
     )
     p = p.withColumn("drop_reason", first)
-    all_spans = F.when(F.col("drop_reason").isNull(), occurrences(F.col("full_text"), F.col("excerpt")))
-    end = F.col("visible_start") + u16_length(F.col("visible_text"))
-    p = p.withColumn("__all", all_spans).withColumn(
-        "__visible", F.filter("__all", lambda o: (o["start"] >= F.col("visible_start")) & (o["end"] <= end))
+    none = F.array().cast("array<struct<index:int,start:bigint,end:bigint>>")
+    found = spans_of(p.where("drop_reason is null"), texts)
+    p = p.join(found, ["run_id", "excerpt"], "left").withColumn("all_spans", F.coalesce("all_spans", none))
+    seen = F.filter(
+        "all_spans", lambda o: (o["start"] >= F.coalesce("visible_start", F.lit(0))) & (o["end"] <= F.coalesce("visible_end", F.lit(2**62)))
+    )
+    p = p.withColumn("visible_spans", seen).withColumn(
+        "drop_reason", F.coalesce("drop_reason", F.when(F.size("visible_spans") == 0, "excerpt-not-found"))
     )
-    p = p.drop("visible_text", "full_text")  # texts go no further than their scan
     key = ["run_id", "field_path", "path_indices", "value_canon", "excerpt"]
-    # occurrences taken so far, in order; the state is a fold, so an identity's proposals meet in one row and leave it again
+    # occurrences taken so far, in order; the state is a fold, so an identity's kept proposals meet in one row and leave it again
     together = p.where("drop_reason is null").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seq", F.struct(*p.columns).alias("row")))).alias("x"))
     folded = (
         together.withColumn(
             "picks",
-            F.aggregate(
-                "x",
-                F.array().cast("array<struct<pick:int>>"),
-                lambda done, r: F.concat(done, F.array(F.struct(_pick(done, r["row"]).alias("pick")))),
-            ),
+            F.aggregate("x", F.array().cast("array<int>"), lambda done, r: F.concat(done, F.array(_pick(done, r["row"])))),
         )
         .select(F.explode(F.arrays_zip("x", "picks")).alias("z"))
-        .select("z.x.row.*", F.col("z.picks.pick").alias("__pick"))
+        .select("z.x.row.*", F.col("z.picks").alias("pick"))
     )
-    j = folded.unionByName(p.where("drop_reason is not null").withColumn("__pick", F.lit(None).cast("int")))
-    span = F.get(F.col("__all"), F.col("__pick"))
+    j = folded.unionByName(p.where("drop_reason is not null").withColumn("pick", F.lit(None).cast("int")))
+    span = F.get(F.col("all_spans"), F.col("pick"))
     bad = F.col("confidence").isNull() | F.isnan("confidence") | (F.abs("confidence") == float("inf"))
-    hinted = (F.col("occurrence_hint") >= 1) & (F.col("occurrence_hint") <= F.size("__visible"))
+    hinted = (F.col("occurrence_hint") >= 1) & (F.col("occurrence_hint") <= F.size("visible_spans"))
     kept = F.col("drop_reason").isNull()
     out = j.withColumn("drop_reason", F.when(kept & bad, "non-numeric-confidence").otherwise(F.col("drop_reason")))
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), "confidence"))
     label = F.concat(F.lit('"'), F.col("field_path"), F.lit('"'))
     warning = (
-        F.when(F.col("drop_reason") == "missing-field-path", "dropped a proposal with a missing fieldPath")
+        F.when(F.col("drop_reason") == "not-an-object", "dropped a proposal that was not an object")
+        .when(F.col("drop_reason") == "missing-field-path", "dropped a proposal with a missing fieldPath")
         .when(F.col("drop_reason") == "unknown-field-path", F.concat(F.lit("dropped proposal for unknown fieldPath "), label, F.lit(" (not in targetSchema)")))
         .when(F.col("drop_reason") == "missing-extractor", F.concat(F.lit("dropped proposal for "), label, F.lit(": missing extractor identity")))
         .when(F.col("drop_reason") == "missing-excerpt", F.concat(F.lit("dropped proposal for "), label, F.lit(": missing provenance excerpt")))
@@ -142,21 +127,21 @@ def normalized(proposals: DataFrame, schema: DataFrame) -> DataFrame:
             F.when(
                 here,
                 F.struct(
-                    F.lit(RESOLVER).alias("resolver_version"), F.size("__all").alias("count"), span.alias("selected"),
+                    F.lit(RESOLVER).alias("resolver_version"), F.size("all_spans").alias("count"), span.alias("selected"),
                     F.when(hinted, "occurrence-hint").otherwise("source-order").alias("selection"),
-                    F.coalesce(hinted, F.lit(False)).alias("hint_used"), (F.size("__all") > 1).alias("ambiguous"),
+                    F.coalesce(hinted, F.lit(False)).alias("hint_used"), (F.size("all_spans") > 1).alias("ambiguous"),
                 ),
             ),
         )
         .withColumn("confidence", F.when(here, clamped))
-        .drop("__all", "__visible", "__pick", "known")
+        .drop("all_spans", "visible_spans", "pick", "known", "is_object")
     )
 
 
 def _pick(done: Column, r: Column) -> Column:
     """The index among all occurrences that the next proposal of an identity gets."""
-    visible, hint = r["__visible"], r["occurrence_hint"]
-    free = F.filter(visible, lambda o: ~F.exists(done, lambda d: d["pick"] == o["index"]))
+    visible, hint = r["visible_spans"], r["occurrence_hint"]
+    free = F.filter(visible, lambda o: ~F.array_contains(done, o["index"]))
     return (
         F.when((hint >= 1) & (hint <= F.size(visible)), F.get(visible, hint - 1)["index"])
         .otherwise(F.coalesce(F.get(free, F.lit(0))["index"], F.get(visible, F.size(visible) - 1)["index"]))

@@ -26,6 +26,12 @@ def retryable(kind: Column, declared: Column) -> Column:
     return F.coalesce(declared, kind.isin("rate-limit", "timeout", "unavailable"))
 
 
+def failure(provider: Column, status: Column, code: Column, message: Column, declared: Column) -> Column:
+    """Struct (provider, kind, retryable, message) of a call that failed."""
+    kind = failure_kind(status, code, message)
+    return F.struct(provider.alias("provider"), kind.alias("kind"), retryable(kind, declared).alias("retryable"), message.alias("message"))
+
+
 def missing_capability(declared: list[str] | None, with_task: bool = False) -> str | None:
     """The first required capability that a provider declares but lacks; an undeclared list allows all."""
     needed = CAPABILITIES + (("task-specifications",) if with_task else ())

@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.text import let, u16_length
 
-DROPPED_OFFSETS = "dropped pdfPageOffsets: not a non-decreasing array of offsets in the text"
-DROPPED_LAYOUT = "dropped pdfLayout: a member is out of range or out of place"
+DROPPED_OFFSETS = "dropped pdfPageOffsets: malformed or out-of-range page offsets"
+DROPPED_LAYOUT = "dropped pdfLayout: malformed or out-of-range layout mapping"
+DROPPED_WARNINGS = "dropped extractor-reported warnings: not an array of strings"
+LAYOUT = (
+    "struct<pages:array<struct<page_number:int,width:double,height:double>>,elements:array<struct<kind:string,page_number:int,start:bigint,end:bigint,bounds:struct<x:double,y:double,width:double,height:double>>>,"
+    "tables:array<struct<page_number:int,cells:array<struct<row_index:int,column_index:int,start:bigint,end:bigint,bounds:struct<x:double,y:double,width:double,height:double>>>>>>"
+)
 
 
 def valid_offsets(offsets: Column, text: Column) -> Column:
@@ -24,7 +29,7 @@ def page_of(offsets: Column, offset: Column) -> Column:
 
 def parsed_locator(locator: Column) -> Column:
     """Struct (start, end, reason) of `chars:S-E`; the reason is unsupported-scheme or malformed-range if it isn't one."""
-    shape = r"^chars:([1-9]\d*|0)-([1-9]\d*|0)$"
+    shape = r"^chars:(0|[1-9]\d*)-(0|[1-9]\d*)$"
     start, end = (F.regexp_extract(locator, shape, k).try_cast("bigint") for k in (1, 2))
     reason = F.when(~F.startswith(locator, F.lit("chars:")), "unsupported-scheme").when(
         start.isNull() | end.isNull() | (end <= start) | (end > 9007199254740991), "malformed-range"

@@ -50,15 +50,19 @@ def html_to_text(spark, sf_dir):
 
 
 @query(f"""
-SELECT page_id, length(html) AS raw_chars, length(text) AS text_chars, round(length(text) / length(html)::DOUBLE, 9) AS text_ratio,
-  round((length(html) - length(regexp_replace(html, '<script(?:[^a-z0-9_>][^>]*)?(?:>.*?(?:</script>|\\z)|\\z)', '', 'gis'))) / length(html)::DOUBLE, 9) AS script_ratio,
-  regexp_matches(html, '<div\\b[^>]*?\\bid=["''](?:app|root|__next)["''][^>]*?>[\\s]*</div>', 'i') AS empty_mount
-FROM ({_TEXTS})""")
+WITH s AS (SELECT page_id, length(html) AS raw_chars, length(text) AS text_chars, length(text) / length(html)::DOUBLE AS text_ratio,
+  (length(html) - length(regexp_replace(html, '<script(?:[^a-z0-9_>][^>]*)?(?:>.*?(?:</script>|\\z)|\\z)', '', 'gis'))) / length(html)::DOUBLE AS script_ratio,
+  regexp_matches(html, '<div\\b[^>]*?\\bid=["''](?:app|root|__next)["''][^>]*?>[\\s]*</div>', 'i') AS empty_mount FROM ({_TEXTS})),
+w AS (SELECT *, text_chars < 600 AND text_ratio < 0.08 AND (script_ratio >= 0.45 OR empty_mount) AS suspected FROM s)
+SELECT page_id, raw_chars, text_chars, round(text_ratio, 9) AS text_ratio, round(script_ratio, 9) AS script_ratio, empty_mount, suspected,
+  CASE WHEN suspected THEN 'js-shell-suspected: prepared text ' || text_chars || ' chars is ' || printf('%.1f%%', text_ratio * 100) || ' of ' || raw_chars || '-char HTML; scripts ' || printf('%.1f%%', script_ratio * 100)
+    || ' of HTML' || CASE WHEN empty_mount THEN '; client-render mount element is empty' ELSE '' END || '; page likely requires JavaScript rendering upstream before extraction' END AS warning
+FROM w""")
 def page_shell_signals(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages").withColumn("text", T.html_to_text(F.col("html"), T.FULL_CHARS))
     s = pages.select("page_id", T.shell_signals(F.col("html"), F.col("text"), F.lit(False)).alias("s"))
     return s.select(
-        "page_id", "s.raw_chars", "s.text_chars", F.round("s.text_ratio", 9).alias("text_ratio"), F.round("s.script_ratio", 9).alias("script_ratio"), "s.empty_mount"
+        "page_id", "s.raw_chars", "s.text_chars", F.round("s.text_ratio", 9).alias("text_ratio"), F.round("s.script_ratio", 9).alias("script_ratio"), "s.empty_mount", "s.suspected", "s.warning"
     )
 
 
@@ -100,7 +104,7 @@ SELECT doc_id, CAST(least(count(*), 5) AS INTEGER) AS kept, CAST(greatest(count(
   CASE WHEN count(*) > 5 THEN 'max-chunks' END AS reason FROM ({_WINDOWS.format(size=400, step=350)}) GROUP BY doc_id""")
 def chunk_cap_partial(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    n = F.size(chunking.windows(F.col("text"), 400, 50))
+    n = chunking.window_count(F.col("text"), 400, 50)
     return docs.where(F.length("text") > 0).select(
         "doc_id", F.least(n, F.lit(5)).alias("kept"), F.greatest(n - 5, F.lit(0)).alias("truncated"), F.when(n > 5, "max-chunks").alias("reason")
     )
@@ -138,15 +142,18 @@ SELECT doc_id, k AS seq, CASE k % 4 WHEN 0 THEN 'terms[0].name' WHEN 3 THEN 'unk
   CASE WHEN k = 2 THEN 1.5 WHEN k = 6 THEN CAST('nan' AS DOUBLE) ELSE 0.5 END AS confidence, text, spots FROM ({_SPOTS}), range(8) AS r(k)"""
 
 
+def _texts(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run_id"), F.col("text").alias("full_text"))
+
+
 def _proposals(spark, sf_dir) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_extract("text", "[A-Za-z]{2,}", 0).alias("w")).where("w != ''")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", "[A-Za-z]{2,}", 0).alias("w")).where("w != ''")
     k = F.col("k")
     return docs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7)))).select(
         F.col("doc_id").alias("run_id"), k.cast("bigint").alias("seq"),
         F.when(k % 4 == 0, "terms[0].name").when(k % 4 == 3, "unknown").otherwise("title").alias("field_path"), F.lit("v").alias("value_canon"),
         F.when(k == 2, 1.5).when(k == 6, float("nan")).otherwise(0.5).alias("confidence"), F.when(k == 5, "no such excerpt").otherwise(F.col("w")).alias("excerpt"),
-        F.lit("scan").alias("extractor"), F.lit(None).cast("int").alias("occurrence_hint"), F.col("text").alias("visible_text"), F.lit(0).cast("bigint").alias("visible_start"),
-        F.col("text").alias("full_text"),
+        F.lit("scan").alias("extractor"), F.lit(None).cast("int").alias("occurrence_hint"), F.lit(None).cast("bigint").alias("visible_start"), F.lit(None).cast("bigint").alias("visible_end"),
     )
 
 
@@ -162,7 +169,7 @@ SELECT doc_id AS run_id, seq, replace(path, '[0]', '[]') AS field_path, CASE WHE
   CASE WHEN gate IS NULL AND NOT isnan(confidence) THEN least(confidence, 1.0) END AS confidence,
   CASE WHEN gate IS NULL AND NOT isnan(confidence) THEN 'chars:' || spots[least(k, len(spots))] || '-' || (spots[least(k, len(spots))] + length(excerpt)) END AS locator FROM a""")
 def ground_proposals(spark, sf_dir):
-    return grounding.normalized(_proposals(spark, sf_dir), _schema(spark)).select("run_id", "seq", "field_path", "drop_reason", "confidence", "locator")
+    return grounding.normalized(_proposals(spark, sf_dir), _texts(spark, sf_dir), _schema(spark), 2).select("run_id", "seq", "field_path", "drop_reason", "confidence", "locator")
 
 
 @query("""
@@ -332,7 +339,7 @@ def video_urls(spark, sf_dir):
     v = F.concat(F.lit("abcDEF"), F.col("event_id").cast("string"))
     k = F.col("event_id") % 6
     url = (
-        F.when(k == 0, F.concat(F.lit("https://www.youtube.com" "/watch?v="), v, F.lit("&t=90s"))).when(k == 1, F.concat(F.lit("https://youtu.be/"), v, F.lit("?t=1h2m3s")))
+        F.when(k == 0, F.concat(F.lit("https://www.youtube.com/watch?v="), v, F.lit("&t=90s"))).when(k == 1, F.concat(F.lit("https://youtu.be/"), v, F.lit("?t=1h2m3s")))
         .when(k == 2, F.concat(F.lit("https://m.youtube.com/shorts/"), v)).when(k == 3, F.concat(F.lit("https://youtube.com/embed/"), v, F.lit("?start=5")))
         .when(k == 4, F.concat(F.lit("https://youtube.com/live/"), v)).otherwise(F.concat(F.lit("https://video.example/watch?v="), v))
     )
@@ -456,22 +463,6 @@ def card_chunks(spark, sf_dir):
     return rows.select("page_id", "c.card_count", "c.structural", F.size("c.chunks").alias("n_chunks"), F.length("c.full_text").alias("length"))
 
 
-@query()
-def embedded_state(spark, sf_dir):
-    from gristmill.functions import markup
-
-    rows = _table(spark, sf_dir, "pages").select("page_id", markup.state(F.col("html")).alias("s"))
-    return rows.select("page_id", F.size("s.json_ld").alias("json_ld"), "s.next_data", "s.initial_state", F.size("s.warnings").alias("warnings"))
-
-
-@query()
-def same_host_links(spark, sf_dir):
-    from gristmill.functions import markup
-
-    rows = _table(spark, sf_dir, "pages").select("page_id", F.posexplode(markup.links(F.col("html"), F.col("url"))).alias("pos", "link"))
-    return rows.select("page_id", "pos", "link")
-
-
 @query("""
 WITH e AS (SELECT page_id AS page, k AS pos, (page_id * 2 + k) % n AS link FROM pages, range(3) AS r(k), (SELECT count(*) AS n FROM pages)),
 l0 AS (SELECT 's' AS seed_id, 0::BIGINT AS seq, 0 AS depth, 0::BIGINT AS url),
@@ -500,5 +491,5 @@ def grounded_extraction(spark, sf_dir):
 
     pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("run_id"), F.col("url").alias("source_ref"), F.col("html").alias("content"), F.lit("html").alias("content_type"))
     schema = spark.createDataFrame([("term", "string", None, None, True, "explicit")], SCHEMA)
-    run = extract(pages, schema, PatternScan("term", r"\b[A-Z][a-z]{5,}\b"), Options(call_chars=2**31 - 1), size=1500, overlap=150, most=None)
+    run = extract(pages, schema, PatternScan("term", r"\b[A-Z][a-z]{5,}\b"), Options(call_chars=2**30), size=1500, overlap=150, most=None)
     return run.kept.select("run_id", "position", "field_path", "value_json", "locator", "confidence", "duplicates")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.markup import same_host_links
 
+from gristmill.plans.tables import shared_folder
+
 from .fetching import Session, fetch_one
 
 PAGES, MOST_PAGES, DEPTH, MOST_DEPTH = 20, 500, 2, 10
@@ -39,13 +41,13 @@ def crawl(session: Session, seed: dict, max_pages: int = PAGES, max_depth: int =
             try:
                 keep(shot)
             except Exception as e:
-                got["warnings"].append(f"capture failed: {e}")
+                warnings.append(f"[depth {depth}] {url}: store.put failed ({e}); page fetch result kept, snapshot not persisted")
         warnings += [f"[depth {depth}] {url}: {w}" for w in got["warnings"]]
         pages.append({"url": url, "depth": depth, "result": got})
         if not shot or depth >= max_depth or shot["content_type"] != "html":
             continue
         if urlsplit(shot["url"])[:2] != where:
-            warnings.append(f"[depth {depth}] {url}: left the seed's origin for {shot['url']}; its links aren't followed")
+            warnings.append(f"[depth {depth}] {url}: fetched page resolved off-host ({shot['url']}); its links were not followed")
             continue
         for link in same_host_links(shot["body"] or "", shot["url"]):
             if link not in seen:
@@ -63,11 +65,7 @@ def breadth_first(seeds: DataFrame, edges: DataFrame, max_pages: int = PAGES, ma
     looked up. Each level is checkpointed, as the next depends on all before.
     """
     max_pages, max_depth = max(1, min(max_pages, MOST_PAGES)), max(0, min(max_depth, MOST_DEPTH))
-    spark = seeds.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gristmill-"))
+    shared_folder(seeds.sparkSession)
     done = seeds.select("seed_id", F.lit(0).cast("bigint").alias("seq"), F.lit(0).alias("depth"), "url").checkpoint()
     level = done
     for depth in range(1, max_depth + 1):

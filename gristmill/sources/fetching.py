@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -191,52 +192,111 @@ def _rendered(s: Session, source: dict, warnings: list[str]) -> dict:
     return _snapshot(s, source, r.get("url") or source["url"], r, {}, [], True)
 
 
-def fetch_one(s: Session, source: dict, prior: dict | None = None, is_shell: Callable[[str], bool] = lambda html: False) -> dict:
-    """A dict (snapshot or None, error or None, warnings, escalation) for one source; never raises.
+def looks_like_shell(html: str) -> bool:
+    """Whether a page is the mere shell of one that scripts render: what `functions.text.shell_signals` warns of, without embedded state."""
+    from gristmill.functions import markup
+    from gristmill.functions import text as T
 
-    render_policy: `never` fetches plainly, `always` renders, `on-shell-warning` renders a page that `is_shell` and keeps the plain one if that fails.
+    size, held = len(html), markup.embedded_state(html)
+    if not size or held["json_ld"] or held["next_data"] is not None or held["initial_state"] is not None:
+        return False
+    text = len(markup.html_markdown(html))
+    scripts = (size - len(re.sub(T.SCRIPT_BLOCK.replace("\\z", "\\Z"), "", html))) / size
+    mount = re.search(T.EMPTY_MOUNT, html) is not None
+    return text < T.SHELL_FLOOR and text / size < T.SHELL_TEXT_RATIO and (scripts >= T.SHELL_SCRIPT_RATIO or mount)
+
+
+def render_policy(source: dict) -> str:
+    """The policy of a source, from `render_policy` and the older flag `render`, which must not contradict it."""
+    policy, legacy = source.get("render_policy"), source.get("render")
+    if policy is not None and policy not in ("never", "always", "on-shell-warning"):
+        raise FetchError("invalid-config", f"unsupported renderPolicy: {policy}")
+    if policy is not None and legacy is not None and policy != ("always" if legacy else "never"):
+        raise FetchError("invalid-config", f"render ({str(bool(legacy)).lower()}) conflicts with renderPolicy ({policy})")
+    return policy or ("always" if legacy else "never")
+
+
+def _ref(shot: dict) -> str:
+    """As `functions.urls.snapshot_ref` writes it."""
+    from urllib.parse import quote, quote_plus
+
+    form = lambda x: quote_plus(x, safe="*").replace("~", "%7E")
+    return f"snapshot:{quote(shot['source_id'], safe=chr(39) + '!~*()')}?url={form(shot['url'])}&sha256={shot['body_hash']}&fetchedAt={form(shot['fetched_at'])}"
+
+
+def fetch_one(s: Session, source: dict, prior: dict | None = None, is_shell: Callable[[str], bool] = looks_like_shell) -> dict:
+    """A dict (snapshot or None, error or None, warnings, escalation or None) for one source; never raises.
+
+    render_policy: `never` fetches plainly, `always` renders, `on-shell-warning` renders a page that `is_shell` and keeps the plain one if that fails. The escalation tells (policy, shell_warning,
+    attempted, outcome, first_ref, error_kind); a rendered attempt sends no validators.
     """
     warnings: list[str] = []
-    policy = source.get("render_policy") or "never"
+    told = None
     try:
-        if policy not in ("never", "always", "on-shell-warning"):
-            raise FetchError("invalid-config", f"unknown renderPolicy {policy}")
+        policy = render_policy(source)
         if not source.get("source_id"):
             raise FetchError("invalid-config", "a source needs an id")
+
+        def tell(shell: bool, attempted: bool, outcome: str, first: dict | None = None, error: FetchError | None = None) -> dict:
+            return {"policy": policy, "shell_warning": shell, "attempted": attempted, "outcome": outcome, "first_ref": _ref(first) if first else None, "error_kind": error.kind if error else None}
+
         if policy == "always":
-            return {"snapshot": _rendered(s, source, warnings), "error": None, "warnings": warnings, "escalation": None}
+            return {"snapshot": _rendered(s, source, warnings), "error": None, "warnings": warnings, "escalation": tell(False, True, "rendered")}
         plain = _plain(s, source, prior, warnings)
-        escalation = None
-        if policy == "on-shell-warning" and plain["content_type"] == "html" and is_shell(plain["body"] or ""):
-            try:
-                plain, escalation = _rendered(s, source, warnings), "rendered"
-            except FetchError as e:
-                escalation = f"failed: {e.kind}"
-        return {"snapshot": plain, "error": None, "warnings": warnings, "escalation": escalation}
+        if policy == "on-shell-warning":
+            if plain["content_type"] != "html" or plain["not_modified"] or not is_shell(plain["body"] or ""):
+                told = tell(False, False, "not-needed")
+            elif s.renderer is None:
+                told = tell(True, False, "renderer-unavailable-fallback", plain)
+            else:
+                bare = {k: v for k, v in source.items() if k != "revalidate"}
+                try:
+                    rendered = _rendered(s, bare, warnings)
+                    told, plain = tell(True, True, "rendered", plain), rendered
+                except FetchError as e:
+                    told = tell(True, True, "render-failed-fallback", plain, e)
+        return {"snapshot": plain, "error": None, "warnings": warnings, "escalation": told}
     except FetchError as e:
-        return {"snapshot": None, "error": {"kind": e.kind, "message": str(e), "status": e.status}, "warnings": warnings, "escalation": None}
+        return {"snapshot": None, "error": {"kind": e.kind, "message": str(e), "status": e.status}, "warnings": warnings, "escalation": told}
 
 
 _SNAPSHOT = (
     "struct<source_id:string,url:string,fetched_at:string,status:int,content_type:string,body:string,body_bytes:binary,body_hash:string,redirects:array<string>,from_cache:boolean,"
     "etag:string,last_modified:string,not_modified:boolean,rendered:boolean>"
 )
-RESULT = f"source_id string, snapshot {_SNAPSHOT}, error struct<kind:string,message:string,status:int>, warnings array<string>, escalation string"
+_TOLD = "struct<policy:string,shell_warning:boolean,attempted:boolean,outcome:string,first_ref:string,error_kind:string>"
+RESULT = f"source_id string, snapshot {_SNAPSHOT}, error struct<kind:string,message:string,status:int>, warnings array<string>, escalation {_TOLD}"
 
 
-def fetched(sources: DataFrame, client: Callable, renderer: Callable | None = None, clock: Clock | None = None) -> DataFrame:
+def fetched(sources: DataFrame, client: Callable, renderer: Callable | None = None, clock: Clock | None = None, prior: DataFrame | None = None) -> DataFrame:
     """RESULT for each of `sources` (source_id, url, ... the options of a source).
 
-    Spark may run a task again after a failure; requests are reads, so that only costs politeness. Speculative execution should be off.
+    `prior`: snapshots; the latest of a source that wants to revalidate gives the validators, and its body if it isn't modified. Spark may run a task again after a failure; requests are reads, so
+    that only costs politeness, but reading the result twice fetches twice: write it. Speculative execution should be off.
     """
     names = sources.columns
+    if prior is not None:
+        from .snapshots import latest
+
+        known = latest(prior).select("source_id", F.struct(*[F.col(c) for c in prior.columns]).alias("prior_snapshot"))
+        sources = sources.join(known, "source_id", "left")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = Session(client, clock or Clock(), renderer)
         for part in parts:
             rows = part.astype(object).where(part.notna(), None).to_dict("records")
-            out = [{"source_id": r.get("source_id")} | fetch_one(s, {k: r[k] for k in names}) for r in rows]
+            out = []
+            for r in rows:
+                before = r.get("prior_snapshot")
+                before = before.asDict() if hasattr(before, "asDict") else before
+                got = fetch_one(s, {k: r[k] for k in names}, before)
+                if got["snapshot"]:
+                    got["snapshot"] = {k: got["snapshot"].get(k) for k in _FIELDS}
+                out.append({"source_id": r.get("source_id")} | got)
             yield pd.DataFrame(out, columns=["source_id", "snapshot", "error", "warnings", "escalation"])
 
     by = origin(F.col("url"))
     return sources.repartition(by).sortWithinPartitions(by, "source_id").mapInPandas(run, RESULT)
+
+
+_FIELDS = "source_id url fetched_at status content_type body body_bytes body_hash redirects from_cache etag last_modified not_modified rendered".split()

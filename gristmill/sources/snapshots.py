@@ -24,6 +24,11 @@ def put(snapshots: DataFrame, folder: str) -> None:
     rows.withColumn("body_bytes", F.base64("body_bytes")).write.mode("append").partitionBy("source_key").json(folder)
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def load(spark: SparkSession, folder: str) -> DataFrame:
     """All well-formed snapshots of a folder; foreign and corrupt records are left out."""
     text = SCHEMA.replace("body_bytes binary", "body_bytes string")

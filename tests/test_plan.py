@@ -11,16 +11,20 @@ from gristmill.operators.dispatch import Options, run_waves
 from gristmill.plans.extraction import SCHEMA, extract
 from gristmill.providers import DictionaryScan, PatternScan, Relay, parse_items, strict_schema, tool
 
-P = "run_id bigint, seq bigint, field_path string, value_canon string, confidence double, excerpt string, extractor string, occurrence_hint int, visible_text string, visible_start bigint, full_text string"
+P = "run_id bigint, seq bigint, field_path string, value_canon string, confidence double, excerpt string, extractor string, occurrence_hint int, visible_start bigint, visible_end bigint"
 
 
 def ground(spark, rows, fields=(("title", "string"), ("terms[].name", "string"))):
     schema = spark.createDataFrame([(p, t, None, None) for p, t in fields], "path string, type string, enum_values array<string>, inference_type string")
-    return {r["seq"]: r for r in grounding.normalized(spark.createDataFrame(rows, P), schema).collect()}
+    # rows of one text are one run
+    texts = {t: k for k, t in enumerate(dict.fromkeys(r[-1] for r in rows))}
+    proposals = spark.createDataFrame([(texts[r[-1]], *r[:-1]) for r in rows], P)
+    table = spark.createDataFrame([(k, t) for t, k in texts.items()], "run_id bigint, full_text string")
+    return {r["seq"]: r for r in grounding.normalized(proposals, table, schema).collect()}
 
 
 def row(seq, excerpt="Marker", text="Marker; Marker", hint=None, path="title", value="v", confidence=0.5, visible=None, start=0, extractor="x"):
-    return (1, seq, path, value, confidence, excerpt, extractor, hint, text if visible is None else visible, start, text)
+    return (seq, path, value, confidence, excerpt, extractor, hint, start, start + len(text if visible is None else visible), text)
 
 
 def test_unhinted_proposals_take_occurrences_in_order(spark):
@@ -109,7 +113,7 @@ def test_plan_end_to_end(spark):
         s, t = map(int, r["locator"][6:].split("-"))
         assert text[r["run_id"]].encode("utf-16-le")[2 * s : 2 * t].decode("utf-16-le") == r["excerpt"]
     result = {r["run_id"]: r for r in e.results.collect()}
-    assert result[2]["n_proposals"] >= 2 and result[2]["provider_calls"] > 1 and any("repeated cards (12 found)" in w for w in result[2]["warnings"])
+    assert result[2]["n_proposals"] >= 2 and result[2]["provider_calls"] > 1 and any("repeated-card structure (12 cards detected)" in w for w in result[2]["warnings"])
     assert "binary content" in result[3]["error"] and result[3]["provider_calls"] == 0 and result[5]["provider_calls"] == 0
     lines = envelope.envelopes(e.results, e.kept, F.lit("00000000-0000-4000-8000-000000000001"), F.lit("2026-01-01T00:00:00.000Z"))
     checked = lines.withColumn("why", envelope.invalid_reason(F.col("line"))).collect()
@@ -123,11 +127,13 @@ def test_plan_end_to_end(spark):
 def test_plan_budget_and_wrong_options(spark):
     docs = documents(spark, [(1, "a", "x" * 60, "text")])
     r = extract(docs, fields(spark), DictionaryScan("title", ["y"]), Options(max_calls=2), size=10, overlap=0).results.first()
-    assert r["partial"].asDict() == {"reason": "max-provider-calls", "completed": 2, "remaining": 4} and r["provider_calls"] == 2
+    assert r["partial"].asDict() == {"reason": "max-provider-calls", "completed": 2, "remaining": 4, "token_overshoot": None} and r["provider_calls"] == 2
     r = extract(docs, fields(spark), DictionaryScan("title", ["y"]), Options(max_calls=0)).results.first()
     assert r["error"].startswith("invalid maxProviderCalls") and r["provider_calls"] == 0
-    r = extract(docs, fields(spark), Scripted(fail={"x" * 60})).results.first()
-    assert r["error"] == "timeout talking to it" and r["warnings"] == []
+    e = extract(docs, fields(spark), Scripted(fail={"x" * 60}))
+    r = e.results.first()
+    assert r["error"] == "timeout talking to it" and r["warnings"] == [] and e.kept.count() == 0
+    assert [x.asDict() for x in r["provider_failures"]] == [{"provider": "scripted", "kind": "timeout", "retryable": True, "message": "timeout talking to it"}]
 
 
 def test_artifacts(spark):

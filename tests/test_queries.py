@@ -4,10 +4,11 @@ import math
 
 import pytest
 
+from gristmill.plans import cases  # noqa: F401  registers its queries
 from gristmill.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = "events documents embeddings pages benchmark labels conversations".split()
+TABLES = "lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")

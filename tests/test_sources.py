@@ -78,9 +78,9 @@ def test_rendering():
     shell = {"https://h.example/a": {"body": "shell"}}
     r = lambda url, ms: {"status": 200, "body": "full"}
     got, _, _ = fetch(shell, {"render_policy": "on-shell-warning"}, renderer=r, is_shell=lambda h: h == "shell")
-    assert got["snapshot"]["body"] == "full" and got["snapshot"]["rendered"] and got["escalation"] == "rendered"
+    assert got["snapshot"]["body"] == "full" and got["snapshot"]["rendered"] and got["escalation"]["outcome"] == "rendered"
     got, _, _ = fetch(shell, {"render_policy": "on-shell-warning"}, is_shell=lambda h: True)
-    assert got["snapshot"]["body"] == "shell" and got["escalation"] == "failed: dependency-missing"
+    assert got["snapshot"]["body"] == "shell" and got["escalation"]["outcome"] == "renderer-unavailable-fallback"
 
 
 def test_politeness():
