@@ -11,18 +11,19 @@ ceilings are checked; its calls count from then on, its tokens when it is done.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from gristmill.functions.canonical import stable
 
-CALL_CHARS = 32_000
+CALL_CHARS, OUT_ROWS = 32_000, 1000
 
 
 class Provider(Protocol):
@@ -144,10 +145,10 @@ def dispatched(chunks: DataFrame, provider: Provider, schema: list[dict], option
     """
     o = options or Options()
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
 
-        def solve(rows: list[dict]) -> pd.DataFrame:
+        def solve(rows: list[dict]) -> list[dict]:
             got, calls, tokens, stop = run_waves(provider, rows, rows[0]["content_type"], schema, o, cancelled)
             out = []
             for i, r in enumerate(rows):
@@ -170,21 +171,27 @@ def dispatched(chunks: DataFrame, provider: Provider, schema: list[dict], option
             if not out:  # stopped before the first call: the totals still need a row
                 r = rows[0]
                 out.append({"run_id": r["run_id"], "chunk_idx": None, "n_chunks": len(rows), "ok": None, "provider_calls": calls, "stop_reason": stop[0] if stop else None, "remaining": stop[1] if stop else 0, "tokens_used": tokens})
-            return pd.DataFrame({n: pd.Series([x.get(n) for x in out], dtype=object) for n in names})
+            return out
 
-        for part in parts:
-            for r in part.to_dict("records"):
+        made: list[dict] = []
+        for batch in batches:
+            for r in batch.to_pylist():
                 if held and held[0]["run_id"] != r["run_id"]:
-                    yield solve(held)
+                    made += solve(held)
                     held = []
+                    if len(made) >= OUT_ROWS:
+                        yield pa.RecordBatch.from_pylist(made, arrow)
+                        made = []
                 held.append(r)
         if held:
-            yield solve(held)
+            made += solve(held)
+        if made:
+            yield pa.RecordBatch.from_pylist(made, arrow)
 
     schema_text = _SCHEMA.format(kind=chunks.schema["run_id"].dataType.simpleString())
-    names = [x.split(" ")[0] for x in re.split(r", (?![^<]*>)", schema_text)]
+    arrow = to_arrow_schema(StructType.fromDDL(schema_text))
     ordered = chunks.select("run_id", "chunk_idx", "start", "chunk", "content_type").repartition("run_id").sortWithinPartitions("run_id", "chunk_idx")
-    return ordered.mapInPandas(run, schema_text)
+    return ordered.mapInArrow(run, schema_text)
 
 
 _PROPOSAL = "struct<item:int,is_object:boolean,field_path:string,value_json:string,value_canon:string,confidence:double,excerpt:string,extractor:string,occurrence_hint:int>"
