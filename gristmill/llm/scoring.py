@@ -1,19 +1,23 @@
 """Language-model scoring by online logistic context mixing, in bits per byte.
 
-Statistics. One pass over the corpus counts, for every byte, which byte follows its hashed contexts (the last 2,
-3, 4 and 6 bytes). Each task counts into arrays and sends them sparsely, in blocks; blocks are added up by
+Predictors. Three know the corpus: tables that say, for the last 2, 3 and 5 bytes, hashed, which byte follows. One knows only the document: the byte that followed the last 4 bytes the
+last time that they occurred in it, if they did; it is checked against these bytes, so that no other context stands in for them. Its say grows and shrinks with how often it was right in this context, and
+by what it has done in this document so far.
+
+Corpus. One pass counts, for every byte, which byte follows its contexts. The rows are in two halves by their hashed id, and a document is scored with the counts of the half that it isn't
+in: no document predicts itself. Each task counts into arrays and sends them sparsely, in blocks; blocks are added up by
 key, so what is gathered grows with the corpus, as does the number of context slots (`slot_bits`). The sums are
 written to one file in the shared folder, which the tasks map instead of holding it. A slot's counts give one prediction for each of the eight binary decisions that spell a byte: the logarithm of
 the odds, in a table of 8-bit numbers.
 
-Mixing. A text is coded bit by bit, from its first byte to its last. The tables' predictions are summed with weights;
-the gate that selects the weights is the place of the bit in its byte. After each bit the weights move along
+Mixing. A text is coded bit by bit, from its first byte to its last. The predictions are summed with weights;
+the gate that selects the weights is the place of the bit in its byte, and for the document's own predictor how often it was right in the context. After each bit the weights move along
 the gradient of the coding cost. The mixed prediction is refined by averaging it with an adaptive map from
 its own quantised value to what followed in this text. The cost is the sum of -log2 of the probability given to each bit that came.
 
-A document is one lane from its first byte to its last, so weights and map are carried through all of it. Lanes of
+A document is one lane from its first byte to its last, so weights, map and history are carried through all of it. Lanes of
 like length go together, thousands coded in step by array operations, and the result is the same however the
-rows are partitioned. `text_bits` can also code segments with a beginning of their own.
+rows are partitioned.
 """
 
 from __future__ import annotations
@@ -28,17 +32,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import kind_of, shared_folder
 from .kernels import slices
 
-ORDERS = (2, 3, 4, 6)
-SEGMENT, LANES, PAD = 2048, 4096, 8
+ORDERS, HALVES, HISTORY = (2, 3, 5), 2, 4
+LANES, PAD = 4096, 8
+RUNS, FIRST_TRUST = 8, 1.0  # classes of how often the history was right in a row; its first weight
 LEAST_BITS, DENSE_BITS = 10, 16  # up to DENSE_BITS a task counts in whole arrays
 HELD = 4_000_000  # counters of an order that a task holds beyond them
-GROUP_BYTES, BUCKET_BYTES, SHORT_CLASS = 64_000_000, 24_000_000, 11
+GROUP_BYTES, BUCKET_BYTES, SHORT_CLASS = 60_000_000, 24_000_000, 11  # a group has under 2**26 bytes
 RATE, MAP_RATE, FIRST_WEIGHT = 0.02, 0.02, 0.35
 SCALE, HALF = 16.0, 0.4  # table units per unit of log odds; what is added to counts
 BLOCK = 1 << 14  # counters in a row of the gathered statistics
+
+def _places() -> np.ndarray:
+    """Where the nodes of a byte's decisions are in its slot: rows of ROW entries, the first for its first four bits, then one for each of these for its last four."""
+    place = np.arange(256)
+    for node in range(16, 256):
+        depth = node.bit_length() - 5
+        place[node] = ROW * (1 + (node >> depth & 15)) + ((1 << depth) | (node & (1 << depth) - 1))
+    return place
+
+
+ROW = 16
+ENTRIES = 17 * ROW  # of a slot
+PLACE = _places()
+#: By bit and byte, the place in its row of the node before the bit.
+_SUBS = np.stack([PLACE[(np.arange(256) | 256) >> (8 - k)] % ROW for k in range(8)])
 _M = [np.uint32(m) for m in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D)]
 
 
@@ -48,9 +68,9 @@ def slot_bits(total_bytes: int) -> int:
 
 
 def contexts(rows: list[np.ndarray], bits: int) -> list[np.ndarray]:
-    """The slot of each order (uint32 arrays) from the 6 bytes before, nearest first."""
+    """The slot of each order (uint32 arrays) from the bytes before, nearest first."""
     out, h = [], np.zeros_like(rows[0], dtype=np.uint32)
-    for k in range(6):
+    for k in range(max(ORDERS)):
         h = h + (rows[k].astype(np.uint32) + np.uint32(1)) * _M[k]
         if k + 1 in ORDERS:
             x = h ^ (h >> np.uint32(15))
@@ -76,33 +96,37 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _counted(bits: int):
-    """For mapInArrow: the partition's counts, as rows (order, block, places, counts); a block may come more than once."""
+    """For mapInArrow over (half, text): the partition's counts, as rows (order and half, block, places, counts); a block may come more than once."""
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["o", "block", "places", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = bits <= DENSE_BITS
-        totals = [np.zeros(256 << bits if dense else 0, np.uint32) for _ in ORDERS]
-        held: list[list] = [[] for _ in ORDERS]
+        dense, many = bits <= DENSE_BITS, len(ORDERS)
+        totals = [np.zeros(256 << bits if dense else 0, np.uint32) for _ in range(HALVES * many)]
+        held: list[list] = [[] for _ in totals]
         one = np.uint32(1)
         for batch in batches:
-            for _, _, buf, offs in slices(batch.column(0), 500_000):
-                n, lengths = len(offs) - 1, np.diff(offs)
-                padded = np.zeros(len(buf) + PAD * n, np.uint8)
-                at = np.arange(len(buf)) + PAD * np.repeat(np.arange(1, n + 1), lengths)
-                padded[at] = buf
-                before = [padded[at - k] for k in range(1, 7)]
-                for order, slot in enumerate(contexts(before, bits)):
-                    if dense:
-                        np.add.at(totals[order], (slot << np.uint32(8)) | buf, one)
-                        continue
-                    held[order].append(np.unique((slot.astype(np.int64) << 8) | buf, return_counts=True))
-                    if sum(len(k) for k, _ in held[order]) > HELD:
-                        held[order] = [_merged(held[order])]
-                        if len(held[order][0][0]) > HELD // 2:
-                            yield batch_of(_blocks(order, *held[order].pop()))
+            halves = batch.column(0).to_numpy()
+            for half in range(HALVES):
+                for _, _, buf, offs in slices(batch.column(1).filter(pa.array(halves == half)), 500_000):
+                    n, lengths = len(offs) - 1, np.diff(offs)
+                    padded = np.zeros(len(buf) + PAD * n, np.uint8)
+                    at = np.arange(len(buf)) + PAD * np.repeat(np.arange(1, n + 1), lengths)
+                    padded[at] = buf
+                    at -= PAD
+                    before = [padded[PAD - k : len(padded) - k] for k in range(1, max(ORDERS) + 1)]
+                    for k, slot in enumerate(contexts(before, bits)):
+                        order, slot = half * many + k, slot[at]
+                        if dense:
+                            np.add.at(totals[order], (slot << np.uint32(8)) | buf, one)
+                            continue
+                        held[order].append(np.unique((slot.astype(np.int64) << 8) | buf, return_counts=True))
+                        if sum(len(x) for x, _ in held[order]) > HELD:
+                            held[order] = [_merged(held[order])]
+                            if len(held[order][0][0]) > HELD // 2:
+                                yield batch_of(_blocks(order, *held[order].pop()))
         for order, total in enumerate(totals):
             if dense:
                 keys = np.flatnonzero(total)
@@ -114,13 +138,16 @@ def _counted(bits: int):
 
 
 def odds(counts: np.ndarray) -> np.ndarray:
-    """Of counts by (slot, byte), the table entries by (slot, node); node 1 is the first bit, 2n + bit follows n."""
+    """Of counts by (slot, byte), the table entries by (slot, place of the node).
+
+    Node 1 is the first bit, 2n + bit follows n; one row of entries is read for either half of a byte.
+    """
     slots = len(counts)
-    out = np.zeros((slots, 256), np.int8)
+    out = np.zeros((slots, ENTRIES), np.int8)
     for depth in range(8):
         pair = counts.reshape(slots, 1 << depth, 2, 128 >> depth).sum(3)
         value = np.log((pair[:, :, 1] + HALF) / (pair[:, :, 0] + HALF)) * SCALE
-        out[:, 1 << depth : 2 << depth] = np.clip(np.rint(value), -127, 127).astype(np.int8)
+        out[:, PLACE[1 << depth : 2 << depth]] = np.clip(np.rint(value), -127, 127).astype(np.int8)
     return out
 
 
@@ -133,7 +160,7 @@ def _added(path: str, bits: int):
             total[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.uint32)
         file = os.open(path, os.O_WRONLY)
         try:
-            os.pwrite(file, odds(total.reshape(-1, 256)).tobytes(), key[0].as_py() * (256 << bits) + key[1].as_py() * BLOCK)
+            os.pwrite(file, odds(total.reshape(-1, 256)).tobytes(), (key[0].as_py() << bits) * ENTRIES + key[1].as_py() * (BLOCK // 256) * ENTRIES)
         finally:
             os.close(file)
         return pa.table({"blocks": pa.array([1], pa.int64())})
@@ -141,8 +168,13 @@ def _added(path: str, bits: int):
     return run
 
 
+def half_of(docs: DataFrame):
+    """The half of the corpus that a row is in, by its hashed id; rows that repeat an id are in one."""
+    return F.pmod(F.xxhash64(F.lit("half"), F.col("doc_id")), F.lit(HALVES)).cast("int")
+
+
 def mapped(path: str, bits: int) -> np.ndarray:
-    return np.asarray(np.memmap(path, np.int8, "r", shape=(len(ORDERS), 256 << bits)))
+    return np.asarray(np.memmap(path, np.int8, "r", shape=(HALVES * len(ORDERS), ENTRIES << bits)))
 
 
 def table_file(docs: DataFrame, bits: int) -> str:
@@ -153,94 +185,179 @@ def table_file(docs: DataFrame, bits: int) -> str:
     path = f"/{folder.lstrip('/')}/gristmill-{uuid.uuid4().hex}.tables"
     os.makedirs(os.path.dirname(path), exist_ok=True)
     with open(path, "wb") as f:
-        f.truncate(len(ORDERS) * (256 << bits))  # a block without counts stays 0
-    counted = docs.select("text").mapInArrow(_counted(bits), "o int, block int, places binary, counts binary")
+        f.truncate(HALVES * len(ORDERS) * (ENTRIES << bits))  # a block without counts stays 0
+    counted = docs.select(half_of(docs).alias("half"), "text").mapInArrow(_counted(bits), "o int, block int, places binary, counts binary")
     counted.groupBy("o", "block").applyInArrow(_added(path, bits), "blocks bigint").agg(F.sum("blocks")).collect()
     return path
 
 
 def corpus_tables(docs: DataFrame, bits: int) -> np.ndarray:
-    """The entries of all orders' tables, from all texts of `docs`; (orders, 2**bits * 256), mapped from the shared folder."""
+    """The entries of all orders' tables of either half, from all texts of `docs`; (halves * orders, 2**bits * ENTRIES), mapped from the shared folder."""
     return mapped(table_file(docs, bits), bits)
 
 
-def code_segments(segments: list[tuple[bytes, bytes]], tables: np.ndarray, bits: int) -> np.ndarray:
-    """The cost in bits of each segment (the PAD bytes before it, its bytes), longest first."""
-    lanes = len(segments)
-    length = np.array([len(s) for _, s in segments], np.int64)
+def history(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(byte, class) for every byte of the texts, one after another: what followed its HISTORY bytes of context the last time in the same text, and how often in a row, up to RUNS - 1, that
+    was right in this context before; class RUNS where the context is new."""
+    byte, kind, some, size, at = [], [], [], 0, 0
+    for t in texts:
+        if some and (size + len(t) > 1 << 19 or len(some) == 4096):
+            byte_, kind_ = _history(some)
+            byte.append(byte_)
+            kind.append(kind_)
+            some, size = [], 0
+        some.append(t)
+        size += len(t)
+    byte_, kind_ = _history(some)
+    return np.concatenate([*byte, byte_]), np.concatenate([*kind, kind_])
+
+
+def _history(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts that fit in 20 bits of places, or of one alone."""
+    buf = np.frombuffer(b"".join(texts), np.uint8)
+    n = len(buf)
+    byte, kind = np.zeros(n, np.uint8), np.full(n, RUNS, np.uint8)
+    if n <= HISTORY:
+        return byte, kind
+    wide = buf.astype(np.uint32)
+    context = (wide[:-4] << np.uint32(24)) | (wide[1:-3] << np.uint32(16)) | (wide[2:-2] << np.uint32(8)) | wide[3:-1]  # before byte 4, 5, ...
+    bits = 20 if len(texts) > 1 else 32
+    key = (context.astype(np.uint64) << np.uint64(bits)) | np.arange(HISTORY, n, dtype=np.uint64)
+    if len(texts) > 1:
+        lengths = np.array([len(t) for t in texts], np.int64)
+        ends = np.cumsum(lengths)
+        key |= np.repeat(np.arange(len(texts), dtype=np.uint64) << np.uint64(52), lengths)[HISTORY:]
+        first = (ends - lengths)[1:, None] + np.arange(HISTORY) - HISTORY  # contexts that reach into the text before
+        drop = np.unique(first[(first >= 0) & (first < n - HISTORY)])
+        key = np.delete(key, drop)
+    key.sort()
+    at = (key & np.uint64((1 << bits) - 1)).astype(np.int64)
+    key >>= np.uint64(bits)
+    same = np.zeros(len(at), bool)
+    np.equal(key[1:], key[:-1], out=same[1:])
+    came = buf[at]
+    said = np.zeros(len(at), np.uint8)
+    said[1:] = came[:-1]
+    right = same & (said == came)
+    # how many right ones stand in a row before
+    place = np.arange(len(at), dtype=np.int32)
+    wrong = np.maximum.accumulate(np.where(right, np.int32(-1), place))
+    run = np.zeros(len(at), np.int32)
+    run[1:] = place[:-1] - wrong[:-1]
+    byte[at] = said
+    kind[at] = np.where(same, np.minimum(run, RUNS - 1), RUNS).astype(np.uint8)
+    return byte, kind
+
+
+def code_texts(texts: list[bytes], half: int, tables: np.ndarray, bits: int) -> np.ndarray:
+    """The cost in bits of each of texts of one half of the corpus, longest first."""
+    lanes = len(texts)
+    length = np.array([len(t) for t in texts], np.int64)
     width = int(length[0])
-    block = np.zeros((PAD + width, lanes), np.uint8)
-    for k, (before, s) in enumerate(segments):
-        block[PAD - len(before) : PAD, k] = np.frombuffer(before, np.uint8)
-        block[PAD : PAD + len(s), k] = np.frombuffer(s, np.uint8)
-    flat = tables.reshape(-1)
+    block, guess = np.zeros((PAD + width, lanes), np.uint8), np.zeros((width, lanes), np.uint8)
+    kinds = np.full((width, lanes), RUNS, np.uint8)
+    said, kind = history(texts)
+    at = 0
+    for k, t in enumerate(texts):
+        block[PAD : PAD + len(t), k] = np.frombuffer(t, np.uint8)
+        guess[: len(t), k], kinds[: len(t), k] = said[at : at + len(t)], kind[at : at + len(t)]
+        at += len(t)
+    rows = np.ascontiguousarray(tables).reshape(-1).view(np.complex128)  # ROW entries each
     many = len(ORDERS)
-    start = (np.arange(many, dtype=np.int64) * (256 << bits))[:, None]
+    start = ((np.arange(many, dtype=np.int64) + (1 - half) * many) * (17 << bits))[:, None]
     weights = np.full((8, many, lanes), FIRST_WEIGHT / SCALE, np.float32)
-    steps = np.linspace(-8, 8, 33)
-    maps = np.tile((1 / (1 + np.exp(-steps))).astype(np.float32), lanes)
+    trust = np.zeros((lanes, RUNS + 1), np.float32)
+    trust[:, :RUNS] = FIRST_TRUST * np.log1p(np.arange(1, RUNS + 1))
+    trust = trust.reshape(-1)
+    trust_at = np.arange(lanes, dtype=np.int64) * (RUNS + 1)
+    maps = np.tile((1 / (1 + np.exp(-np.linspace(-8, 8, 33)))).astype(np.float32), lanes)
     map_at = np.arange(lanes, dtype=np.int64) * 33 + 16
     cost = np.zeros(lanes, np.float64)
-    rate, map_rate = np.float32(RATE / SCALE / SCALE), np.float32(MAP_RATE)
-    one, two, half = np.float32(1), np.float32(2), np.float32(0.5)
+    rate, own_rate, map_rate = np.float32(RATE / SCALE / SCALE), np.float32(RATE), np.float32(MAP_RATE)
+    one, two, half_ = np.float32(1), np.float32(2), np.float32(0.5)
     live = np.searchsorted(-length, -np.arange(width) - 0.5, "right")  # lanes longer than p
+    edge = (256 >> np.arange(8)).astype(np.uint16)[:, None]
+    signs = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1).T.copy()
     last = -1
     for p in range(width):
         n = int(live[p])
         if n != last:
             last = n
             at, raw, t = np.empty((many, n), np.int64), np.empty((many, n), np.int8), np.empty((many, n), np.float32)
+            term, prob, z = np.empty(n, np.float32), np.empty(n, np.float32), np.empty(n, np.float32)
+            got = np.empty((many, n), np.complex128)
+            entries = got.reshape(-1).view(np.int8)
+            lane_at = (np.arange(many * n, dtype=np.int64) * ROW).reshape(many, n)
+            here, trusted = map_at[:n], trust_at[:n]
             view = [np.ascontiguousarray(weights[k, :, :n]) for k in range(8)] if p == 0 else [w[:, :n].copy() for w in view]
         row = PAD + p
         now = block[row, :n]
-        slot = contexts([block[row - k, :n] for k in range(1, 7)], bits)
-        base = (np.stack(slot).astype(np.int64) << 8) + start
-        bit_rows = np.unpackbits(now[None, :], axis=0)  # from the first bit to the last
-        hits = bit_rows.astype(np.float32)
-        prefix = (now.astype(np.int64) | 256) >> np.arange(8, 0, -1)[:, None]  # the node before each bit
+        slot = contexts([block[row - k, :n] for k in range(1, max(ORDERS) + 1)], bits)
+        base = np.stack(slot).astype(np.int64)
+        base *= 17
+        base += start
+        hits = np.unpackbits(now[None, :], axis=0).astype(np.float32)  # from the first bit to the last
+        subs = _SUBS.take(now, axis=1)
+        # the document's own guess, as long as the bits so far agree with it: 1, -1 or 0
+        own = guess[p, :n]
+        sure = kinds[p, :n].astype(np.int64)
+        sure += trusted
+        own_w = trust.take(sure)
+        own_t = signs.take(own, axis=1)
+        own_t *= (own ^ now) < edge
+        own_t *= kinds[p, :n] < RUNS
         good = np.ones(n, np.float32)
         for k in range(8):
-            np.add(base, prefix[k], out=at)
-            np.take(flat, at, out=raw, mode="clip")
+            if not k:
+                np.take(rows, base, out=got, mode="clip")
+            elif k == 4:
+                base += 1 + (now >> 4)
+                np.take(rows, base, out=got, mode="clip")
+            np.add(lane_at, subs[k], out=at)
+            np.take(entries, at, out=raw, mode="clip")
             np.copyto(t, raw)
-            w, hit = view[k], hits[k]
-            z = np.einsum("kn,kn->n", w, t)
+            w, hit, x = view[k], hits[k], own_t[k]
+            np.einsum("kn,kn->n", w, t, out=z)
+            np.multiply(own_w, x, out=term)
+            z += term
             np.minimum(np.maximum(z, -8, out=z), 8, out=z)
-            prob = np.exp(-z)
+            np.negative(z, out=prob)
+            np.exp(prob, out=prob)
             prob += one
             np.divide(one, prob, out=prob)
             z *= two
             where = np.rint(z, out=z).astype(np.int64)
-            where += map_at[:n]
+            where += here
             mapped = maps.take(where)
             final = prob + mapped
-            final *= half
+            final *= half_
             # the probability of the bit that came
             final += hit
             final -= one
             good *= np.abs(final, out=final)
             maps[where] = mapped + (hit - mapped) * map_rate
-            miss = hit - prob
-            miss *= rate
-            t *= miss
+            np.subtract(hit, prob, out=prob)
+            np.multiply(prob, x, out=term)
+            term *= own_rate
+            own_w += term
+            prob *= rate
+            t *= prob
             w += t
+        trust[sure] = own_w
         cost[:n] -= np.log2(np.maximum(good, 1e-30))
     return cost
 
 
-def _segments(text: bytes, size: int) -> list[tuple[bytes, bytes]]:
-    return [(text[max(0, a - PAD) : a], text[a : a + size]) for a in range(0, len(text), size)]
-
-
-def text_bits(texts: list[bytes], tables: np.ndarray, bits: int, segment: int | None = SEGMENT) -> np.ndarray:
-    """The cost in bits of each text, in segments with weights and a map of their own; None: each text whole."""
-    parts = [(k, s) for k, t in enumerate(texts) for s in _segments(t, segment or max(len(t), 1))]
-    parts.sort(key=lambda x: -len(x[1][1]))
-    out, at = np.zeros(len(texts)), 0
-    while at < len(parts):
-        some = parts[at : at + max(1, min(LANES, GROUP_BYTES // len(parts[at][1][1])))]
-        np.add.at(out, [k for k, _ in some], code_segments([s for _, s in some], tables, bits))
-        at += len(some)
+def text_bits(texts: list[bytes], halves: list[int], tables: np.ndarray, bits: int) -> np.ndarray:
+    """The cost in bits of each text, given the half of the corpus that it is in."""
+    out = np.zeros(len(texts))
+    for half in range(HALVES):
+        order = sorted((k for k, h in enumerate(halves) if h == half and texts[k]), key=lambda k: -len(texts[k]))
+        at = 0
+        while at < len(order):
+            some = order[at : at + max(1, min(LANES, GROUP_BYTES // len(texts[order[at]])))]
+            out[some] = code_texts([texts[k] for k in some], half, tables, bits)
+            at += len(some)
     return out
 
 
@@ -258,8 +375,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, total_bits, bits_per_byte) of each row; the last two rounded to 4 decimals.
 
     A null or empty text has 0 bytes, 0 bits and a null rate. Texts are read whole, whatever their length. Repeated rows count
-    in the statistics as often as they occur, and each gets its row. Other columns are ignored; an empty
-    table gives no rows.
+    in the statistics as often as they occur, but never in those that score rows of their own id, and each gets its row. doc_id is of any type, null too; other columns are
+    ignored, whatever their names; an empty table gives no rows.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0))
     kind = F.greatest(F.lit(SHORT_CLASS), F.ceil(F.log2(F.greatest(size, F.lit(1))))).cast("int")
@@ -271,7 +388,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         tables = mapped(path, bits)
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            cost = text_bits(texts, tables, bits, None)
+            cost = text_bits(texts, batch.column(2).to_pylist(), tables, bits)
             size = np.array([len(t) for t in texts], np.int64)
             rate = [round(float(c) / int(s), 4) if s else None for c, s in zip(cost, size)]
             yield pa.RecordBatch.from_arrays(
@@ -279,7 +396,5 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_bytes", "total_bits", "bits_per_byte"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return _by_length(rows, sizes, kind).mapInArrow(
-        run, "doc_id bigint, n_bytes bigint, total_bits double, bits_per_byte double"
-    )
+    rows = docs.select("doc_id", "text", half_of(docs).alias("half"))
+    return _by_length(rows, sizes, kind).mapInArrow(run, f"doc_id {kind_of(docs, 'doc_id')}, n_bytes bigint, total_bits double, bits_per_byte double")

@@ -198,52 +198,88 @@ def test_graph_survives_equal_vectors_and_bytes():
 # scoring
 
 
-def brute_bits(text, tables, bits):
+def brute_bits(text, half, tables, bits):
     """One text, byte by byte and bit by bit."""
-    total = 0.0
-    for at in range(0, len(text), scoring.SEGMENT):
-        weights = np.full((8, len(scoring.ORDERS)), scoring.FIRST_WEIGHT / scoring.SCALE)
-        maps = 1 / (1 + np.exp(-np.linspace(-8, 8, 33)))
-        for p in range(at, min(at + scoring.SEGMENT, len(text))):
-            rows = [np.array([text[p - k] if p - k >= max(0, at - scoring.PAD) else 0], np.uint8) for k in range(1, 7)]
-            slots = [int(s[0]) for s in scoring.contexts(rows, bits)]
-            node = 1
-            for k in range(8):
-                bit = text[p] >> (7 - k) & 1
-                t = np.array([float(tables[o, s * 256 + node]) for o, s in enumerate(slots)])
-                z = min(8.0, max(-8.0, float(weights[k] @ t)))
-                prob = 1 / (1 + np.exp(-z))
-                place = 16 + int(np.rint(z * 2))
-                final = (prob + maps[place]) / 2
-                total -= np.log2(final if bit else 1 - final)
-                maps[place] += (bit - maps[place]) * scoring.MAP_RATE
-                weights[k] += scoring.RATE / scoring.SCALE**2 * (bit - prob) * t
-                node = node << 1 | bit
+    many, total, seen = len(scoring.ORDERS), 0.0, {}
+    weights = np.full((8, many), scoring.FIRST_WEIGHT / scoring.SCALE)
+    trust = scoring.FIRST_TRUST * np.log1p(np.arange(1, scoring.RUNS + 1))
+    maps = 1 / (1 + np.exp(-np.linspace(-8, 8, 33)))
+    for p in range(len(text)):
+        rows = [np.array([text[p - k] if p >= k else 0], np.uint8) for k in range(1, max(scoring.ORDERS) + 1)]
+        slots = [int(s[0]) for s in scoring.contexts(rows, bits)]
+        context = text[p - scoring.HISTORY : p] if p >= scoring.HISTORY else None
+        guess, run = seen.get(context, (None, 0))
+        node = 1
+        for k in range(8):
+            bit = text[p] >> (7 - k) & 1
+            t = np.array([float(tables[(1 - half) * many + o, s * scoring.ENTRIES + scoring.PLACE[node]]) for o, s in enumerate(slots)])
+            own = 0
+            if guess is not None and (guess | 256) >> (8 - k) == node:
+                own = 1 if guess >> (7 - k) & 1 else -1
+            sure = min(run, scoring.RUNS - 1)
+            z = min(8.0, max(-8.0, float(weights[k] @ t) + trust[sure] * own))
+            prob = 1 / (1 + np.exp(-z))
+            place = 16 + int(np.rint(z * 2))
+            final = (prob + maps[place]) / 2
+            total -= np.log2(final if bit else 1 - final)
+            maps[place] += (bit - maps[place]) * scoring.MAP_RATE
+            weights[k] += scoring.RATE / scoring.SCALE**2 * (bit - prob) * t
+            trust[sure] += scoring.RATE * (bit - prob) * own
+            node = node << 1 | bit
+        if context is not None:
+            seen[context] = (text[p], run + 1 if guess == text[p] else 0)
     return total
 
 
 def test_scoring_against_bit_by_bit():
     rng = np.random.default_rng(3)
     bits = 6
-    tables = rng.integers(-60, 60, (len(scoring.ORDERS), 256 << bits)).astype(np.int8)
-    texts = [b"", b"a", bytes(rng.integers(97, 110, 300)), bytes(rng.integers(0, 256, scoring.SEGMENT + 77))]
-    got = scoring.text_bits(texts, tables, bits)
-    assert got == pytest.approx([brute_bits(t, tables, bits) for t in texts], rel=1e-4)
+    tables = rng.integers(-60, 60, (scoring.HALVES * len(scoring.ORDERS), scoring.ENTRIES << bits)).astype(np.int8)
+    texts = [b"", b"a", b"abcd", bytes(rng.integers(97, 100, 300)), bytes(rng.integers(0, 256, 600)), b"the same line\n" * 90, bytes(rng.integers(97, 99, 2500))]
+    halves = [0, 1, 0, 1, 0, 1, 0]
+    got = scoring.text_bits(texts, halves, tables, bits)
+    assert got == pytest.approx([brute_bits(t, h, tables, bits) for t, h in zip(texts, halves)], rel=2e-3)
+    assert (scoring.text_bits(texts[::-1], halves[::-1], tables, bits)[::-1] == got).all()
+
+
+def test_history_learns_within_the_document():
+    bits = 6
+    tables = np.zeros((scoring.HALVES * len(scoring.ORDERS), scoring.ENTRIES << bits), np.int8)  # a corpus that says nothing
+    rng = np.random.default_rng(5)
+    line = rng.integers(97, 123, 80).astype(np.uint8).tobytes() + b"\n"
+    once, often = scoring.text_bits([line, line * 20], [0, 0], tables, bits)
+    assert often < 5 * once
 
 
 def test_corpus_tables_against_counts(spark):
-    rows = [(k, t) for k, t in enumerate(["abcabcabd", "abcabc", None, "", "ß" * 9])]
-    bits = 10
-    tables = scoring.corpus_tables(docs(spark, rows).repartition(3), bits)
-    counts = np.zeros((len(scoring.ORDERS), 1 << bits, 256))
-    for _, t in rows:
-        data = (t or "").encode()
-        for p, byte in enumerate(data):
-            near = [np.array([data[p - k] if p >= k else 0], np.uint8) for k in range(1, 7)]
-            for o, s in enumerate(scoring.contexts(near, bits)):
-                counts[o, int(s[0]), byte] += 1
-    want = np.stack([scoring.odds(c).reshape(-1) for c in counts])
-    assert (tables == want).all()
+    rows = [(k, t) for k, t in enumerate(["abcabcabd", "abcabc", None, "", "ß" * 9, "xyz" * 5, "abcab"])]
+    table = docs(spark, rows).repartition(3)
+    half = {r["doc_id"]: r["half"] for r in table.select("doc_id", scoring.half_of(table).alias("half")).collect()}
+    assert set(half.values()) == {0, 1}
+    for bits in (10, 17):  # whole arrays, and counters that are held sparsely
+        tables = scoring.corpus_tables(table, bits)
+        counts: dict = {}
+        for i, t in rows:
+            data = (t or "").encode()
+            for p, byte in enumerate(data):
+                near = [np.array([data[p - k] if p >= k else 0], np.uint8) for k in range(1, max(scoring.ORDERS) + 1)]
+                for o, s in enumerate(scoring.contexts(near, bits)):
+                    counts.setdefault((half[i] * len(scoring.ORDERS) + o, int(s[0])), np.zeros(256))[byte] += 1
+        for (o, s), c in counts.items():
+            assert (tables[o, s * scoring.ENTRIES : (s + 1) * scoring.ENTRIES] == scoring.odds(c[None])[0]).all()
+        assert np.count_nonzero(tables.reshape(scoring.HALVES * len(scoring.ORDERS), -1, scoring.ENTRIES).any(2)) == len(counts)
+
+
+def test_scoring_leaves_a_document_out_of_its_own_statistics(spark):
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(5000))
+    alone = scoring.score_documents(docs(spark, [(1, text)])).first()["total_bits"]
+    bits = scoring.slot_bits(len(text))
+    nothing = np.zeros((scoring.HALVES * len(scoring.ORDERS), scoring.ENTRIES << bits), np.int8)
+    assert alone == pytest.approx(scoring.text_bits([text.encode()], [0], nothing, bits)[0], rel=1e-4)
+    table = docs(spark, [(k, text) for k in range(8)])
+    many = scoring.score_documents(table).collect()
+    assert all(r["total_bits"] < 0.8 * alone for r in many)  # the other half has copies
 
 
 def test_scoring_orders_texts_and_odd_rows(spark):
@@ -259,34 +295,21 @@ def test_scoring_orders_texts_and_odd_rows(spark):
     assert scoring.score_documents(docs(spark, [])).count() == 0
 
 
-def test_scoring_carries_weights_through_a_document(spark, monkeypatch):
+def test_scoring_is_whole_and_independent_of_partitions(spark):
     rng = random.Random(8)
-    text = "".join(rng.choice("abcdefgh ") for _ in range(2 * scoring.SEGMENT + 700))
-    table = docs(spark, [(1, text), (2, "other words")])
+    rows = [(f"d{k}", "".join(rng.choice("abcdefgh ") for _ in range(n))) for k, n in enumerate((7000, 11, 300, 4097, 0, 1))]
+    table = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id string, text string, total_bits int, half int")
     got = {r["doc_id"]: r["total_bits"] for r in scoring.score_documents(table).collect()}
-    bits = scoring.slot_bits(len(text) + 11)
+    bits = scoring.slot_bits(sum(len(t) for _, t in rows))
     tables = scoring.corpus_tables(table, bits)
-    assert abs(scoring.text_bits([text.encode()], tables, bits)[0] / got[1] - 1) > 1e-3  # what segments would give
-    monkeypatch.setattr(scoring, "SEGMENT", len(text))  # no segments in the brute force
-    assert got == pytest.approx({1: brute_bits(text.encode(), tables, bits), 2: brute_bits(b"other words", tables, bits)}, rel=1e-4)
+    half = {r["doc_id"]: r["half"] for r in table.select("doc_id", scoring.half_of(table).alias("half")).collect()}
+    assert got == pytest.approx({i: brute_bits(t.encode(), half[i], tables, bits) for i, t in rows}, rel=2e-3)
+    again = {r["doc_id"]: r["total_bits"] for r in scoring.score_documents(table.repartition(5)).collect()}
+    assert again == got
 
 
-def test_slots_grow_without_end(spark):
+def test_slots_grow_without_end():
     assert [scoring.slot_bits(1 << k) for k in (30, 31, 35)] == [16, 17, 21]
-    rng = np.random.default_rng(9)
-    rows = [(k, "".join(map(chr, rng.integers(97, 101, 4000)))) for k in range(5)]
-    bits = 17
-    tables = scoring.corpus_tables(docs(spark, rows).repartition(2), bits)
-    at = {}
-    for _, t in rows:
-        data = t.encode()
-        for p, byte in enumerate(data):
-            near = [np.array([data[p - k] if p >= k else 0], np.uint8) for k in range(1, 7)]
-            for o, s in enumerate(scoring.contexts(near, bits)):
-                at.setdefault((o, int(s[0])), np.zeros(256))[byte] += 1
-    for (o, s), counts in at.items():
-        assert (tables[o, s * 256 : s * 256 + 256] == scoring.odds(counts[None])[0]).all()
-    assert np.count_nonzero(tables.reshape(len(scoring.ORDERS), -1, 256).any(2)) == len(at)
 
 
 # toxicity
