@@ -1,9 +1,9 @@
 """Self-join of documents by the Jaccard similarity of their n-gram sets, with signature trees.
 
 1. Each text becomes its set of hashed n-grams of `n` tokens. Rows of equal sets are copies, one text; one row stands for them.
-2. Cells. Texts that could be similar share a band of MinHash values (BANDS bands of ROWS values; a pair
-   at the threshold shares one with a probability over 0.998); cells are the connected components of shared bands.
-   Texts travel once, to their cell.
+2. Cells. Most similar texts share a band of MinHash values (BANDS bands of ROWS values); the connected components of shared bands
+   are cells. The rest is found exactly, by keys that similar texts can't fail to share (`pair_keys`): texts of different cells that share one, and whose
+   sizes and parity bitmaps leave them similar, join their cells. So every similar pair is in one cell. Texts travel once, to their cell.
 3. In a cell, a signature tree: the texts, ordered by size, are leaves with a bitmap of their n-grams; a node
    above FAN others holds their OR-combined bitmap, their range of sizes and the most n-grams that any has beyond its
    bits. The tree is traversed against itself: a pair of nodes goes on only if some pair below it could reach the
@@ -35,6 +35,11 @@ from .kernels import U64, gram_sets, mix
 N, THRESHOLD, BANDS, ROWS, FAN, PART = 2, 0.7, 36, 5, 8, 4096
 #: Sets of up to so many n-grams have MinHash by permutations; larger ones by one permutation with bins.
 SMALL = 256
+#: Documents whose n-grams are counted to tell the frequent ones, and how many of these are told apart; the order of n-grams decides the work, never the result.
+SAMPLE, FREQUENT = 4096, 1 << 16
+#: The share of a space's least size that has to be common within the prefixes; n-grams in a bucket of keys; texts of a key that are written as pairs.
+COMMON, BUCKET, FEW = 0.25, 1 << 21, 8
+_LOW40 = (1 << 40) - 1
 
 _K = BANDS * ROWS
 _A = mix(np.arange(1, _K + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
@@ -49,7 +54,7 @@ def _bands(values: np.ndarray, salt: int) -> np.ndarray:
 
 
 def band_keys(s: np.ndarray, threshold: float) -> np.ndarray:
-    """The keys of a sorted set; a similar set shares one. Sets near SMALL have the keys of both kinds."""
+    """The keys of a sorted set; nearly all similar sets share one, the others are left to `pair_keys`. Sets near SMALL have the keys of both kinds."""
     keys = []
     if len(s) <= SMALL / threshold:
         low = np.full(_K, np.iinfo(np.uint64).max, U64)
@@ -68,19 +73,211 @@ def band_keys(s: np.ndarray, threshold: float) -> np.ndarray:
     return np.concatenate(keys)
 
 
+def pair_keys(s: np.ndarray, rank: np.ndarray, threshold: float) -> np.ndarray:
+    """The keys of a sorted set with an order of its n-grams; sets of a similarity of `threshold` always share one.
+
+    A space is for pairs whose larger set has from m up to 2 m n-grams, m a power of two. Such a pair has an overlap of at least o, so in an order that all
+    sets have in common its first l common n-grams are among the first size - o + l of either set. These go by hash into l - 1 groups, so
+    some group has two of them: the keys are the pairs within groups (single n-grams where l is 1). Rare n-grams come first.
+    """
+    size = len(s)
+    by = np.lexsort((s, rank))
+    m, out, own = 1 << (size.bit_length() - 1), [], True
+    while size >= threshold * m - 1e-9:
+        least = math.ceil(threshold * m - 1e-9)
+        common = max(min(2, least), min(least, round(COMMON * m)))
+        overlap = threshold * size if own else threshold / (1 + threshold) * (size + m)
+        r = s[by[: size - math.ceil(overlap - 1e-9) + common]]
+        if common == 1:
+            out.append(mix(r + U64(m)))
+        else:
+            group = mix(r ^ U64(99)) % U64(common - 1)
+            to = np.lexsort((r, group))
+            group, h = group[to], mix(r[to])
+            one, two = h * U64(3), h * U64(0x9E3779B97F4A7C15) + U64(m)
+            for d in range(1, len(r)):
+                same = np.flatnonzero(group[d:] == group[:-d])
+                if not len(same):
+                    break
+                out.append(mix(one[same] + two[same + d]))
+        m, own = 2 * m, False
+    return np.concatenate(out) if out else np.zeros(0, U64)
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """A bitmap of 2 to 1 bits an n-gram: whether an odd number of n-grams falls on the bit. Two sets differ in at least as many n-grams as bits."""
+    bits = max(64, 2 << (len(s).bit_length() - 1))
+    odd = np.bincount((s & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(U64)
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def near(one: tuple, two: tuple, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, all j) of the sets, given as arrays (cell, size, list of parity bitmaps), of different cells that can be similar by sizes and bitmaps."""
+    words = [np.array([len(b) for b in side[2]]) for side in (one, two)]
+    most = (1 - threshold) / (1 + threshold)
+    for wx in np.unique(words[0]):
+        xs = np.flatnonzero(words[0] == wx)
+        bx = np.stack([one[2][k] for k in xs])
+        for wy in np.unique(words[1]):
+            ys = np.flatnonzero(words[1] == wy)
+            by = np.stack([two[2][k] for k in ys])
+            w = min(wx, wy)
+            ax, ay = _folded(bx, w), _folded(by, w)
+            cells, sizes = two[0][ys], two[1][ys]
+            for k, x in enumerate(xs):
+                size = one[1][x]
+                at = np.flatnonzero((cells != one[0][x]) & (np.minimum(size, sizes) >= threshold * np.maximum(size, sizes) - 1e-9))
+                if len(at):
+                    apart = np.bitwise_count(ay[at] ^ ax[k]).sum(1, dtype=np.int64)
+                    at = at[apart <= most * (size + sizes[at]) + 1e-9]
+                if len(at):
+                    yield int(x), ys[at]
+
+
+def _counts(n: int):
+    """For mapInArrow over (text): how many texts of the partition have each n-gram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = [s for batch in batches for _, s in gram_sets(batch.column(0), n)]
+        if sets:
+            g, c = np.unique(np.concatenate(sets), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c)], ["g", "c"])
+
+    return run
+
+
+def _bytes(keys: np.ndarray) -> np.ndarray:
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+
+
+def _read(blobs: list[bytes]) -> np.ndarray:
+    low = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 5)
+    out = np.zeros((len(low), 8), np.uint8)
+    out[:, :5] = low
+    return out.reshape(-1).view("<i8")
+
+
+def _keyed(n: int, threshold: float, buckets: int, frequent: np.ndarray, often: np.ndarray):
+    """For mapInArrow over (text): the keys of the texts by bucket, as rows (bucket, keys, texts), 5 bytes a key and 5 of the text's print."""
+
+    def flushed(keys: list, ids: list) -> pa.RecordBatch:
+        k = np.concatenate(keys)
+        who = np.repeat(np.array([i for i, _ in ids], U64), [c for _, c in ids])
+        bucket = ((k >> U64(40)) % U64(buckets)).astype(np.int32)
+        by = np.argsort(bucket, kind="stable")
+        bucket, k, who = bucket[by], _bytes(k[by]), _bytes(who[by])
+        first = np.flatnonzero(np.diff(bucket, prepend=-1))
+        ends = np.append(first[1:], len(bucket))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(bucket[first]), *(pa.array([x[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()) for x in (k, who))], ["bucket", "keys", "ids"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids, held = [], [], 0
+        for batch in batches:
+            for _, s in gram_sets(batch.column(0), n):
+                if not len(s):
+                    continue
+                rank = np.zeros(len(s), np.int64)
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+                    rank = np.where(frequent[at] == s, often[at], 0)
+                k = pair_keys(s, rank, threshold)
+                keys.append(k)
+                ids.append((prints(s)[0] & _LOW40, len(k)))
+                held += len(k)
+                if held > 1 << 20:
+                    yield flushed(keys, ids)
+                    keys, ids, held = [], [], 0
+        if held:
+            yield flushed(keys, ids)
+
+    return run
+
+
+def _shared(key, group):
+    """For applyInArrow over a bucket: (g, id) of the texts that share a key; those of a key of up to FEW texts as pairs, each once."""
+    keys, ids = _read(group.column("keys").to_pylist()), _read(group.column("ids").to_pylist())
+    by = np.argsort(keys)
+    keys, ids = keys[by], ids[by]
+    same = keys[1:] == keys[:-1]
+    some = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    keys, ids = keys[some], ids[some]
+    by = np.lexsort((ids, keys))
+    keys, ids = keys[by], ids[by]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+    keys, ids = keys[new], ids[new]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    many = np.diff(np.append(first, len(keys)))
+    pairs = np.zeros((0, 2), np.int64)
+    for size in range(2, FEW + 1):
+        at = first[many == size]
+        if len(at):
+            one, two = np.triu_indices(size, 1)
+            pairs = np.concatenate([pairs, np.stack([ids[at[:, None] + one].reshape(-1), ids[at[:, None] + two].reshape(-1)], 1)])
+    pairs = np.unique(pairs, axis=0)
+    g = -(mix(mix(pairs[:, 0].astype(U64)) + pairs[:, 1].astype(U64)) >> U64(1)).astype(np.int64) - 1
+    hot = np.repeat(many > FEW, many)
+    return pa.table(
+        {"g": np.concatenate([g, g, keys[hot] | (key[0].as_py() << 40)]), "id": np.concatenate([pairs[:, 0], pairs[:, 1], ids[hot]])},
+        pa.schema([("g", pa.int64()), ("id", pa.int64())]),
+    )
+
+
+def _met(threshold: float):
+    """For mapInArrow over partitions sorted by (g, p, q): (u, v) of the texts of each that can be similar."""
+
+    def solve(p, q, rows) -> list[tuple[np.ndarray, np.ndarray]]:
+        def side(part):
+            mine = [r for r in rows if r[1] == part]
+            return np.array([r[0] for r in mine], np.int64), (np.array([r[2] for r in mine], np.int64), np.array([r[3] for r in mine], np.int64), [np.frombuffer(r[4], U64) for r in mine])
+
+        u, one = side(p)
+        v, two = (u, one) if p == q else side(q)
+        return [(np.full(len(j), u[i]), v[j]) for i, j in near(one, two, threshold)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, out = None, [], []
+        for batch in batches:
+            for g, p, q, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (g, p, q) != key:
+                    if len(rows) > 1:
+                        out += solve(*key[1:], rows)
+                    key, rows = (g, p, q), []
+                rows.append(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out])) for k in range(2)], ["u", "v"])
+                out = []
+        if len(rows) > 1:
+            out += solve(*key[1:], rows)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out])) for k in range(2)], ["u", "v"])
+
+    return run
+
+
 def _sketch(n: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, one, two, keys = [], [], [], []
+            size, one, two, keys, bits = [], [], [], [], []
             for _, s in gram_sets(batch.column(1), n):
                 size.append(len(s))
                 a, b = prints(s) if len(s) else (0, 0)
                 one.append(a)
                 two.append(b)
                 keys.append(band_keys(s, threshold).view(np.int64) if len(s) else [])
+                bits.append(parity(s).tobytes() if len(s) else b"")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(size, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "k", "n", "f1", "f2", "keys"],
+                [batch.column(0), batch.column(2), pa.array(size, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                ["doc_id", "k", "n", "f1", "f2", "keys", "bits"],
             )
 
     return run
@@ -281,7 +478,7 @@ class _Join:
     def __init__(self, docs: DataFrame, n: int, threshold: float, part: int, pairs: bool):
         texts = docs.select("doc_id", F.lower("text").alias("text"), F.xxhash64("doc_id", "text").alias("k"))
         kind = kind_of(docs, "doc_id")
-        sketches = texts.mapInArrow(_sketch(n, threshold), f"doc_id {kind}, k bigint, n int, f1 bigint, f2 bigint, keys array<bigint>")
+        sketches = texts.mapInArrow(_sketch(n, threshold), f"doc_id {kind}, k bigint, n int, f1 bigint, f2 bigint, keys array<bigint>, bits binary")
         sketches = written(sketches.withColumn("row", F.monotonically_increasing_id()))
         some = sketches.where("n > 0")
         self.texts = written(
@@ -295,10 +492,39 @@ class _Join:
         keys = heads.select(F.col("row").alias("u"), F.explode("keys").alias("key"))
         low = keys.groupBy("key").agg(F.min("u").alias("low"), F.max("u").alias("high")).where("low != high").drop("high")
         cells = connected_components(keys.join(low, "key").where("u != low").select("u", F.col("low").alias("v")))
+        missed = written(self._missed(texts, some, cells, n, threshold, part))
+        if not missed.isEmpty():
+            cells = connected_components(cells.toDF("u", "v").unionByName(missed))
         self.found = written(self._tasks(texts, heads, cells, threshold, part).mapInArrow(
             _cells(n, threshold, pairs), "a bigint, b bigint, jaccard double" if pairs else "u bigint, low bigint, links bigint"
         ))
 
+    def _missed(self, texts: DataFrame, some: DataFrame, cells: DataFrame, n: int, threshold: float, part: int) -> DataFrame:
+        """(u, v): the pairs of texts of different cells that can be similar, none left out."""
+        rows, grams = some.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        one_in = max(1, math.ceil(rows / SAMPLE))
+        sample = texts.where(F.pmod(F.xxhash64(F.lit("sample"), "k"), F.lit(one_in)) == 0).select("text").mapInArrow(_counts(n), "g bigint, c bigint")
+        top = sample.groupBy("g").agg(F.sum("c").alias("c")).where("c > 1").orderBy(F.desc("c"), "g").limit(FREQUENT).toArrow()
+        frequent, often = top.column("g").to_numpy().view(U64), top.column("c").to_numpy()
+        by = np.argsort(frequent)
+        keyed = texts.select("text").mapInArrow(_keyed(n, threshold, max(1, math.ceil(grams / BUCKET)), frequent[by], often[by]), "bucket int, keys binary, ids binary")
+        shared = written(keyed.groupBy("bucket").applyInArrow(_shared, "g bigint, id bigint"))
+        texts_of = (
+            self.texts.select("u", "n", F.col("f1").bitwiseAND(F.lit(_LOW40)).alias("id"))
+            .join(cells.toDF("u", "cell"), "u", "left").withColumn("cell", F.coalesce("cell", "u"))
+        )
+        # keys within one cell have nothing to add
+        members = cut(shared.distinct().join(texts_of, "id").select("g", "u", "cell", "n"))
+        across = members.groupBy("g").agg(F.min("cell").alias("low"), F.max("cell").alias("high"), F.ceil(F.count(F.lit(1)) / part).cast("int").alias("m")).where("low != high").select("g", "m")
+        return (
+            members.join(across, "g").join(some.select(F.col("row").alias("u"), "bits"), "u")
+            .withColumn("part", F.pmod(F.xxhash64("u"), F.col("m")).cast("int"))
+            .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+            .select("g", F.least("part", "o").alias("p"), F.greatest("part", "o").alias("q"), "u", "part", "cell", "n", "bits")
+            .repartition("g", "p", "q").sortWithinPartitions("g", "p", "q")
+            .mapInArrow(_met(threshold), "u bigint, v bigint")
+        )
+
     def _tasks(self, texts: DataFrame, heads: DataFrame, cells: DataFrame, threshold: float, part: int) -> DataFrame:
         # classes of size: similar texts are of the same or of neighbouring ones
         wide = math.log(1.0001 / threshold)

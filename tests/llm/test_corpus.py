@@ -324,6 +324,53 @@ def test_jaccard_hot_row_and_clashing_names(spark):
     assert kept.columns == df.columns and Counter(r["doc_id"] for r in kept.collect()) == {"a": 60, "c": 1, None: 1}
 
 
+def unbanded(rng, many):
+    """Pairs of texts of a similarity of at least the threshold whose sets share no band of MinHash values."""
+    out = []
+    while len(out) < many:
+        a = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([21, 41, 81]))]
+        b = a[:]
+        for k in rng.sample(range(2, len(a) - 2, 3), len(a) // 12):
+            b[k] = f"x{rng.randrange(10**6)}"
+        texts = [" ".join(a), " ".join(b)]
+        x, y = (s for _, s in kernels.gram_sets(pa.array(texts), jaccard.N))
+        shared = len(np.intersect1d(x, y))
+        if shared / (len(x) + len(y) - shared) >= jaccard.THRESHOLD and not len(np.intersect1d(jaccard.band_keys(x, jaccard.THRESHOLD), jaccard.band_keys(y, jaccard.THRESHOLD))):
+            out.append(texts)
+    return out
+
+
+def test_jaccard_finds_pairs_without_a_shared_band(spark):
+    rng = random.Random(41)
+    rows = [(i, t, "s") for i, t in enumerate(t for pair in unbanded(rng, 6) for t in pair)]
+    want = brute_classes(rows)
+    assert all(links == 1 for _, _, links in want)
+    assert classes(spark, rows) == want
+    # many texts of one key, in parts
+    words = prose(rng, 60).split()
+    rows += [(100 + k, " ".join(words[:40] + [f"y{k}z{j}" for j in range(9)]), "s") for k in range(14)]
+    assert classes(spark, rows, part=4) == brute_classes(rows)
+
+
+def test_similar_sets_share_a_pair_key_and_pass_the_bitmaps():
+    rng = np.random.default_rng(42)
+    for threshold in (0.3, 0.5, 0.7, 0.9):
+        for _ in range(1500):
+            size = int(2 ** rng.uniform(0, 9))
+            x = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+            # as different as the threshold allows: some left out, some others put in
+            out = int(rng.integers(0, int((1 - threshold) * size + 1e-9) + 1))
+            add = max(0, int((size - out) / threshold + 1e-9) - size)
+            y = np.unique(np.concatenate([x[rng.permutation(size)[out:]], rng.integers(0, 2**63, add).astype(np.uint64)]))
+            shared = len(np.intersect1d(x, y))
+            if shared / (len(x) + len(y) - shared) < threshold:
+                continue
+            keys = [jaccard.pair_keys(s, (s % np.uint64(7)).astype(np.int64), threshold) for s in (x, y)]
+            assert len(np.intersect1d(*keys)), (threshold, len(x), len(y))
+            one, two = ((np.array([c]), np.array([len(s)]), [jaccard.parity(s)]) for c, s in enumerate((x, y)))
+            assert [(i, list(j)) for i, j in jaccard.near(one, two, threshold)] == [(0, [0])]
+
+
 def test_tree_leaves_out_nothing():
     rng = np.random.default_rng(8)
     for case in range(6):
