@@ -36,13 +36,14 @@ from .common import kind_of, shared_folder
 from .kernels import slices
 
 ORDERS, HALVES, HISTORY = (2, 3, 5), 2, 4
-LANES, PAD = 4096, 8
+LANES, PAD = 6144, 8
 RUNS, FIRST_TRUST = 8, 1.0  # classes of how often the history was right in a row; its first weight
 LEAST_BITS, DENSE_BITS = 10, 16  # up to DENSE_BITS a task counts in whole arrays
 HELD = 4_000_000  # counters of an order that a task holds beyond them
-GROUP_BYTES, BUCKET_BYTES, SHORT_CLASS = 60_000_000, 24_000_000, 11  # a group has under 2**26 bytes
+GROUP_BYTES, BUCKET_BYTES, SHORT_CLASS = 60_000_000, 30_000_000, 11  # a group has under 2**26 bytes
 RATE, MAP_RATE, FIRST_WEIGHT = 0.02, 0.02, 0.35
 SCALE, HALF = 16.0, 0.4  # table units per unit of log odds; what is added to counts
+AHEAD = 1 << 11  # lanes times steps whose predictions are looked up at once
 BLOCK = 1 << 14  # counters in a row of the gathered statistics
 
 def _places() -> np.ndarray:
@@ -71,7 +72,8 @@ def contexts(rows: list[np.ndarray], bits: int) -> list[np.ndarray]:
     """The slot of each order (uint32 arrays) from the bytes before, nearest first."""
     out, h = [], np.zeros_like(rows[0], dtype=np.uint32)
     for k in range(max(ORDERS)):
-        h = h + (rows[k].astype(np.uint32) + np.uint32(1)) * _M[k]
+        h += np.multiply(rows[k], _M[k], dtype=np.uint32)
+        h += _M[k]
         if k + 1 in ORDERS:
             x = h ^ (h >> np.uint32(15))
             x = x * np.uint32(0x2C1B3C6D)
@@ -249,8 +251,8 @@ def _history(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return byte, kind
 
 
-def code_texts(texts: list[bytes], half: int, tables: np.ndarray, bits: int) -> np.ndarray:
-    """The cost in bits of each of texts of one half of the corpus, longest first."""
+def code_texts(texts: list[bytes], halves: np.ndarray, tables: np.ndarray, bits: int) -> np.ndarray:
+    """The cost in bits of each of texts, longest first, given the half of the corpus that each is in."""
     lanes = len(texts)
     length = np.array([len(t) for t in texts], np.int64)
     width = int(length[0])
@@ -264,100 +266,107 @@ def code_texts(texts: list[bytes], half: int, tables: np.ndarray, bits: int) ->
         at += len(t)
     rows = np.ascontiguousarray(tables).reshape(-1).view(np.complex128)  # ROW entries each
     many = len(ORDERS)
-    start = ((np.arange(many, dtype=np.int64) + (1 - half) * many) * (17 << bits))[:, None]
-    weights = np.full((8, many, lanes), FIRST_WEIGHT / SCALE, np.float32)
+    start = (np.arange(many, dtype=np.int64)[:, None] + (1 - np.asarray(halves, np.int64)) * many) * (17 << bits)
+    # The document's own predictor is the last row, in units of the tables; its weight is one for all bits of a byte. Weights are doubled, so their sum
+    # says the place in the map; probabilities p are held as 2 p - 1, for one that is the tangent of a quarter of the sum.
+    weights = [np.full((many + 1, lanes), 2 * FIRST_WEIGHT / SCALE, np.float32) for _ in range(8)]
     trust = np.zeros((lanes, RUNS + 1), np.float32)
-    trust[:, :RUNS] = FIRST_TRUST * np.log1p(np.arange(1, RUNS + 1))
+    trust[:, :RUNS] = 2 * FIRST_TRUST / SCALE * np.log1p(np.arange(1, RUNS + 1))
     trust = trust.reshape(-1)
     trust_at = np.arange(lanes, dtype=np.int64) * (RUNS + 1)
-    maps = np.tile((1 / (1 + np.exp(-np.linspace(-8, 8, 33)))).astype(np.float32), lanes)
-    map_at = np.arange(lanes, dtype=np.int64) * 33 + 16
+    maps = np.tile(np.tanh(np.linspace(-4, 4, 33)).astype(np.float32), lanes)
+    map_at = np.arange(lanes, dtype=np.float32) * 33 + 16  # exact, as lanes are few
     cost = np.zeros(lanes, np.float64)
-    rate, own_rate, map_rate = np.float32(RATE / SCALE / SCALE), np.float32(RATE), np.float32(MAP_RATE)
-    one, two, half_ = np.float32(1), np.float32(2), np.float32(0.5)
+    rate, keep_rate = np.float32(RATE / SCALE / SCALE), np.float32(1 - MAP_RATE)
+    quarter, two, top = np.float32(0.25), np.float32(2), np.float32(16)
     live = np.searchsorted(-length, -np.arange(width) - 0.5, "right")  # lanes longer than p
-    edge = (256 >> np.arange(8)).astype(np.uint16)[:, None]
-    signs = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1).T.copy()
-    last = -1
-    for p in range(width):
+    one_or_minus = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1).T.copy()
+    # by bit and difference of guess and byte: SCALE as long as they agree, less than 0 where they first don't, then 0; with 256 more, that there is no guess, 0
+    agree = np.zeros((8, 512), np.float32)
+    for d in range(256):
+        agree[: 8 - d.bit_length(), d] = SCALE
+        if d:
+            agree[8 - d.bit_length(), d] = -SCALE
+    most = 8 * many * max(lanes, AHEAD)
+    places, raw, odd = np.empty(most, np.int64), np.empty(most, np.int8), np.empty(most + most // many, np.float32)
+    got, lane_at = np.empty(most // 4, np.complex128), np.arange(most // 4, dtype=np.int64) * ROW
+    last, p = -1, 0
+    while p < width:
         n = int(live[p])
+        # all that doesn't hang on the coding of the bytes before is looked up for some steps of as many lanes at once
+        steps = min(int(np.searchsorted(-live, -n, "right")) - p, max(1, AHEAD // n))
         if n != last:
             last = n
-            at, raw, t = np.empty((many, n), np.int64), np.empty((many, n), np.int8), np.empty((many, n), np.float32)
-            term, prob, z = np.empty(n, np.float32), np.empty(n, np.float32), np.empty(n, np.float32)
-            got = np.empty((many, n), np.complex128)
-            entries = got.reshape(-1).view(np.int8)
-            lane_at = (np.arange(many * n, dtype=np.int64) * ROW).reshape(many, n)
+            z, prob, good, place, final = (np.empty(n, np.float32) for _ in range(5))
+            where = np.empty(n, np.int64)
             here, trusted = map_at[:n], trust_at[:n]
-            view = [np.ascontiguousarray(weights[k, :, :n]) for k in range(8)] if p == 0 else [w[:, :n].copy() for w in view]
+            weights = [np.ascontiguousarray(w[:, :n]) for w in weights]
         row = PAD + p
-        now = block[row, :n]
-        slot = contexts([block[row - k, :n] for k in range(1, max(ORDERS) + 1)], bits)
-        base = np.stack(slot).astype(np.int64)
-        base *= 17
-        base += start
-        hits = np.unpackbits(now[None, :], axis=0).astype(np.float32)  # from the first bit to the last
-        subs = _SUBS.take(now, axis=1)
+        now = block[row : row + steps, :n]
+        byte = now.astype(np.int64)
+        size = many * steps * n
+        base = places[: 2 * size].reshape(2, many, steps, n)
+        for k, slot in enumerate(contexts([block[row - k : row - k + steps, :n] for k in range(1, max(ORDERS) + 1)], bits)):
+            np.multiply(slot, 17, out=base[0, k], dtype=np.int64)
+        base[0] += start[:, None, :n]
+        np.add(base[0], 1 + (now >> 4), out=base[1])
+        np.take(rows, base.reshape(-1), out=got[: 2 * size], mode="clip")
+        at = places[: 8 * size].reshape(2, 4, many, steps, n)
+        np.add(lane_at[: 2 * size].reshape(2, 1, many, steps, n), _SUBS.take(byte, axis=1).reshape(2, 4, 1, steps, n), out=at)
+        np.take(got.view(np.int8), at.reshape(-1), out=raw[: 8 * size], mode="clip")
+        t = odd[: 8 * (many + 1) * steps * n].reshape(8, many + 1, steps, n)
+        t[:, :many] = raw[: 8 * size].reshape(8, many, steps, n)
+        hits = one_or_minus.take(byte, axis=1)  # 1 or -1, from the first bit to the last
         # the document's own guess, as long as the bits so far agree with it: 1, -1 or 0
-        own = guess[p, :n]
-        sure = kinds[p, :n].astype(np.int64)
+        sure = kinds[p : p + steps, :n].astype(np.int64)
+        other = (guess[p : p + steps, :n] ^ now) + ((sure == RUNS) * 256)
+        np.multiply(agree.take(other, axis=1), hits, out=t[:, many])
         sure += trusted
-        own_w = trust.take(sure)
-        own_t = signs.take(own, axis=1)
-        own_t *= (own ^ now) < edge
-        own_t *= kinds[p, :n] < RUNS
-        good = np.ones(n, np.float32)
-        for k in range(8):
-            if not k:
-                np.take(rows, base, out=got, mode="clip")
-            elif k == 4:
-                base += 1 + (now >> 4)
-                np.take(rows, base, out=got, mode="clip")
-            np.add(lane_at, subs[k], out=at)
-            np.take(entries, at, out=raw, mode="clip")
-            np.copyto(t, raw)
-            w, hit, x = view[k], hits[k], own_t[k]
-            np.einsum("kn,kn->n", w, t, out=z)
-            np.multiply(own_w, x, out=term)
-            z += term
-            np.minimum(np.maximum(z, -8, out=z), 8, out=z)
-            np.negative(z, out=prob)
-            np.exp(prob, out=prob)
-            prob += one
-            np.divide(one, prob, out=prob)
-            z *= two
-            where = np.rint(z, out=z).astype(np.int64)
-            where += here
-            mapped = maps.take(where)
-            final = prob + mapped
-            final *= half_
-            # the probability of the bit that came
-            final += hit
-            final -= one
-            good *= np.abs(final, out=final)
-            maps[where] = mapped + (hit - mapped) * map_rate
-            np.subtract(hit, prob, out=prob)
-            np.multiply(prob, x, out=term)
-            term *= own_rate
-            own_w += term
-            prob *= rate
-            t *= prob
-            w += t
-        trust[sure] = own_w
-        cost[:n] -= np.log2(np.maximum(good, 1e-30))
+        map_hits = hits * np.float32(MAP_RATE)
+        for step in range(steps):
+            own_w = trust.take(sure[step])
+            good.fill(1)
+            for k in range(8):
+                w, x, hit = weights[k], t[k, :, step], hits[k, step]
+                w[many] = own_w
+                np.einsum("kn,kn->n", w, x, out=z)
+                np.minimum(np.maximum(z, -top, out=z), top, out=z)
+                np.rint(z, out=place)
+                np.add(place, here, out=where, casting="unsafe")
+                np.multiply(z, quarter, out=z)
+                np.tanh(z, out=prob)
+                mapped = maps.take(where)
+                # four times the probability of the bit that came
+                np.add(prob, mapped, out=final)
+                np.multiply(final, hit, out=final)
+                np.add(final, two, out=final)
+                np.multiply(good, final, out=good)
+                np.multiply(mapped, keep_rate, out=mapped)
+                np.add(mapped, map_hits[k, step], out=mapped)
+                maps[where] = mapped
+                # along the error, which is half of this
+                np.subtract(hit, prob, out=prob)
+                np.multiply(prob, rate, out=prob)
+                np.multiply(x, prob, out=x)
+                np.add(w, x, out=w)
+                own_w = w[many]
+            trust[sure[step]] = own_w
+            cost[:n] += 16 - np.log2(np.maximum(good, 65536e-30, out=good))
+        p += steps
     return cost
 
 
 def text_bits(texts: list[bytes], halves: list[int], tables: np.ndarray, bits: int) -> np.ndarray:
     """The cost in bits of each text, given the half of the corpus that it is in."""
-    out = np.zeros(len(texts))
-    for half in range(HALVES):
-        order = sorted((k for k, h in enumerate(halves) if h == half and texts[k]), key=lambda k: -len(texts[k]))
-        at = 0
-        while at < len(order):
-            some = order[at : at + max(1, min(LANES, GROUP_BYTES // len(texts[order[at]])))]
-            out[some] = code_texts([texts[k] for k in some], half, tables, bits)
-            at += len(some)
+    out, halves = np.zeros(len(texts)), np.asarray(halves, np.int64)
+    order = sorted((k for k in range(len(texts)) if texts[k]), key=lambda k: -len(texts[k]))
+    at = 0
+    while at < len(order):
+        most = max(1, min(LANES, GROUP_BYTES // len(texts[order[at]])))
+        left = len(order) - at
+        some = order[at : at + math.ceil(left / math.ceil(left / most))]  # no group of few lanes is left over
+        out[some] = code_texts([texts[k] for k in some], halves[some], tables, bits)
+        at += len(some)
     return out
 
 
@@ -365,7 +374,7 @@ def _by_length(docs: DataFrame, sizes: dict[int, int], kind) -> DataFrame:
     """The rows in partitions of like length (`kind`, of `sizes` bytes in all), the longest first: a lane step costs the same for few lanes as for many."""
     place, count = F.lit(0), 0
     for c in sorted(sizes, reverse=True):
-        many = max(1, math.ceil(sizes[c] / min(GROUP_BYTES, max(BUCKET_BYTES, 1024 << c))))
+        many = max(1, math.ceil(sizes[c] / min(GROUP_BYTES * 2 // 3, max(BUCKET_BYTES, 1024 << c))))
         place = F.when(kind == c, F.lit(count) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(many)).cast("int")).otherwise(place)
         count += many
     return docs.repartitionById(max(count, 1), place.cast("int"))

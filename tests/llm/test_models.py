@@ -270,6 +270,20 @@ def test_corpus_tables_against_counts(spark):
         assert np.count_nonzero(tables.reshape(scoring.HALVES * len(scoring.ORDERS), -1, scoring.ENTRIES).any(2)) == len(counts)
 
 
+def test_scoring_codes_both_halves_in_step(monkeypatch):
+    rng, bits, calls = np.random.default_rng(18), 12, []
+    tables = rng.integers(-60, 60, (scoring.HALVES * len(scoring.ORDERS), scoring.ENTRIES << bits)).astype(np.int8)
+    texts = [b"abra cadabra " * int(k) + bytes(rng.integers(97, 123, 40).astype(np.uint8)) for k in rng.integers(0, 30, 50)]
+    halves = [int(k) for k in rng.integers(0, 2, 50)]
+    alone = [scoring.text_bits([t], [h], tables, bits)[0] for t, h in zip(texts, halves)]
+    code = scoring.code_texts
+    monkeypatch.setattr(scoring, "code_texts", lambda *a: calls.append(1) or code(*a))
+    assert scoring.text_bits(texts, halves, tables, bits).tolist() == alone and len(calls) == 1
+    # few lanes over many steps, and many lanes that end one after another
+    monkeypatch.setattr(scoring, "AHEAD", 1)
+    assert scoring.text_bits(texts, halves, tables, bits).tolist() == alone
+
+
 def test_scoring_leaves_a_document_out_of_its_own_statistics(spark):
     rng = random.Random(8)
     text = "".join(rng.choice("abcdefgh ") for _ in range(5000))
