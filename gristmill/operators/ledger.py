@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 SETTLED = tuple("aborted completed failed locally-rejected".split())
 AMOUNTS = ("input_tokens", "output_tokens", "spend_usd")
@@ -62,23 +66,30 @@ def totals_of(rows: DataFrame) -> DataFrame:
 def admitted(requests: DataFrame, max_calls: int, max_tokens: int, max_spend: float) -> DataFrame:
     """`requests` (authorization_digest, seq, input_tokens, output_tokens, spend_usd) with `admitted`: in order, those that keep within all three ceilings.
 
-    A refused request takes nothing. The fold over an authorization's requests is sequential by nature, so it is by authorization.
+    A refused request takes nothing; an amount that isn't given is none. The fold over an authorization's requests is sequential by nature, so an authorization is in one task, which
+    sorts them, on disk if need be, and holds no more than the totals so far and a batch.
     """
-    fields = "struct<seq:bigint,tokens:bigint,spend:double>"
-    rows = requests.groupBy("authorization_digest").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("seq").cast("bigint").alias("seq"), (F.col("input_tokens") + F.col("output_tokens")).cast("bigint").alias("tokens"), F.col("spend_usd").cast("double").alias("spend")).cast(fields))).alias("x")
-    )
-    start = F.struct(F.lit(0).cast("bigint").alias("calls"), F.lit(0).cast("bigint").alias("tokens"), F.lit(0.0).alias("spend"), F.array().cast("array<struct<seq:bigint,ok:boolean>>").alias("out"))
-
-    def step(s, r):
-        ok = (s["calls"] + 1 <= max_calls) & (s["tokens"] + r["tokens"] <= max_tokens) & (s["spend"] + r["spend"] <= max_spend + 1e-12)
-        return F.struct(
-            (s["calls"] + ok.cast("bigint")).alias("calls"), (s["tokens"] + F.when(ok, r["tokens"]).otherwise(0)).alias("tokens"),
-            (s["spend"] + F.when(ok, r["spend"]).otherwise(0.0)).alias("spend"), F.concat(s["out"], F.array(F.struct(r["seq"].alias("seq"), ok.alias("ok")))).alias("out"),
-        )
-
-    decided = rows.select("authorization_digest", F.explode(F.aggregate("x", start, step, lambda s: s["out"])).alias("d"))
-    return requests.join(decided.select("authorization_digest", F.col("d.seq").alias("seq"), F.col("d.ok").alias("admitted")), ["authorization_digest", "seq"])
+    key = ["authorization_digest", "seq"]
+    columns = key + [c for c in requests.columns if c not in key]
+    none = F.lit(0)
+    tokens = (F.coalesce("input_tokens", none) + F.coalesce("output_tokens", none)).cast("bigint")
+    rows = requests.select(*columns, tokens.alias("__tokens"), F.coalesce("spend_usd", none).cast("double").alias("__spend"))
+    rows = rows.repartition("authorization_digest").sortWithinPartitions("authorization_digest", F.col("seq").cast("bigint"), "__tokens", "__spend")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whose, calls, used, spent = None, 0, 0, 0.0
+        for batch in batches:
+            out = []
+            for who, n, usd in zip(batch.column(0).to_pylist(), batch.column(len(columns)).to_pylist(), batch.column(len(columns) + 1).to_pylist()):
+                if who != whose:
+                    whose, calls, used, spent = who, 0, 0, 0.0
+                ok = calls < max_calls and used + n <= max_tokens and spent + usd <= max_spend + 1e-12
+                if ok:
+                    calls, used, spent = calls + 1, used + n, spent + usd
+                out.append(ok)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(out, pa.bool_())], names=[*columns, "admitted"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[: len(columns)], StructField("admitted", BooleanType())]))
 
 
 def settled(ledger: DataFrame, settlements: DataFrame) -> DataFrame:

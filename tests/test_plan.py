@@ -236,3 +236,23 @@ def test_evaluation(spark):
     df = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(rows)], "k int, t string, j string")
     got = [r["x"] for r in df.select("k", evaluation.type_valid(F.col("t"), F.col("j"), F.array(F.lit("a"))).alias("x")).orderBy("k").collect()]
     assert got == [w for *_, w in rows]
+
+
+def test_admission_is_linear_and_keeps_every_request(spark):
+    """60,000 requests of one authorization, a fold over which would copy its own result at every step; a request of equal seq is one row, amounts that aren't given are none."""
+    import time
+
+    many = spark.range(60_000).selectExpr("'a' authorization_digest", "id seq", "id % 7 input_tokens", "0L output_tokens", "0.0D spend_usd")
+    began = time.time()
+    rows = ledger.admitted(many, 50_000, 10_000, 9.0).collect()
+    assert time.time() - began < 20
+    calls = used = 0
+    for r in sorted(rows, key=lambda r: r["seq"]):
+        ok = calls < 50_000 and used + r["input_tokens"] <= 10_000
+        calls, used = calls + ok, used + ok * r["input_tokens"]
+        assert r["admitted"] is ok
+    assert len(rows) == 60_000
+    odd = spark.createDataFrame([("a", 1, 5, None, 0.5), ("a", 1, 4, 0, None), (None, 1, 1, 0, 0.0)], "authorization_digest string, seq bigint, input_tokens bigint, output_tokens bigint, spend_usd double")
+    got = ledger.admitted(odd, 9, 8, 9.0)
+    assert got.columns == [*odd.columns, "admitted"]
+    assert sorted(((r["authorization_digest"] or "", r["input_tokens"], r["admitted"]) for r in got.collect())) == [("", 1, True), ("a", 4, True), ("a", 5, False)]
