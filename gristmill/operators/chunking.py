@@ -28,13 +28,16 @@ def window_count(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Colu
 
 
 def window_chunks(
-    docs: DataFrame, text: str = "text", size: int = SIZE, overlap: int = OVERLAP, most: int | None = MOST
+    docs: DataFrame, text: str = "text", size: int = SIZE, overlap: int = OVERLAP, most: int | None = MOST, blank: bool = False
 ) -> DataFrame:
     """One row per window: the columns of `docs` but the text, chunk_idx, start, end, chunk, n_chunks, truncated_chunks.
 
-    Windows beyond `most` are left out and counted in truncated_chunks. A row without text has no windows.
+    Windows beyond `most` are left out and counted in truncated_chunks. A row without text has no windows, an empty text one empty window if `blank`, else none.
     """
     spans = windows(F.col(text), size, overlap)
+    if blank:
+        zero = F.lit(0).cast("bigint")
+        spans = F.when(F.col(text) == "", F.array(F.struct(zero.alias("start"), zero.alias("end")))).otherwise(spans)
     kept = spans if most is None else F.slice(spans, 1, most)
     keep = [c for c in docs.columns if c != text]
     return (

@@ -117,14 +117,14 @@ def prepared(
     )
 
 
-def chunked(prep: DataFrame, size: int = chunking.SIZE, overlap: int = chunking.OVERLAP, most: int | None = chunking.MOST) -> DataFrame:
-    """(run_id, content_type, chunk_idx, start, end, chunk, n_chunks, truncated_chunks): the cards of a page, or windows."""
+def chunked(prep: DataFrame, size: int = chunking.SIZE, overlap: int = chunking.OVERLAP, most: int | None = chunking.MOST, blank: bool = False) -> DataFrame:
+    """(run_id, content_type, chunk_idx, start, end, chunk, n_chunks, truncated_chunks): the cards of a page, or windows; of an empty text one empty window if `blank`, else none."""
     ok = prep.where("error is null")
     cards = ok.where("pieces is not null").select("run_id", "content_type", "truncated", F.size("pieces").alias("n"), F.posexplode("pieces").alias("chunk_idx", "p"))
     cards = cards.select(
         "run_id", "content_type", "chunk_idx", F.col("p.start").alias("start"), F.col("p.end").alias("end"), F.col("p.text").alias("chunk"), F.col("n").alias("n_chunks"), F.col("truncated").alias("truncated_chunks")
     )
-    windows = chunking.window_chunks(ok.where("pieces is null").select("run_id", "content_type", "full_text"), "full_text", size, overlap, most)
+    windows = chunking.window_chunks(ok.where("pieces is null").select("run_id", "content_type", "full_text"), "full_text", size, overlap, most, blank)
     return cards.unionByName(windows.select(cards.columns))
 
 
@@ -169,7 +169,7 @@ class Extraction:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        found = chunked(self.prepared, self.how["size"], self.how["overlap"], self.how["most"])
+        found = chunked(self.prepared, self.how["size"], self.how["overlap"], self.how["most"], self.how["blank"])
         return found.where(F.lit(False)) if self.wrong else found
 
     @cached_property
@@ -205,15 +205,16 @@ def extract(
     docs: DataFrame, schema: DataFrame, provider: Provider, options: Options | None = None, prep: str | None = None,
     size: int = chunking.SIZE, overlap: int = chunking.OVERLAP, most: int | None = chunking.MOST, *, task: dict | None = None, pdf_text: Reader | None = None, image_text: Reader | None = None,
     store: Callable[[DataFrame], None] | None = None, cancelled: Callable[[], bool] = lambda: False, version: str = artifacts.PREPARATION_VERSION, prepare: Callable[[str, str], str] = lambda content, kind: content,
+    blank: bool = False,
 ) -> Extraction:
     """The run; nothing happens until one of its tables is asked for. Whatever is wrong with the call gives results with an error and no calls.
 
     `task`: a specification of `operators.tasks`, whose guidance and examples go to the provider. `pdf_text`, `image_text`: extractors of bytes. `store` is handed (ref, text) of the prepared
-    texts. `cancelled` is asked before every wave of calls.
+    texts. `cancelled` is asked before every wave of calls. `blank`: a text without characters is asked about too, in one call; else it gets a result without one.
     """
     return Extraction(
         docs, schema, provider, options or Options(), prep=prep, size=size, overlap=overlap, most=most, task=task, pdf_text=pdf_text, image_text=image_text, store=store, cancelled=cancelled,
-        version=version, prepare=prepare,
+        version=version, prepare=prepare, blank=blank,
     )
 
 

@@ -99,7 +99,7 @@ def test_entry_without_llm():
 
 
 #: Queries over documents that small tables have none of: a text without characters, and one whose only term is beyond the characters of a call.
-ODD = ["budgeted_results", "capped_results", "failed_calls"]
+ODD = ["budgeted_results", "capped_results", "failed_calls", "envelope_lines", "envelope_reasons", "text_extraction", "extracted_bytes"]
 
 
 @pytest.mark.parametrize("name", ODD)
