@@ -21,8 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from gristmill.functions.batches import slices
 from gristmill.functions.canonical import stable
 
+#: OUT_ROWS: outcomes and proposals that are held before they leave.
 CALL_CHARS, OUT_ROWS = 32_000, 1000
 
 
@@ -174,14 +176,17 @@ def dispatched(chunks: DataFrame, provider: Provider, schema: list[dict], option
             return out
 
         made: list[dict] = []
-        for batch in batches:
-            for r in batch.to_pylist():
+        size = 0
+        for part in (x for batch in batches for x in slices(batch)):
+            for r in part.to_pylist():
                 if held and held[0]["run_id"] != r["run_id"]:
-                    made += solve(held)
+                    got = solve(held)
+                    made += got
+                    size += sum(1 + len(x.get("proposals") or []) for x in got)
                     held = []
-                    if len(made) >= OUT_ROWS:
+                    if size >= OUT_ROWS:
                         yield pa.RecordBatch.from_pylist(made, arrow)
-                        made = []
+                        made, size = [], 0
                 held.append(r)
         if held:
             made += solve(held)
