@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from gristmill.functions import markup
 from gristmill.functions import text as T
+from gristmill.functions.batches import sliced
 from gristmill.operators import artifacts, chunking, grounding, outcomes, pdf, tasks
 from gristmill.operators.dispatch import Options, Provider, dispatched
 
@@ -23,17 +22,19 @@ STORAGE = "prepared artifact storage failed; exact text is unavailable from the
 IMAGES = ("png", "jpeg")
 #: What an injected extractor of bytes returns: a dict (text, page_offsets, layout, warnings), or it raises.
 Reader = Callable[[bytes], dict]
-_READ = f"text string, page_offsets array<bigint>, layout {pdf.LAYOUT}, warnings array<string>, error string"
+_READ = f"text:string,page_offsets:array<bigint>,layout:{pdf.LAYOUT},warnings:array<string>,error:string"
 
 
-def _read(reader: Reader, label: str, most: int):
-    """The column function that runs an extractor on bytes; a failure is an error in the row."""
+def _read(readers: dict[str, Reader], most: int):
+    """The column function of (label, bytes) that runs the label's extractor on the bytes; a failure is an error in the row. Without a label, the row is null."""
 
-    def one(data) -> dict:
+    def one(label, data) -> dict | None:
+        if label is None:
+            return None
         if data is None:
             return {"error": f"{label} content-prep requires bytes, not a string"}
         try:
-            got = reader(bytes(data))
+            got = readers[label](data)
             if not isinstance(got, dict) or not isinstance(got.get("text"), str):
                 return {"error": f"{label} text extraction failed: extractor returned no text"}
         except Exception as e:  # an extractor may fail in any way
@@ -48,12 +49,7 @@ def _read(reader: Reader, label: str, most: int):
             offsets, notes = None, [*notes, pdf.DROPPED_OFFSETS]
         return {"text": got["text"][:most], "page_offsets": offsets, "layout": got.get("layout"), "warnings": notes}
 
-    def column(data: pd.Series) -> pd.DataFrame:
-        names = ["text", "page_offsets", "layout", "warnings", "error"]
-        rows = [one(x) for x in data]
-        return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
-
-    return pandas_udf(column, _READ)
+    return sliced(lambda labels, data: [one(k, x) for k, x in zip(labels, data)], f"struct<{_READ}>")
 
 
 def prepared(
@@ -74,14 +70,9 @@ def prepared(
     wants_tree = html & (F.lit(prep or "markdown") == "markdown")
     rows = docs.select("run_id", "source_ref", "content_type", "content", "content_bytes", "snapshot_ref")
     rows = rows.withColumn("page", F.when(html & c.isNotNull(), markup.page(F.when(html, c), size, most)))
-    none = F.lit(None).cast(f"struct<{_READ.replace(' string', ':string').replace('page_offsets ', 'page_offsets:').replace('layout ', 'layout:').replace('warnings ', 'warnings:')}>")
-    read = none
-    if pdf_text is not None:
-        read = F.when(is_pdf, _read(pdf_text, "pdf", T.FULL_CHARS)(F.when(is_pdf, data)))
-    if image_text is not None:
-        images = _read(image_text, "image", T.FULL_CHARS)(F.when(is_image, data))
-        read = F.when(is_image, images) if pdf_text is None else read.when(is_image, images)
-    rows = rows.withColumn("read", read)
+    readers = {k: f for k, f in (("pdf", pdf_text), ("image", image_text)) if f is not None}
+    label = F.when(is_pdf if pdf_text is not None else F.lit(False), "pdf").when(is_image if image_text is not None else F.lit(False), "image")
+    rows = rows.withColumn("read", _read(readers, T.FULL_CHARS)(label, F.when(label.isNotNull(), data)) if readers else F.lit(None).cast(f"struct<{_READ}>"))
     through = (is_pdf if pdf_text is not None else F.lit(False)) | (is_image if image_text is not None else F.lit(False))
     tree = wants_tree & F.col("page.problem").isNull()
     mode = F.when(through & is_pdf, "pdf-text").when(through, "image-ocr").when(tree, "markdown").when(kind == "transcript", "transcript").otherwise("text")
