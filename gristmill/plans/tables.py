@@ -21,6 +21,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows over all cores by a key of many values, before a function that takes much longer than reading: a file of narrow rows is few tasks, however many rows it has."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 class Written:
     """Tables of one run, each written once; `release` removes them."""
 

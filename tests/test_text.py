@@ -126,3 +126,25 @@ def test_repeated_groups(spark):
     rows = [(1, "a", k, "li", 5) for k in range(3)] + [(1, "b", 9 + k, "p", 9) for k in range(3)] + [(2, "a", k, "li", 1) for k in range(2)]
     got = chunking.repeated_groups(spark.createDataFrame(rows, "page_id int, parent string, order int, signature string, text_length int")).collect()
     assert [(r["page_id"], r["signature"], r["n"]) for r in got] == [(1, "p", 3)]
+
+
+def test_canonical_forms_of_odd_values(spark):
+    """Written out by hand what the forms of nested, odd values are; the rows of one file of narrow rows go to many tasks."""
+    import json
+    import math
+
+    from gristmill.functions import canonical
+    from gristmill.plans import cases  # noqa: F401  registers its queries
+    from gristmill.plans.queries import QUERIES
+
+    v = {"b": [1, 1.0, -0.0, 1e21, 1e-7, True, None, "ü\n\"\u2028"], "\uff5e": {}, "\U00010400": (), "a": {"z": float("nan"), "y": -math.inf}}
+    assert canonical.stable(v) == (
+        '["object",[["a",["object",[["y",["number","-Infinity"]],["z",["number","NaN"]]]]],["b",["array",[["number",1],["number",1],["number",0],["number",1e+21],["number",1e-7],["boolean",true],["null"],'
+        '["string","ü\\n\\"\u2028"]]]],["\U00010400",["array",[]]],["\uff5e",["object",[]]]]]'
+    )
+    del v["a"]
+    assert canonical.dumps(v) == '{"b":[1,1,0,1e+21,1e-7,true,null,"ü\\n\\"\u2028"],"\U00010400":[],"\uff5e":{}}'
+    assert canonical.dumps({"B": 1, "a": 2, "A": 3}, canonical.folded) == '{"a":2,"A":3,"B":1}' and json.loads(canonical.dumps(v))["b"][3] == 1e21
+    for name in ("canonical_values", "provider_answers"):
+        df = QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism, name
