@@ -84,7 +84,8 @@ def normalized(proposals: DataFrame, texts: DataFrame, schema: DataFrame, fields
     seen = F.filter(
         "all_spans", lambda o: (o["start"] >= F.coalesce("visible_start", F.lit(0))) & (o["end"] <= F.coalesce("visible_end", F.lit(2**62)))
     )
-    p = p.withColumn("visible_spans", seen).withColumn(
+    # a proposal takes on only the spans that it may have: with all of a long text's, its proposals would grow with the square of its length
+    p = p.withColumns({"visible_spans": seen, "__count": F.size("all_spans")}).drop("all_spans").withColumn(
         "drop_reason", F.coalesce("drop_reason", F.when(F.size("visible_spans") == 0, "excerpt-not-found"))
     )
     key = ["run_id", "field_path", "path_indices", "value_canon", "excerpt"]
@@ -93,13 +94,13 @@ def normalized(proposals: DataFrame, texts: DataFrame, schema: DataFrame, fields
     folded = (
         together.withColumn(
             "picks",
-            F.aggregate("x", F.array().cast("array<int>"), lambda done, r: F.concat(done, F.array(_pick(done, r["row"])))),
+            F.aggregate("x", none, lambda done, r: F.concat(done, F.array(_pick(done, r["row"])))),
         )
         .select(F.explode(F.arrays_zip("x", "picks")).alias("z"))
         .select("z.x.row.*", F.col("z.picks").alias("pick"))
     )
-    j = folded.unionByName(p.where("drop_reason is not null").withColumn("pick", F.lit(None).cast("int")))
-    span = F.get(F.col("all_spans"), F.col("pick"))
+    j = folded.unionByName(p.where("drop_reason is not null").withColumn("pick", F.lit(None).cast("struct<index:int,start:bigint,end:bigint>")))
+    span = F.col("pick")
     bad = F.col("confidence").isNull() | F.isnan("confidence") | (F.abs("confidence") == float("inf"))
     hinted = (F.col("occurrence_hint") >= 1) & (F.col("occurrence_hint") <= F.size("visible_spans"))
     kept = F.col("drop_reason").isNull()
@@ -127,25 +128,24 @@ def normalized(proposals: DataFrame, texts: DataFrame, schema: DataFrame, fields
             F.when(
                 here,
                 F.struct(
-                    F.lit(RESOLVER).alias("resolver_version"), F.size("all_spans").alias("count"), span.alias("selected"),
+                    F.lit(RESOLVER).alias("resolver_version"), F.col("__count").alias("count"), span.alias("selected"),
                     F.when(hinted, "occurrence-hint").otherwise("source-order").alias("selection"),
-                    F.coalesce(hinted, F.lit(False)).alias("hint_used"), (F.size("all_spans") > 1).alias("ambiguous"),
+                    F.coalesce(hinted, F.lit(False)).alias("hint_used"), (F.col("__count") > 1).alias("ambiguous"),
                 ),
             ),
         )
         .withColumn("confidence", F.when(here, clamped))
-        .drop("all_spans", "visible_spans", "pick", "known", "is_object")
+        .drop("__count", "visible_spans", "pick", "known", "is_object")
     )
 
 
 def _pick(done: Column, r: Column) -> Column:
-    """The index among all occurrences that the next proposal of an identity gets."""
+    """The occurrence (index among all, start, end) that the next proposal of an identity gets."""
     visible, hint = r["visible_spans"], r["occurrence_hint"]
-    free = F.filter(visible, lambda o: ~F.array_contains(done, o["index"]))
+    free = F.filter(visible, lambda o: ~F.array_contains(done, o))
     return (
-        F.when((hint >= 1) & (hint <= F.size(visible)), F.get(visible, hint - 1)["index"])
-        .otherwise(F.coalesce(F.get(free, F.lit(0))["index"], F.get(visible, F.size(visible) - 1)["index"]))
-        .cast("int")
+        F.when((hint >= 1) & (hint <= F.size(visible)), F.get(visible, hint - 1))
+        .otherwise(F.coalesce(F.get(free, F.lit(0)), F.get(visible, F.size(visible) - 1)))
     )
 
 

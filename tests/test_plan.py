@@ -256,3 +256,23 @@ def test_admission_is_linear_and_keeps_every_request(spark):
     got = ledger.admitted(odd, 9, 8, 9.0)
     assert got.columns == [*odd.columns, "admitted"]
     assert sorted(((r["authorization_digest"] or "", r["input_tokens"], r["admitted"]) for r in got.collect())) == [("", 1, True), ("a", 4, True), ("a", 5, False)]
+
+
+def test_proposals_of_a_long_text_hold_only_what_they_may_take(spark):
+    """Windows of a text whose word occurs everywhere: each proposal takes an occurrence of its own window, and none carries those of the whole text."""
+    n, step = 300, 400
+    texts = spark.createDataFrame([(1, "ab " * (n * step // 3))], "run_id bigint, full_text string")
+    asked = spark.range(n).selectExpr(
+        "1L run_id", "id seq", "'t' field_path", "'v' value_canon", "0.5D confidence", "'ab' excerpt", "'x' extractor", "if(id = 7, 2, null) occurrence_hint", f"id * {step} visible_start", f"(id + 1) * {step} visible_end"
+    )
+    schema = spark.createDataFrame([("t", "string", None, None)], "path string, type string, enum_values array<string>, inference_type string")
+    df = grounding.normalized(asked, texts, schema, 1)
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    together = next(line for line in plan.split("\n") if "Aggregate" in line and "collect_list" in line)
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert "visible_spans" in together and "all_spans" not in together
+    for r in df.collect():
+        first = -(-r["seq"] * step // 3) + (r["seq"] == 7)
+        o = r["occurrence"]
+        assert (r["start"], r["end"], o["count"], o["selected"]["index"], o["hint_used"]) == (first * 3, first * 3 + 2, n * step // 3, first, r["seq"] == 7)
